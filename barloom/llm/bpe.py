@@ -138,6 +138,7 @@ def _encoded(column: pa.Array, c: Codec):
 
 def encode(docs: DataFrame, document: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns, ids array<int>, starts and ends array<int> (characters). One scan, no shuffle."""
+    core.bound_batches(docs.sparkSession)
     fields = [docs.schema[k] for k in keep]
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([*fields, T.StructField("ids", ints), T.StructField("starts", ints), T.StructField("ends", ints)])
@@ -165,6 +166,7 @@ def decode(encoded: DataFrame, document: str, ids: str = "ids", keep: tuple[str,
 
 def round_trip(docs: DataFrame, document: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256 (bytes that the ids decode to)."""
+    core.bound_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches):

@@ -42,6 +42,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: A hash of each byte.
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _R)
+
+
 def flat(text: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     a = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
@@ -111,15 +115,25 @@ def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def ngrams(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k entries of h."""
+    """Hashes of all runs of k entries of h: a polynomial, put together from runs of powers of two."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = h[:n].copy()
-    for j in range(1, k):
-        out *= _R
-        out += h[j : j + n]
-    return mix(out)
+    out, width, part, size, base = None, 0, h, 1, _R
+    with np.errstate(over="ignore"):
+        while True:
+            if k & size:
+                if out is None:
+                    out = part[:n].copy()
+                else:
+                    out *= base
+                    out += part[width : width + n]
+                width += size
+            if width == k:
+                return mix(out)
+            part = part[: len(part) - size] * base + part[size:]
+            base = base * base
+            size *= 2
 
 
 def owners(counts_at: np.ndarray) -> np.ndarray:
@@ -165,6 +179,14 @@ def blocks(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text")
     return docs.select(b.alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
+def bound_batches(spark: SparkSession, records: int = 1000, n_bytes: int = 8 << 20) -> None:
+    """Keep Arrow batches of texts small: at most so many records, and bytes where this Spark can bound them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", records), ("spark.sql.execution.arrow.maxBytesPerBatch", n_bytes)):
+        now = int("".join(filter(str.isdigit, spark.conf.get(key))) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def hex_sha256(parts) -> str:
     from hashlib import sha256
 

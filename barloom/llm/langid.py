@@ -30,7 +30,7 @@ from . import core
 #: The classifier's bounds: texts and bytes of sample per language, and languages.
 SAMPLE_TEXTS, SAMPLE_BYTES, MAX_LANGS = 64, 24_000, 64
 CHUNK = 2048
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 UNKNOWN = "und"
 
 
@@ -106,6 +106,7 @@ class Parser:
         self.classes = np.zeros(256, np.int64)  # 0: a byte that no sample has
         self.classes[seen] = np.arange(1, len(seen) + 1)
         self.classes[65:91] = self.classes[97:123]
+        self.classes = self.classes.astype(np.uint8)
         self.width = len(seen) + 1
         self.bits = np.array([math.log2(max(2, len(x))) for x in raw])
         tables, self.roots, base = [], [], 0
@@ -132,7 +133,7 @@ class Parser:
         left = np.minimum(off[1:][doc] - at, CHUNK)
         order = np.argsort(-left, kind="stable")
         at, left, doc = at[order], left[order], doc[order]
-        code = self.classes[buf].astype(np.int32)
+        code = self.classes[buf]
         n_langs = len(self.langs)
         state = np.repeat(self.roots[:, None], len(at), axis=1)
         count = np.zeros(state.shape, np.int32)
@@ -155,6 +156,7 @@ def parser(samples: tuple[tuple[str, bytes], ...]) -> Parser:
 
 def identify(docs: DataFrame, samples: dict[str, bytes], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns, lang_pred, score. score is 1 - (bits of the best language / bits of the second), 0 to 1. One scan, no shuffle."""
+    core.bound_batches(docs.sparkSession)
     model = tuple(sorted(samples.items()))
     fields = [T.StructField(k, docs.schema[k].dataType) for k in keep]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -112,6 +112,8 @@ class _Shards:
 def store(docs: DataFrame, base: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Write the shards under base; the index of INDEX. One scan, no shuffle; write the index down before reading it twice."""
 
+    core.bound_batches(docs.sparkSession)
+
     def run(batches):
         shards = _Shards(base)
         for b in batches:
