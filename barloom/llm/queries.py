@@ -43,3 +43,23 @@ def op10_byte_bpe(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op9_media_columns, op10_byte_bpe)}
 
 SQL: dict[str, str] = {}
+
+
+def op3_substring_dedup(spark, sf_dir):
+    from . import substring
+
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES["op3_substring_dedup"] = op3_substring_dedup
+
+
+def op8_suffix_dedup(spark, sf_dir):
+    from . import suffix
+
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op8_suffix_dedup"] = op8_suffix_dedup
