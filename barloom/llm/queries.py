@@ -63,3 +63,12 @@ def op8_suffix_dedup(spark, sf_dir):
 
 
 QUERIES["op8_suffix_dedup"] = op8_suffix_dedup
+
+
+def op6_minhash_near_dedup(spark, sf_dir):
+    from . import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+QUERIES["op6_minhash_near_dedup"] = op6_minhash_near_dedup
