@@ -72,3 +72,12 @@ def op6_minhash_near_dedup(spark, sf_dir):
 
 
 QUERIES["op6_minhash_near_dedup"] = op6_minhash_near_dedup
+
+
+def op4_lm_scoring(spark, sf_dir):
+    from . import katz
+
+    return katz.score(table(spark, sf_dir, "documents"), lambda c: ~langid.held_out("doc_id", 7))
+
+
+QUERIES["op4_lm_scoring"] = op4_lm_scoring
