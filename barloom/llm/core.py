@@ -168,9 +168,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    """So many blocks that one holds about block_bytes of text; one pass over the text column."""
+    """So many blocks that one holds about block_bytes of text, and one for each core at least; one pass over the text column."""
     n = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(1, math.ceil(n / block_bytes))
+    return max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(n / block_bytes))
 
 
 def blocks(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:

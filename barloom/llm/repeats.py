@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from . import core
 
 U = np.uint64
+#: Bytes of text in a block here: what is derived of each byte or word is many times as large.
+BLOCK_BYTES = 8 << 20
 #: Items of which anchors are sought at a time.
 PIECE = 1 << 21
 
@@ -160,7 +162,9 @@ def gather(items: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     """items of the ranges, one after another, and their bounds."""
     size = end - start
     bounds = np.append(0, np.cumsum(size))
-    return items[np.repeat(start - bounds[:-1], size) + np.arange(bounds[-1])], bounds
+    index = np.repeat((start - bounds[:-1]).astype(np.int32), size)
+    index += np.arange(bounds[-1], dtype=np.int32)
+    return items[index], bounds
 
 
 def _repeats(items, bounds, doc, pos, kind):
@@ -170,7 +174,7 @@ def _repeats(items, bounds, doc, pos, kind):
         moved, new = gather(items, bounds[:-1][order], bounds[1:][order])
         flags = kind.later(moved, new, doc[order], kind.length)
         out = np.empty(len(items), bool)
-        back, _ = gather(np.arange(len(items)), bounds[:-1][order], bounds[1:][order])
+        back, _ = gather(np.arange(len(items), dtype=np.int32), bounds[:-1][order], bounds[1:][order])
         out[back] = flags
         return out
     return kind.later(items, bounds, doc, kind.length)
@@ -195,7 +199,7 @@ def cut(kind: Kind, buckets: int, shards: int):
             by = np.argsort(hit)
             hit, shard = hit[by], shard[by]
             known, inner = names[hit], count[hit] > 1
-            to = np.full(len(items), -1, np.int64)
+            to = np.full(len(items), -1, np.int32)
             near = np.zeros(len(items), bool)
             for a, m, inside, _, _ in anchors_of(items, at, kind):
                 turn = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
@@ -205,7 +209,7 @@ def cut(kind: Kind, buckets: int, shards: int):
                 length = np.diff(np.append(turn, len(m)))
                 to[a : a + len(m)] = np.where(inside, np.repeat(np.where(good, shard[i] if len(known) else -1, -1), length), -1)
                 near[a : a + len(m)] = np.repeat(good & (inner[i] if len(known) else good), length)
-            doc_of = core.owners(at)
+            doc_of = core.owners(at).astype(np.int32)
             ids = core.ids(left["doc_id"])
             start, end = spans(to >= 0)
             if len(start):
@@ -214,14 +218,13 @@ def cut(kind: Kind, buckets: int, shards: int):
                 start = np.unique(np.concatenate([start, turn[to[turn] >= 0]]))
                 stop = np.append(turn, len(to))
                 end = stop[np.searchsorted(stop, start, side="right")]
-                close = np.add.reduceat(near, start) > 0 if len(start) else near[:0]
-                close &= True
+                close = np.add.reduceat(near, start) > 0
                 sent = to >= 0
                 s, e = start[close], end[close]
                 if len(s):
                     part, bounds = gather(items, s, e + kind.length - 1)
                     flags = _repeats(part, bounds, ids[doc_of[s]], s, kind)
-                    where, _ = gather(np.arange(len(items) + kind.length), s, e + kind.length - 1)
+                    where, _ = gather(np.arange(len(items) + kind.length, dtype=np.int32), s, e + kind.length - 1)
                     known_repeat = np.zeros(len(items), bool)
                     known_repeat[where[flags]] = True
                     sent &= ~known_repeat
@@ -284,8 +287,8 @@ def edit(docs: DataFrame, kind: Kind, item_type, finish, schema: T.StructType, c
     """docs through steps 1 to 5; finish(table of the block, covered items) makes the rows. carry names further columns, in struct `rest`."""
     from pyspark.sql import functions as F
 
-    n = n or core.block_count(docs, text)
-    b = core.blocks(docs.withColumn(text, F.col(text)), n, id_col, text)
+    n = n or core.block_count(docs, text, BLOCK_BYTES)
+    b = core.blocks(docs, n, id_col, text)
     if carry:
         b = docs.select(F.pmod(F.xxhash64(id_col, text), F.lit(n)).cast("int").alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*carry).alias("rest"))
     groups = b.groupBy("block")
@@ -293,8 +296,4 @@ def edit(docs: DataFrame, kind: Kind, item_type, finish, schema: T.StructType, c
     told = asked.groupBy("bucket").applyInArrow(answer(2 * n), "block int, bucket int, data binary")
     parts = groups.cogroup(told.groupBy("block")).applyInArrow(cut(kind, n, 2 * n), "dest long, block int, data binary")
     known = parts.groupBy("dest").applyInArrow(settle(kind, item_type), "block int, data binary")
-
-    def last(left: pa.Table, right: pa.Table) -> pa.Table:
-        return finish(left, right)
-
-    return groups.cogroup(known.groupBy("block")).applyInArrow(last, schema)
+    return groups.cogroup(known.groupBy("block")).applyInArrow(finish, schema)

@@ -24,12 +24,14 @@ from pyspark.sql import types as T
 from . import core, repeats
 
 LENGTH, GRAM = 50, 20
+#: Bytes that are sorted at once, unless the first occurrences among them are more.
+SORTED = 1 << 21
 
 
 def _next_change(t: np.ndarray) -> np.ndarray:
     """For each position, the first one from there whose byte differs from the byte after it; the last if none."""
     n = len(t)
-    at = np.where(np.append(t[1:] != t[:-1], True), np.arange(n), n)
+    at = np.where(np.append(t[1:] != t[:-1], True), np.arange(n, dtype=np.int32), np.int32(n))
     return np.minimum.accumulate(at[::-1])[::-1]
 
 
@@ -42,14 +44,14 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     smaller = np.zeros(n, bool)  # suffix i < suffix i+1; the last one is not
     up = change < n - 1
     smaller[up] = t[change[up]] < t[change[up] + 1]
-    plain = change - np.arange(n) >= depth  # all of its first `depth` bytes are one byte, and it is larger than its successor
+    plain = change - np.arange(n, dtype=np.int32) >= depth  # all of its first `depth` bytes are one byte, and it is larger than its successor
     plain &= ~smaller
     wide = -(-depth // 8) * 8
     windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([t, np.zeros(wide, np.uint8)]), wide)
-    by_byte = np.argsort(t, kind="stable")
+    by_byte = np.argsort(t, kind="stable").astype(np.int32)
     cuts = np.searchsorted(t[by_byte], np.arange(257))
     pieces: list[list[np.ndarray]] = [[] for _ in range(256)]
-    pieces[t[n - 1]].append(np.array([n - 1]))
+    pieces[t[n - 1]].append(np.array([n - 1], np.int32))
     out = []
     for c in range(256):
         own = by_byte[cuts[c] : cuts[c + 1]]
@@ -64,7 +66,7 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
             wave = before[(t[before] == c) & ~smaller[before] & ~plain[before]]
         direct = own[smaller[own]]
         if len(direct) > 1:
-            keys = np.ascontiguousarray(windows[direct]).view(f"S{wide}").ravel()
+            keys = windows[direct].view(f"S{wide}").ravel()
             direct = direct[np.argsort(keys, kind="stable")]
         row = np.concatenate([*larger, own[plain[own]], direct])
         out.append(row)
@@ -82,26 +84,60 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Length of the common prefix of the suffixes at a and b, cap at most; neither may end before it."""
     lanes = np.ndarray((len(t) + 1,), "<u8", buffer=np.concatenate([t, np.zeros(8, np.uint8)]), strides=(1,))
-    out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
+    out = np.zeros(len(a), np.int32)
+    live = np.arange(len(a), dtype=np.int32)
     for k in range(0, cap, 8):
         x = lanes[np.minimum(a[live] + k, len(t))] ^ lanes[np.minimum(b[live] + k, len(t))]
         low = x & (~x + np.uint64(1))
-        same = np.where(x == 0, 8, np.log2(low.astype(np.float64) + (x == 0)).astype(np.int64) >> 3)
-        out[live] += same
-        live = live[same == 8]
+        whole = x == 0
+        differ = ~whole
+        out[live] += 8 * whole
+        out[live[differ]] += np.log2(low[differ].astype(np.float64)).astype(np.int32) >> 3
+        live = live[whole]
         if not len(live):
             break
     return np.minimum(out, cap)
 
 
 def later(items: np.ndarray, bounds: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """True at each byte where a string of `length` bytes starts that also starts in a stretch of a smaller document."""
+    """True at each byte where a string of `length` bytes starts that also starts in a stretch of a smaller document.
+
+    Stretches are in order of document. A long text is taken in parts, each with the first occurrences of the
+    parts before it, so that memory follows the distinct text and not the number of copies.
+    """
+    if len(items) <= SORTED:
+        return _later(items, bounds, doc, length)
+    out = np.zeros(len(items), bool)
+    kept, kept_bounds, kept_doc = items[:0], np.zeros(1, np.int64), doc[:0]
+    at = 0
+    while at < len(doc):
+        room = max(SORTED // 2, len(kept))
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + room, side="right")) - 1)
+        part, shift = items[bounds[at] : bounds[end]], len(kept)
+        edges = np.concatenate([kept_bounds, bounds[at + 1 : end + 1] - bounds[at] + shift])
+        flags = _later(np.concatenate([kept, part]), edges, np.concatenate([kept_doc, doc[at:end]]), length)[shift:]
+        out[bounds[at] : bounds[end]] = flags
+        own = bounds[at : end + 1] - bounds[at]
+        fresh = ~flags
+        last = np.repeat(own[1:], np.diff(own))
+        fresh &= np.arange(len(part)) + length <= last
+        which = np.repeat(np.arange(end - at), np.diff(own))
+        turn = np.append(True, which[1:] != which[:-1])
+        a = np.flatnonzero(fresh & (turn | ~np.append(False, fresh[:-1])))
+        z = np.flatnonzero(fresh & (np.append(turn[1:], True) | ~np.append(fresh[1:], False))) + length
+        new, new_bounds = repeats.gather(part, a, z)
+        kept, kept_bounds = np.concatenate([kept, new]), np.concatenate([kept_bounds, new_bounds[1:] + shift])
+        kept_doc = np.concatenate([kept_doc, doc[at:end][which[a]]])
+        at = end
+    return out
+
+
+def _later(items: np.ndarray, bounds: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     out = np.zeros(len(items), bool)
     if not len(items):
         return out
     sa = suffix_array(items, length)
-    which = np.repeat(np.arange(len(doc)), np.diff(bounds))
+    which = np.repeat(np.arange(len(doc), dtype=np.int32), np.diff(bounds))
     sa = sa[sa + length <= bounds[1:][which[sa]]]
     if not len(sa):
         return out

@@ -99,6 +99,17 @@ def test_null_and_repeated_ids(spark):
     assert substring.remove_repeats(df.limit(0)).count() == suffix.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_long_texts_are_taken_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(97, 100, int(rng.integers(10, 60))).astype(np.uint8) for _ in range(60)]
+    parts += [parts[i] for i in rng.integers(0, 60, 60)]
+    bounds, doc = np.append(0, np.cumsum([len(x) for x in parts])), np.sort(rng.integers(0, 40, len(parts)))
+    whole = suffix.later(np.concatenate(parts), bounds, doc, 8)
+    for size in (1, 100, 1000):
+        monkeypatch.setattr(suffix, "SORTED", size)
+        assert (suffix.later(np.concatenate(parts), bounds, doc, 8) == whole).all()
+
+
 def test_two_stage_order():
     rng = np.random.default_rng(0)
     for trial in range(100):
