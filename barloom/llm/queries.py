@@ -81,3 +81,18 @@ def op4_lm_scoring(spark, sf_dir):
 
 
 QUERIES["op4_lm_scoring"] = op4_lm_scoring
+
+
+def op5_pack_tokens(spark, sf_dir):
+    from . import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark, sf_dir):
+    from . import decontaminate
+
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES |= {f.__name__: f for f in (op5_pack_tokens, op7_decontaminate)}
