@@ -4,13 +4,14 @@ A document's set holds its distinct shingles of k words (A-Z lowered); with fewe
 one shingle; without words it is empty and linked with nothing. Two documents are linked if the Jaccard
 similarity of their full sets reaches the threshold.
 
-1. One scan: set size, a 128-bit key of the set, 128 minima. Their low 4 bits are packed into 8 longs; bands of
-   4 full minima are hashed to keys. At a similarity of 0.8, a pair shares none of 32 bands once in 20 million.
+1. One scan: set size, a 128-bit key of the set, 256 minima. Their low 4 bits are packed into 16 longs; bands of
+   4 of the first 128 full minima are hashed to keys. At a similarity of 0.8, a pair shares none of 32 bands once in 20 million.
 2. Equal sets become a class, represented by its smallest id; all that follows works on classes.
-3. Within a band bucket, no list of all pairs is made. Every member is compared with the bucket's first one. If
-   the links found so far leave the bucket in more than one component, the next members (4, 16, 64, ...) are
-   compared with those of other components, until it is one component or all have been compared. Pairs inside a
-   component can't change the result, so none that matters is left out.
+3. Within a band bucket, no list of all pairs is made. First every member is compared with the bucket's first one.
+   Where a bucket then still holds more than one component, each member outside the first one's component looks
+   among members of other components for those whose signatures come near enough: first its 8 nearest, and, if
+   components remain apart after that, all of them. Pairs inside a component can't change the result, so none that
+   matters is left out. A large bucket's seekers are dealt over many tasks.
 4. A pair is first estimated: the share of equal 4-bit values, corrected for chance collisions. Pairs more than six
    standard deviations below the threshold are dropped; the others are confirmed on full sets.
 5. Components of the links by repeated minimum labels and shortcuts, as tables.
@@ -24,14 +25,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import core
 
 U = np.uint64
 BANDS, ROWS, BITS = 32, 4, 4
-HASHES = BANDS * ROWS
+HASHES = 256  # bands take the first BANDS * ROWS
+NEAREST = 8
+#: Members outside the first component that one task compares with a bucket.
+SEEKERS = 2048
 DOCS = 1024  # texts whose sets are made at a time
 _rng = np.random.default_rng(20_240_607)
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -84,7 +88,7 @@ def _packed(minima: np.ndarray) -> np.ndarray:
 def _bands(minima: np.ndarray) -> np.ndarray:
     h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(minima), BANDS)).copy()
     for r in range(ROWS):
-        h = core.mix(h * core._R ^ minima[:, r::ROWS].astype(np.uint64)) if len(h) else h
+        h = core.mix(h * core._R ^ minima[:, r : BANDS * ROWS : ROWS].astype(np.uint64)) if len(h) else h
     return h.view(np.int64)
 
 
@@ -169,6 +173,48 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def seek(rows: DataFrame, floor: float, nearest: int | None, per_task: int = 200_000) -> DataFrame:
+    """Distinct pairs (a, b), b the smaller, of rows (bucket, rep, root, main, sig): each rep whose root is not the bucket's main one,
+    with members of other roots whose estimate reaches floor; only the nearest few where a number is given."""
+    away = F.col("root") != F.col("main")
+    chunks = rows.groupBy("bucket").agg(F.ceil(F.count(F.when(away, 1)) / SEEKERS).cast("int").alias("chunks"), F.count("*").alias("n"))
+    shards = max(1, int((chunks.agg(F.sum(F.col("chunks") * F.col("n"))).first()[0] or 0) // per_task))
+    dealt = rows.join(chunks.select("bucket", "chunks"), "bucket").where("chunks > 0").select("bucket", "rep", "root", "sig", away.alias("away"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    dealt = dealt.select(F.pmod(F.xxhash64("bucket", "chunk"), F.lit(shards)).cast("int").alias("shard"), "bucket", "chunk", "rep", "root", "sig", (F.col("away") & (F.pmod(F.xxhash64("rep"), F.col("chunks")) == F.col("chunk"))).alias("own"))
+
+    def run(t: pa.Table) -> pa.Table:
+        bucket, chunk = t["bucket"].to_numpy(), t["chunk"].to_numpy()
+        rep, root, own = t["rep"].to_numpy(), t["root"].to_numpy(), t["own"].to_numpy()
+        sig = t["sig"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(rep), -1)
+        order = np.lexsort((rep, chunk, bucket))
+        b, c = bucket[order], chunk[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (c[1:] != c[:-1]), [True]]))
+        least = int(np.ceil((floor * (1 - 1 / 2**BITS) + 1 / 2**BITS) * HASHES))
+        found = []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            every = order[lo:hi]
+            seekers = every[own[every]]
+            tile = max(1, (1 << 17) // len(every))
+            for i in range(0, len(seekers), tile):
+                mine = seekers[i : i + tile]
+                z = sig[mine][:, None, :] ^ sig[every][None, :, :]
+                z |= z >> U(2)
+                z |= z >> U(1)
+                same = HASHES - np.bitwise_count(z & U(0x1111111111111111)).sum(axis=2, dtype=np.int32)
+                same[root[mine][:, None] == root[every][None, :]] = -1
+                if nearest and nearest < len(every):
+                    low = np.partition(same, len(every) - nearest, axis=1)[:, len(every) - nearest]
+                    x, y = np.nonzero(same >= np.maximum(low, least)[:, None])
+                else:
+                    x, y = np.nonzero(same >= least)
+                found.append((rep[mine[x]], rep[every[y]]))
+        a, b = (np.concatenate([f[k] for f in found] or [rep[:0]]) for k in (0, 1))
+        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that can be reached by links, itself included), kept: one row per row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -177,35 +223,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = core.written(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     placed = classes.select("rep", F.explode("bands").alias("bucket"))
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = placed.join(sizes, "bucket").select("bucket", "rep", "n", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")).alias("i"))
-    members = core.written(members, "members")
+    firsts = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1").select("bucket", "first")
+    members = core.written(placed.join(firsts, "bucket"), "members")
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = core.written(docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "candidates")
     sigs = classes.select("rep", "sig")
-    floor = percent / 100 - 6 * (0.25 / HASHES) ** 0.5 / (1 - 1 / 2**BITS)
-    links, seen, done, width, label = None, None, 0, 1, None
-    live = members
-    while True:
-        centres = live.where(f"i > {done} and i <= {done + width}").select("bucket", F.col("rep").alias("b"), *([F.col("root").alias("root_b")] if label is not None else []))
-        pairs = live.join(centres, "bucket").where("rep <> b" if label is None else "root <> root_b")
-        pairs = pairs.select(F.least("rep", "b").alias("b"), F.greatest("rep", "b").alias("a")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = core.written(pairs, "pairs")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        guess = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b").where(estimate("x", "y") >= floor)
-        found = core.written(confirm(guess.select("a", "b"), texts, k, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        done, width = done + width, width * 4
-        label = components(links)
-        rows = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", "i", F.coalesce("root", "rep").alias("root"))
-        open_ = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.first("n").alias("n")).where(f"lo <> hi and n > {done}").select("bucket")
-        live = core.written(rows.join(open_, "bucket", "left_semi"), "open")
-        if live.limit(1).count() == 0:
-            break
-    named = classes.select(*key, "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
+    p = percent / 100 + (1 - percent / 100) / 2**BITS
+    floor = percent / 100 - 6 * (p * (1 - p) / HASHES) ** 0.5 / (1 - 1 / 2**BITS)
+    seen = core.written(members.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
+    guess = seen.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b").where(estimate("x", "y") >= floor)
+    links = core.written(confirm(guess.select("a", "b"), texts, k, percent), "links")
+    for nearest in (NEAREST, None):
+        label = components(links).withColumnRenamed("node", "rep")
+        rows = members.join(label, "rep", "left").select("bucket", "rep", "first", F.coalesce("root", "rep").alias("root"))
+        main = rows.where("rep = first").select("bucket", F.col("root").alias("main"))
+        apart = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        open_ = core.written(rows.join(apart, "bucket", "left_semi").join(main, "bucket").join(sigs, "rep").select("bucket", "rep", "root", "main", "sig"), "open")
+        pairs = core.written(seek(open_, floor, nearest).join(seen, ["a", "b"], "left_anti"), "pairs")
+        seen = seen.unionByName(pairs)
+        links = links.unionByName(core.written(confirm(pairs, texts, k, percent), "links"))
+    label = components(links).withColumnRenamed("node", "rep")
+    named = classes.select(*key, "rep").join(label, "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", *key).join(named, key, "left")
-    # rows of one id whose classes differ are one document
     root = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), root).alias("component_id")).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
