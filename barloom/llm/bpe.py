@@ -164,16 +164,21 @@ def decode(encoded: DataFrame, document: str, ids: str = "ids", keep: tuple[str,
     return encoded.select(ids, *keep).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, document: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256 (bytes that the ids decode to)."""
+def round_trip(docs: DataFrame, document: str, text: str = "text", id_col: str = "doc_id", ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256 (bytes that the ids decode to); with ids, those bytes too."""
     core.bound_batches(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.binary())[: 3 + ids]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         c = codec(document)
         for b in batches:
-            out = [(len(ids), core.hex_sha256(ids.astype("<u4").tobytes()), core.hex_sha256(c.decode_bytes(ids.tolist()))) for _, ids in _encoded(b.column(0), c)]
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string())))], names=schema.names)
+            out = []
+            for _, got in _encoded(b.column(0), c):
+                raw = got.astype("<u4").tobytes()
+                out.append((len(got), core.hex_sha256(raw), core.hex_sha256(c.decode_bytes(got.tolist())), raw))
+            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), *(pa.array([x[i] for x in out], t) for i, t in enumerate(kinds))], names=names)
 
     return docs.select(text, id_col).mapInArrow(run, schema)
 

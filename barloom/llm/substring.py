@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -125,8 +126,11 @@ def kind(length: int = LENGTH, gram: int = GRAM) -> repeats.Kind:
     return repeats.Kind(length, min(gram, length), word_items, later)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = (), blocks: int | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, spans array<struct<start, end>> (words), text (kept words, one space between), unless n_removed is 0 also `original` null; rest."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = (), blocks: int | None = None, id_col: str = "doc_id", text: str = "text", keep_unchanged: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, spans array<struct<start, end>> (words), text (kept words, one space between), rest (columns of carry).
+
+    With keep_unchanged, a text that loses nothing comes back as it was, null included.
+    """
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("text", T.StringType())]
     if carry:
@@ -150,6 +154,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...]
         per = np.searchsorted(of, np.arange(n_docs + 1))
         spans = pa.ListArray.from_arrays(pa.array(per, pa.int32()), pa.StructArray.from_arrays([pa.array(a - at[of], pa.int32()), pa.array(z - at[of], pa.int32())], ["start", "end"]))
         text = pa.LargeStringArray.from_buffers(n_docs, pa.py_buffer(kept_off.astype(np.int64)), pa.py_buffer(kept)).cast(pa.string())
+        if keep_unchanged:
+            same = pa.array(total[at[1:]] == total[at[:-1]])
+            text = pc.if_else(same, left["text"].combine_chunks(), text)
         cols = {"doc_id": left["doc_id"], "n_words": pa.array(np.diff(at), pa.int64()), "n_removed": pa.array(total[at[1:]] - total[at[:-1]], pa.int64()), "spans": spans, "text": text}
         if carry:
             cols["rest"] = left["rest"]
