@@ -59,12 +59,15 @@ def tokens(text, training) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def planes(x: np.ndarray) -> np.ndarray:
-    """The bytes of 32-bit values, all first ones first: high bytes are mostly zero and compress well."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+    """32-bit values by bytes, all first ones first (high bytes are mostly zero), compressed."""
+    raw = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return np.concatenate([np.array([len(x)], "<i8").view(np.uint8), np.frombuffer(pa.compress(raw.tobytes(), "zstd", asbytes=True), np.uint8)])
 
 
 def unplanes(b: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(b.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    n = int(b[:8].view("<i8")[0])
+    raw = np.frombuffer(pa.decompress(b[8:].tobytes(), 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 class _Block:
@@ -172,7 +175,7 @@ def ask_bigrams(buckets: int):
             a, z = cuts[k], cuts[k + 1]
             head = np.flatnonzero(np.append(True, v[a + 1 : z] != v[a : z - 1]))
             name = b.names[w[a:z]] >> U(24)
-            blobs.append(pack(b.names[v[a:z][head]], planes(np.diff(np.append(head, z - a))), name.astype(np.uint32), (name >> U(32)).astype(np.uint8), planes(count[w[a:z]]), planes(own[a:z])))
+            blobs.append(pack(b.names[v[a:z][head]], planes(np.diff(np.append(head, z - a))), name.astype(np.uint32), (name >> U(32)).astype(np.uint8), planes(np.where(own[a:z] > 0, count[w[a:z]], 0)), planes(own[a:z])))
         return _rows(_ASK, bucket=full, block=[block] * len(full), data=blobs)
 
     return run
@@ -197,8 +200,8 @@ def count_bigrams(what: str, buckets: int):
             return _rows(_TOLD, block=blocks, kind=[1] * len(blocks), bucket=t["bucket"].to_pylist(), data=[pack(planes(all_[a:z])) for a, z in zip(cuts[:-1], cuts[1:])])
         if what == "stats":
             return pa.table({"s": pa.array([[0.0] * (3 + TOP + 1) + np.bincount(total[(total > 0) & (total <= TOP + 1)], minlength=TOP + 2)[1:].astype(float).tolist()], pa.list_(pa.float64()))})
-        first = np.empty(len(names), np.int64)
-        first[inverse[::-1]] = np.arange(len(inverse))[::-1]
+        first, seen = np.zeros(len(names), np.int64), np.flatnonzero(np.concatenate(own))  # only those tell the next word's count
+        first[inverse[seen]] = seen
         first, r = first[total > 0], total[total > 0]
         c = np.concatenate(tall)[first]
         who, of = np.unique(np.concatenate(history)[first], return_inverse=True)
