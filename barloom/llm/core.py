@@ -19,6 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+
+def _give_back() -> None:
+    """Let a worker's large buffers go back to the system when freed; workers outlive their tasks."""
+    import ctypes
+    import sys
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    if sys.platform == "linux":
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
+_give_back()
+
 #: Bytes of text that one block holds on average.
 BLOCK_BYTES = 12 << 20
 

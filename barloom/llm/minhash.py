@@ -10,8 +10,9 @@ similarity of their full sets reaches the threshold.
 3. Within a band bucket, no list of all pairs is made. First every member is compared with the bucket's first one.
    Where a bucket then still holds more than one component, each member outside the first one's component looks
    among members of other components for those whose signatures come near enough: first its 8 nearest, and, if
-   components remain apart after that, all of them. Pairs inside a component can't change the result, so none that
-   matters is left out. A large bucket's seekers are dealt over many tasks.
+   components remain apart after that, all of them, inside the task that has their texts, so that only links come
+   out. Pairs inside a component can't change the result, so none that matters is left out. A large bucket is dealt
+   over many tasks in tiles of seekers and members.
 4. A pair is first estimated: the share of equal 4-bit values, corrected for chance collisions. Pairs more than six
    standard deviations below the threshold are dropped; the others are confirmed on full sets.
 5. Components of the links by repeated minimum labels and shortcuts, as tables.
@@ -126,6 +127,16 @@ def estimate(a: str, b: str):
     return (F.expr(x) / HASHES - 1 / 2**BITS) / (1 - 1 / 2**BITS)
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach 100 * intersection >= percent * union."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) with 100 * intersection >= percent * union of their full sets; texts has (id, text)."""
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
@@ -143,16 +154,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                 for i in range(lo, hi):
                     if j + 1 < len(heads) and heads[j + 1] == i:
                         j += 1
-                    x, y = va[ba[i - lo] : ba[i - lo + 1]], vb[bb[j] : bb[j + 1]]
-                    if not len(x) or not len(y):
-                        continue
-                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                        continue
-                    if len(x) > len(y):
-                        x, y = y, x
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    both = int(np.count_nonzero(y[at] == x))
-                    good[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                    good[i] = _linked(va[ba[i - lo] : ba[i - lo + 1]], vb[bb[j] : bb[j + 1]], percent)
             mask = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -215,6 +217,56 @@ def seek(rows: DataFrame, floor: float, nearest: int | None, per_task: int = 200
     return dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
 
 
+def settle(rows: DataFrame, texts: DataFrame, floor: float, k: int, percent: int, task_bytes: int = 16 << 20) -> DataFrame:
+    """Links (a, b) between members of buckets that lie in different components: all that a seeker has whose estimate reaches floor,
+    but for those into a component that it is linked with already. rows: (bucket, rep, root, main, sig, bands); a pair is looked
+    at in the first of its common bands."""
+    away = F.col("root") != F.col("main")
+    tiles = rows.groupBy("bucket").agg(F.ceil(F.count(F.when(away, 1)) / SEEKERS).cast("int").alias("ns"), F.ceil(F.count("*") / (2 * SEEKERS)).cast("int").alias("nm"))
+    rows = rows.join(tiles, "bucket").where("ns > 0").join(texts.select(F.col("id").alias("rep"), "text"), "rep").select("bucket", "rep", "root", "sig", "bands", "text", "ns", "nm", away.alias("away"))
+    mine = rows.where("away").select("*", F.lit(True).alias("own"), F.pmod(F.xxhash64("rep"), F.col("ns")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"))
+    every = rows.select("*", F.lit(False).alias("own"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("i"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nm")).cast("int").alias("j"))
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("text") * (F.col("ns") + F.when(F.col("away"), F.col("nm")).otherwise(0)))).first()[0] or 0) // task_bytes))
+    dealt = mine.unionByName(every).select(F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(n)).cast("int").alias("shard"), "bucket", "i", "j", "rep", "root", "own", "sig", "bands", "text")
+    least = int(np.ceil((floor * (1 - 1 / 2**BITS) + 1 / 2**BITS) * HASHES))
+
+    def run(t: pa.Table) -> pa.Table:
+        bucket, i, j, rep, root, own = (t[c].to_numpy() for c in ("bucket", "i", "j", "rep", "root", "own"))
+        matrix = lambda c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(rep), -1)
+        sig, bands = matrix("sig"), matrix("bands")
+        text = t["text"].combine_chunks()
+        _, head, which = np.unique(rep, return_index=True, return_inverse=True)
+        sets = []
+        for a in range(0, len(head), DOCS):
+            values, bounds = shingle_sets(*core.flat(text.take(pa.array(head[a : a + DOCS]))), k)
+            sets += [values[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+        order = np.lexsort((j, i, bucket))
+        b = np.stack([bucket[order], i[order], j[order]])
+        cuts = np.flatnonzero(np.concatenate([[True], (b[:, 1:] != b[:, :-1]).any(axis=0), [True]]))
+        found = []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            tile = order[lo:hi]
+            seekers, members = tile[own[tile]], tile[~own[tile]]
+            for s in seekers.tolist():
+                z = sig[members] ^ sig[s]
+                z |= z >> U(2)
+                z |= z >> U(1)
+                same = HASHES - np.bitwise_count(z & U(0x1111111111111111)).sum(axis=1, dtype=np.int32)
+                near = np.flatnonzero((same >= least) & (root[members] != root[s]))
+                if not len(near):
+                    continue
+                common = bands[members[near]] == bands[s]
+                near = near[bands[s][common.argmax(axis=1)].view(np.int64) == bucket[s]]
+                x, met = sets[which[s]], set()
+                for m in members[near[np.argsort(-same[near], kind="stable")]].tolist():
+                    if int(root[m]) not in met and _linked(x, sets[which[m]], percent):
+                        met.add(int(root[m]))
+                        found.append((max(rep[s], rep[m]), min(rep[s], rep[m])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that can be reached by links, itself included), kept: one row per row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -227,21 +279,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     members = core.written(placed.join(firsts, "bucket"), "members")
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = core.written(docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "candidates")
-    sigs = classes.select("rep", "sig")
+    sigs = classes.select("rep", "sig", "bands")
     p = percent / 100 + (1 - percent / 100) / 2**BITS
     floor = percent / 100 - 6 * (p * (1 - p) / HASHES) ** 0.5 / (1 - 1 / 2**BITS)
     seen = core.written(members.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
     guess = seen.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b").where(estimate("x", "y") >= floor)
     links = core.written(confirm(guess.select("a", "b"), texts, k, percent), "links")
-    for nearest in (NEAREST, None):
+    for step in ("nearest", "all"):
         label = components(links).withColumnRenamed("node", "rep")
         rows = members.join(label, "rep", "left").select("bucket", "rep", "first", F.coalesce("root", "rep").alias("root"))
         main = rows.where("rep = first").select("bucket", F.col("root").alias("main"))
         apart = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = core.written(rows.join(apart, "bucket", "left_semi").join(main, "bucket").join(sigs, "rep").select("bucket", "rep", "root", "main", "sig"), "open")
-        pairs = core.written(seek(open_, floor, nearest).join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = seen.unionByName(pairs)
-        links = links.unionByName(core.written(confirm(pairs, texts, k, percent), "links"))
+        signed_rows = rows.join(apart, "bucket", "left_semi").join(main, "bucket").join(sigs, "rep")
+        if step == "nearest":
+            open_ = core.written(signed_rows.select("bucket", "rep", "root", "main", "sig"), "open")
+            pairs = core.written(seek(open_, floor, NEAREST).join(seen, ["a", "b"], "left_anti"), "pairs")
+            found = confirm(pairs, texts, k, percent)
+        else:
+            found = settle(core.written(signed_rows.select("bucket", "rep", "root", "main", "sig", "bands"), "open"), texts, floor, k, percent)
+        links = links.unionByName(core.written(found, "links"))
     label = components(links).withColumnRenamed("node", "rep")
     named = classes.select(*key, "rep").join(label, "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", *key).join(named, key, "left")
