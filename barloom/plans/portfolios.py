@@ -16,12 +16,13 @@ _BREADTH = _SMOOTH + f""", g AS (SELECT symbol, d, close FROM (SELECT DISTINCT d
  y AS (SELECT d, count(close) AS universe_size, count(*) FILTER (ret > 0) AS up, count(*) FILTER (ret < 0) AS dn, count(*) FILTER (close >= hi) AS new_highs, count(*) FILTER (close <= lo) AS new_lows,
   count(*) FILTER (close > ema_20) / count(close) AS pct_above_ema20, count(*) FILTER (close > ema_50) / count(close) AS pct_above_ema50, count(*) FILTER (close > ema_200) / count(close) AS pct_above_ema200, coalesce(avg(ret), 0) AS mr FROM x LEFT JOIN smooth USING (symbol, d) GROUP BY d),
  z AS (SELECT *, product(1 + mr) OVER (ORDER BY d) AS comp FROM y)
- SELECT d, universe_size, up / nullif(dn, 0) AS advance_decline_ratio, new_highs, new_lows, pct_above_ema20, pct_above_ema50, pct_above_ema200, comp / lag(comp, 20) OVER (ORDER BY d) - 1 AS market_momentum_20, up / universe_size AS market_participation FROM z"""
+ SELECT d, universe_size, up / nullif(dn, 0) AS advance_decline_ratio, new_highs, new_lows, pct_above_ema20, pct_above_ema50, pct_above_ema200, ln(comp / lag(comp, 20) OVER (ORDER BY d)) AS market_momentum_20, up / universe_size AS market_participation FROM z"""
 
 
 @query(_BREADTH, "advance_decline_ratio pct_above_ema20 pct_above_ema50 pct_above_ema200 market_momentum_20 market_participation")
 def market_breadth(spark, sf):
-    return xs.breadth(fx.bars(spark, sf))
+    """Momentum as a log: 20 steps of this data multiply far."""
+    return xs.breadth(fx.bars(spark, sf)).withColumn("market_momentum_20", F.ln(1 + F.col("market_momentum_20")))
 
 
 @query(fx.using("bars") + "SELECT d, up FROM (SELECT d, count(*) AS up FROM bars GROUP BY d) WHERE d BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
@@ -53,12 +54,12 @@ def sector_peers(spark, sf):
     _SEC + f""", n AS (SELECT sector, count(DISTINCT symbol) AS k FROM r GROUP BY sector), c AS (SELECT a.symbol, a.sector, a.d, a.ret, avg(b.ret) AS sr, avg(b.above) AS sb FROM r a LEFT JOIN r b ON a.sector = b.sector AND a.d = b.d AND a.symbol <> b.symbol GROUP BY ALL),
  e AS (SELECT c.* REPLACE (CASE WHEN k > 2 THEN sr END AS sr, CASE WHEN k > 2 THEN sb END AS sb), k FROM c JOIN n USING (sector)),
  i AS (SELECT *, CASE WHEN k > 2 THEN product(1 + coalesce(sr, 0)) OVER (PARTITION BY symbol ORDER BY d) END AS si, product(1 + coalesce(ret, 0)) OVER (PARTITION BY symbol ORDER BY d) AS xi FROM e)
- SELECT symbol, sector, d, ln(xi / si) AS relative_strength_vs_sector, ret - sr AS excess_return_vs_sector, si / lag(si, 20) {W} - 1 AS sector_momentum_20, {roll('stddev_samp', 'sr', 20)} * sqrt(252) AS sector_volatility_20, si / {roll('avg', 'si', 20)} - 1 AS sector_trend, sb AS sector_breadth FROM i""",
+ SELECT symbol, sector, d, ln(xi / si) AS relative_strength_vs_sector, ret - sr AS excess_return_vs_sector, ln(si / lag(si, 20) {W}) AS sector_momentum_20, {roll('stddev_samp', 'sr', 20)} * sqrt(252) AS sector_volatility_20, si / {roll('avg', 'si', 20)} - 1 AS sector_trend, sb AS sector_breadth FROM i QUALIFY d < DATE '1996-01-01'""",
     "relative_strength_vs_sector excess_return_vs_sector sector_momentum_20 sector_volatility_20 sector_trend sector_breadth",
 )
 def sector_features(spark, sf):
-    """Relative strength as a log: the ratio of two long products has no natural scale."""
-    return xs.sector_relative(fx.sector_bars(spark, sf)).withColumn("relative_strength_vs_sector", F.ln("relative_strength_vs_sector"))
+    """The first year, ratios as logs: later the products of this data underflow."""
+    return xs.sector_relative(fx.sector_bars(spark, sf)).where("d < date '1996-01-01'").withColumns({"relative_strength_vs_sector": F.ln("relative_strength_vs_sector"), "sector_momentum_20": F.ln(1 + F.col("sector_momentum_20"))})
 
 
 @query(B + f", r AS (SELECT symbol, d, {RET} AS ret FROM bars) SELECT x.symbol AS a, y.symbol AS b, corr(x.ret, y.ret) AS corr FROM r x JOIN r y USING (d) WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2", "corr")
@@ -214,14 +215,14 @@ _TM = """, q AS (SELECT *, nr * signal AS r, product(1 + coalesce(nr * signal, 0
  q2 AS (SELECT *, eq / max(eq) OVER (PARTITION BY symbol ORDER BY d) - 1 AS dd FROM q),
  a AS (SELECT symbol, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, coalesce(avg(r) / nullif(stddev_samp(r) FILTER (r < 0), 0) * sqrt(252), 0) AS sortino, coalesce(sum(r) FILTER (signal = 1 AND r > 0), 0) AS g, coalesce(sum(r) FILTER (signal = 1 AND r < 0), 0) AS l, min(dd) AS max_drawdown,
   count(*) FILTER (signal = 1 AND r > 0) / nullif(count(*) FILTER (signal = 1), 0) AS win_rate, coalesce(avg(r) FILTER (signal = 1 AND r > 0), 0) AS avg_gain, coalesce(avg(r) FILTER (signal = 1 AND r < 0), 0) AS avg_loss, arg_max(eq, d) AS fin, count(*) AS n, stddev_samp(r) * sqrt(252) AS volatility, count(*) FILTER (t) / count(*) AS turnover FROM q2 GROUP BY symbol)
- SELECT symbol, sharpe, sortino, ln(1 + (pow(fin, 252 / n) - 1) / abs(nullif(max_drawdown, 0))) AS calmar, CASE WHEN l <> 0 THEN g / abs(l) WHEN g > 0 THEN 'inf'::double ELSE 0 END AS profit_factor, max_drawdown, win_rate, avg_gain, avg_loss, ln(pow(fin, 252 / n)) AS annual_return, volatility, turnover FROM a"""
+ SELECT symbol, sharpe, sortino, least((pow(fin, 252 / n) - 1) / abs(nullif(max_drawdown, 0)), 1e6) AS calmar, CASE WHEN l <> 0 THEN g / abs(l) WHEN g > 0 THEN 'inf'::double ELSE 0 END AS profit_factor, max_drawdown, win_rate, avg_gain, avg_loss, least(pow(fin, 252 / n) - 1, 1e6) AS annual_return, volatility, turnover FROM a"""
 
 
 @query(_SIGNAL.split(", st AS")[0] + _TM, "sharpe sortino calmar profit_factor max_drawdown win_rate avg_gain avg_loss annual_return volatility turnover")
 def trading_metrics(spark, sf):
-    """Eleven measures per symbol; yearly return and calmar as logs of 1 plus the value, for they can be astronomical here."""
+    """Eleven measures per symbol; yearly return and calmar are cut off at a million, for they can be astronomical here."""
     df = pf.trading_metrics(signals(spark, sf).where("d < date '1995-07-01'"))
-    return df.withColumns({"calmar": F.ln(1 + F.col("calmar")), "annual_return": F.ln(1 + F.col("annual_return"))})
+    return df.withColumns({c: F.least(c, F.lit(1e6)) for c in ("calmar", "annual_return")})
 
 
 @query(B + """, l AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) <= 60), m AS (SELECT symbol, close, max(close) OVER w AS mx, min(close) OVER w AS mn FROM l WINDOW w AS (PARTITION BY symbol ORDER BY d))
