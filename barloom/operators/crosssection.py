@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import indicators as ind
-from .windows import BY, SO_FAR, YEAR, change, last, rolling
+from .windows import by, so_far, YEAR, change, last, rolling
 
-BY_DATE = Window.partitionBy().orderBy("d")  # one row per trading date: thousands, however many symbols there are
+def by_date():
+    """One row per trading date: thousands, however many symbols there are."""
+    return Window.partitionBy().orderBy("d")
 
 
 def grid(bars: DataFrame) -> DataFrame:
@@ -31,10 +33,10 @@ def breadth(bars: DataFrame) -> DataFrame:
         n.alias("universe_size"), F.count_if(F.col("ret") > 0).alias("up"), F.count_if(F.col("ret") < 0).alias("down"), F.count_if(c >= F.col("hi")).alias("new_highs"), F.count_if(c <= F.col("lo")).alias("new_lows"),
         *((F.count_if(c > F.col(e)) / n).alias(f"pct_above_{e.replace('_', '')}") for e in emas), F.coalesce(F.avg("ret"), F.lit(0.0)).alias("mean_ret"),
     )
-    day = day.withColumn("composite", F.product(1 + F.col("mean_ret")).over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)))
+    day = day.withColumn("composite", F.product(1 + F.col("mean_ret")).over(by_date().rowsBetween(Window.unboundedPreceding, 0)))
     return day.select(
         "d", "universe_size", (F.col("up") / F.nullif("down", F.lit(0))).alias("advance_decline_ratio"), "new_highs", "new_lows", "pct_above_ema20", "pct_above_ema50", "pct_above_ema200",
-        (F.col("composite") / F.lag("composite", 20).over(BY_DATE) - 1).alias("market_momentum_20"), (F.col("up") / F.col("universe_size")).alias("market_participation"),
+        (F.col("composite") / F.lag("composite", 20).over(by_date()) - 1).alias("market_momentum_20"), (F.col("up") / F.col("universe_size")).alias("market_participation"),
     )
 
 
@@ -60,11 +62,11 @@ def sector_relative(bars: DataFrame, least: int = 2) -> DataFrame:
         "sector_breadth": F.when((F.col("others") >= least) & (F.col("m") > 1), (F.col("a") - F.col("above")) / (F.col("m") - 1)),
     })
     enough = F.col("others") >= least
-    cum = lambda x: F.product(1 + F.coalesce(x, F.lit(0.0))).over(SO_FAR)
+    cum = lambda x: F.product(1 + F.coalesce(x, F.lit(0.0))).over(so_far())
     df = df.withColumns({"si": F.when(enough, cum("sector_ret")), "xi": cum("ret")})
     return df.select(
         "symbol", "sector", "d", (F.col("xi") / F.col("si")).alias("relative_strength_vs_sector"), (F.col("ret") - F.col("sector_ret")).alias("excess_return_vs_sector"),
-        (F.col("si") / F.lag("si", 20).over(BY) - 1).alias("sector_momentum_20"), (rolling(F.stddev_samp, F.col("sector_ret"), 20) * math.sqrt(YEAR)).alias("sector_volatility_20"),
+        (F.col("si") / F.lag("si", 20).over(by()) - 1).alias("sector_momentum_20"), (rolling(F.stddev_samp, F.col("sector_ret"), 20) * math.sqrt(YEAR)).alias("sector_volatility_20"),
         (F.col("si") / rolling(F.avg, F.col("si"), 20) - 1).alias("sector_trend"), "sector_breadth",
     )
 

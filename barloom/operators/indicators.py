@@ -14,21 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.smoothing import SMOOTHINGS, appender  # noqa: F401
-from .windows import BY, YEAR, change, last, rank_of_last, rolling
+from .windows import by, YEAR, change, last, rank_of_last, rolling
 
-C, O, H, L, V = (F.col(x) for x in ("close", "open", "high", "low", "volume"))
+def sma(n: int = 20, c: str = "close") -> Column:
+    return rolling(F.avg, F.col(c), n)
 
 
-def sma(n: int = 20, c: Column = C) -> Column:
-    return rolling(F.avg, c, n)
+def returns(c: str = "close") -> Column:
+    return change(F.col(c))
 
 
-def returns(c: Column = C) -> Column:
-    return change(c)
-
-
-def log_returns(c: Column = C) -> Column:
-    return F.ln(F.try_divide(c, F.lag(c).over(BY)))
+def log_returns(c: str = "close") -> Column:
+    return F.ln(F.try_divide(F.col(c), F.lag(c).over(by())))
 
 
 def volatility(df: DataFrame, name: str = "volatility_20", n: int = 20, annual: bool = True) -> DataFrame:
@@ -38,32 +35,33 @@ def volatility(df: DataFrame, name: str = "volatility_20", n: int = 20, annual:
 
 
 def bollinger(n: int = 20, k: float = 2.0) -> dict[str, Column]:
-    middle, dev = sma(n), rolling(F.stddev_samp, C, n)
+    middle, dev = sma(n), rolling(F.stddev_samp, F.col("close"), n)
     return {"middle": middle, "upper": middle + k * dev, "lower": middle - k * dev}
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(BY)
-    return F.greatest(H - L, F.abs(H - before), F.abs(L - before))
+    before = F.lag("close").over(by())
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
 def vwap(n: int = 20) -> Column:
-    typical = (H + L + C) / 3
-    return F.try_divide(rolling(F.sum, typical * V, n), rolling(F.sum, V, n))
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    return F.try_divide(rolling(F.sum, typical * F.col("volume"), n), rolling(F.sum, F.col("volume"), n))
 
 
 def support_resistance(n: int = 20) -> dict[str, Column]:
-    return {"support": rolling(F.min, L, n), "resistance": rolling(F.max, H, n)}
+    return {"support": rolling(F.min, F.col("low"), n), "resistance": rolling(F.max, F.col("high"), n)}
 
 
 def parkinson(n: int = 20) -> Column:
-    term = F.pow(F.ln(H / L), 2) / (4 * math.log(2))
+    term = F.pow(F.ln(F.col("high") / F.col("low")), 2) / (4 * math.log(2))
     return F.sqrt(rolling(F.avg, term, n)) * math.sqrt(YEAR)
 
 
 def yang_zhang(df: DataFrame, name: str = "yang_zhang_20", n: int = 20) -> DataFrame:
     """Overnight, open-to-close and range parts, weighted; below 0 counts as 0."""
-    df = df.withColumns({"_on": F.ln(O / F.lag("close").over(BY)), "_oc": F.ln(C / O), "_rs": F.ln(H / C) * F.ln(H / O) + F.ln(L / C) * F.ln(L / O)})
+    o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
+    df = df.withColumns({"_on": F.ln(o / F.lag("close").over(by())), "_oc": F.ln(c / o), "_rs": F.ln(h / c) * F.ln(h / o) + F.ln(l / c) * F.ln(l / o)})
     k = 0.34 / (1.34 + (n + 1) / (n - 1))
     var = rolling(F.var_samp, F.col("_on"), n) + k * rolling(F.var_samp, F.col("_oc"), n) + (1 - k) * rolling(F.avg, F.col("_rs"), n)
     return df.withColumn(name, F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)))) * math.sqrt(YEAR)).drop("_on", "_oc", "_rs")

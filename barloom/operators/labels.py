@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import indicators as ind
-from .windows import BY, rolling
+from .windows import by, rolling
 
 
 def direction(horizon: int = 1) -> Column:
     """1 if the close `horizon` rows on is higher, else 0; NULL where there is none."""
-    ahead = F.lead("close", horizon).over(BY)
+    ahead = F.lead("close", horizon).over(by())
     return F.when(ahead.isNotNull(), (ahead > F.col("close")).cast("double"))
 
 
@@ -20,7 +20,7 @@ def _three(move: Column, band: Column) -> Column:
 
 
 def ahead(horizon: int = 1) -> Column:
-    return F.try_divide(F.lead("close", horizon).over(BY), F.col("close")) - 1
+    return F.try_divide(F.lead("close", horizon).over(by()), F.col("close")) - 1
 
 
 def threshold(horizon: int = 1, limit: float = 0.01) -> Column:
@@ -42,7 +42,7 @@ def by_atr(df: DataFrame, name: str = "atr_label", horizon: int = 1, k: float =
 def triple_barrier(df: DataFrame, horizon: int = 10, upper_k: float = 2.0, lower_k: float = 2.0) -> DataFrame:
     """tb_label, barrier_hit and days_to_hit: the first of the next rows whose high reaches the upper barrier or whose low the lower one;
     the upper one goes first on the same row. No hit: 0, vertical, at the last row there is."""
-    path = F.collect_list(F.struct("high", "low")).over(BY.rowsBetween(1, horizon))
+    path = F.collect_list(F.struct("high", "low")).over(by().rowsBetween(1, horizon))
     df = ind.smoothed(df.withColumn("_path", path), "atr_14")
     width = F.col("atr_14") / F.col("close")
     df = df.withColumns({"_up": F.col("close") * (1 + upper_k * width), "_down": F.col("close") * (1 - lower_k * width)})

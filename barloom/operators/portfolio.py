@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import BY, SO_FAR, YEAR, change
+from .windows import by, so_far, YEAR, change
 
 ROOT = math.sqrt(YEAR)
 
@@ -34,12 +34,12 @@ def lot_gains(lots: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def cumulative(c: Column) -> Column:
-    return c / F.first(c).over(SO_FAR) - 1
+    return c / F.first(c).over(so_far()) - 1
 
 
 def drawdown(df: DataFrame, c: str = "close") -> DataFrame:
     """symbol and its largest fall from the highest value so far."""
-    down = F.col(c) / F.max(c).over(SO_FAR) - 1
+    down = F.col(c) / F.max(c).over(so_far()) - 1
     return df.select("symbol", down.alias("x")).groupBy("symbol").agg(F.min("x").alias("max_drawdown"))
 
 
@@ -75,14 +75,14 @@ def diversification(w: str = "weight") -> Column:
 def equity(df: DataFrame, signal: str = "signal", ret: str = "next_ret") -> DataFrame:
     """Strategy and buy-and-hold curves; a missing return is 0."""
     both = {"strategy": F.col(ret) * F.col(signal), "hold": F.col(ret)}
-    return df.withColumns({k: F.product(1 + F.coalesce(v, F.lit(0.0))).over(SO_FAR) for k, v in both.items()})
+    return df.withColumns({k: F.product(1 + F.coalesce(v, F.lit(0.0))).over(so_far()) for k, v in both.items()})
 
 
 def trading_metrics(df: DataFrame) -> DataFrame:
     """Per symbol, of a long or flat signal (signal, next_ret): eleven measures. No losses but gains: infinite profit factor."""
     r, s = F.col("next_ret") * F.col("signal"), F.col("signal")
     df = equity(df).withColumn("r", r)
-    df = df.withColumns({"down": F.col("strategy") / F.max("strategy").over(SO_FAR) - 1, "turn": (F.coalesce(s - F.lag("signal").over(BY), F.lit(0)) != 0).cast("int")})
+    df = df.withColumns({"down": F.col("strategy") / F.max("strategy").over(so_far()) - 1, "turn": (F.coalesce(s - F.lag("signal").over(by()), F.lit(0)) != 0).cast("int")})
     trade = s == 1
     gain, loss = F.when(trade & (F.col("r") > 0), F.col("r")), F.when(trade & (F.col("r") < 0), F.col("r"))
     out = df.groupBy("symbol").agg(
@@ -116,6 +116,6 @@ def recent_swings(bars: DataFrame, n: int = 60) -> DataFrame:
     """Largest fall and rise within the last n rows of each symbol; 0 with fewer than 5."""
     late = bars.withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("d")))).where(f"r <= {n}")
     c = F.col("close")
-    late = late.withColumns({"down": (c - F.max(c).over(SO_FAR)) / F.max(c).over(SO_FAR), "up": (c - F.min(c).over(SO_FAR)) / F.min(c).over(SO_FAR)})
+    late = late.withColumns({"down": (c - F.max(c).over(so_far())) / F.max(c).over(so_far()), "up": (c - F.min(c).over(so_far())) / F.min(c).over(so_far())})
     few = F.count("*") < 5
     return late.groupBy("symbol").agg(F.when(few, 0.0).otherwise(F.min("down")).alias("expected_drawdown"), F.when(few, 0.0).otherwise(F.max("up")).alias("expected_upside"))

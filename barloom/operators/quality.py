@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .calendar import is_trading_day
-from .windows import BY, change
+from .windows import by, change
 
 MIN_ROWS, OUTLIER, LARGE_MOVE = 500, 0.40, 0.15
 REQUIRED = ("open", "high", "low", "close", "volume")

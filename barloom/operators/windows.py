@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("symbol").orderBy("d")
-SO_FAR = BY.rowsBetween(Window.unboundedPreceding, 0)
 YEAR = 252
 
 
+def by():
+    """Each symbol's rows in order of date. Made when called: a window needs a session."""
+    return Window.partitionBy("symbol").orderBy("d")
+
+
+def so_far():
+    return by().rowsBetween(Window.unboundedPreceding, 0)
+
+
 def last(n: int):
-    return BY.rowsBetween(1 - n, 0)
+    return by().rowsBetween(1 - n, 0)
 
 
 def rolling(f, c: Column, n: int, least: int | None = None) -> Column:
@@ -20,7 +27,7 @@ def rolling(f, c: Column, n: int, least: int | None = None) -> Column:
 
 
 def change(c: Column, n: int = 1) -> Column:
-    return F.try_divide(c, F.lag(c, n).over(BY)) - 1
+    return F.try_divide(c, F.lag(c, n).over(by())) - 1
 
 
 def rank_of_last(c: Column, n: int, least: int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands
 from ..operators import calendar as cal, evaluation as ev, features, indicators as ind, labels, models as ml, portfolio as pf, quality, store
-from ..operators.windows import BY, change, rolling
+from ..operators.windows import by, change, rolling
 from ..sources import fixtures as fx
 from .market import B, RET, W, _SMOOTH, _VOLPCT, roll
 from .registry import query
@@ -20,7 +20,7 @@ _PREDS = B + f""", z AS (SELECT symbol, d, {RET} AS lag_return_1, (close - {roll
 def preds(spark, sf) -> DataFrame:
     c = F.col("close")
     z = (c - rolling(F.avg, c, 20)) / rolling(F.stddev_samp, c, 20)
-    df = fx.bars(spark, sf).select("symbol", "d", change(c).alias("lag_return_1"), z.alias("z"), labels.direction().cast("int").alias("actual"), F.row_number().over(BY).alias("r"))
+    df = fx.bars(spark, sf).select("symbol", "d", change(c).alias("lag_return_1"), z.alias("z"), labels.direction().cast("int").alias("actual"), F.row_number().over(by()).alias("r"))
     df = df.where("z is not null and actual is not null").withColumn("probability", F.round(1 / (1 + F.exp(-F.col("z"))), 6))
     return df.select("symbol", "d", "lag_return_1", "probability", (F.col("probability") >= 0.5).cast("int").alias("predicted"), "actual", F.concat(F.lit("m"), (F.col("r") % 2).cast("string")).alias("model_version"))
 
@@ -181,7 +181,7 @@ _RISK = _SMOOTH + ", v AS (" + _VOLPCT.replace(", x AS", "WITH x AS", 1).lstrip(
 def risk_assessment(spark, sf):
     """Newest row of each symbol; without a model, stability counts 50."""
     df = ind.volatility(fx.bars(spark, sf)).withColumn("regime", ind.regime(ind.percentile_rank(F.col("volatility_20"))))
-    df = ind.smoothed(df.withColumn("newest", F.lead("d").over(BY).isNull()), "adx_14").where("newest")
+    df = ind.smoothed(df.withColumn("newest", F.lead("d").over(by()).isNull()), "adx_14").where("newest")
     v = F.coalesce("volatility_20", F.lit(0.0))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), v / 0.6 * 100))
     return df.select("symbol", v.alias("volatility"), score.alias("volatility_score"), (0.6 * score + 0.4 * 50).alias("risk_score"), bands.risk(v).alias("risk_level"), F.concat(F.when(F.col("adx_14") >= 25, "trending").otherwise("ranging"), F.lit(", "), F.col("regime"), F.lit(" volatility")).alias("market_regime"))
@@ -251,7 +251,7 @@ def prediction_timeline(spark, sf):
 @query(B + f", s AS (SELECT symbol, d, close / lag(close) {W} - 1 AS c, volume, row_number() OVER (PARTITION BY symbol ORDER BY d DESC) AS n FROM bars) SELECT (SELECT arg_max(symbol, c) FROM s WHERE n = 1) AS best, (SELECT arg_min(symbol, c) FROM s WHERE n = 1) AS worst, (SELECT string_agg(symbol, ',' ORDER BY volume DESC, symbol) FROM (SELECT * FROM s WHERE n = 1 ORDER BY volume DESC, symbol LIMIT 10)) AS leaders")
 def movers(spark, sf):
     """Best and worst change, and the ten largest volumes, of the newest rows."""
-    df = fx.bars(spark, sf).select("symbol", "d", "volume", change(F.col("close")).alias("c"), F.lead("d").over(BY).isNull().alias("newest")).where("newest")
+    df = fx.bars(spark, sf).select("symbol", "d", "volume", change(F.col("close")).alias("c"), F.lead("d").over(by()).isNull().alias("newest")).where("newest")
     top = df.orderBy(F.desc("volume"), "symbol").limit(10)
     lead = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("volume")).alias("v"), "symbol"))), lambda x: x["symbol"]), ",").alias("leaders"))
     return df.agg(F.max_by("symbol", "c").alias("best"), F.min_by("symbol", "c").alias("worst")).join(lead)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features, indicators as ind, labels
-from ..operators.windows import BY, change
+from ..operators.windows import by, change
 from ..sources import fixtures as fx
 from .registry import query
 from .smoothing_sql import smoothing
@@ -118,7 +118,7 @@ def ind_volatility_regime(spark, sf):
 def latest_snapshot(spark, sf):
     """The newest row of each symbol: changes over 1, 5 and 21 rows, a year's range, mean volume."""
     df = fx.bars(spark, sf)
-    newest = F.lead("d").over(BY).isNull().alias("newest")
+    newest = F.lead("d").over(by()).isNull().alias("newest")
     return df.select(
         "symbol", "d", "close", *(change(F.col("close"), n).alias(f"change_{n}") for n in (1, 5, 21)), ind.trailing(252, F.min, F.col("low")).alias("low_252"),
         ind.trailing(252, F.max, F.col("high")).alias("high_252"), ind.trailing(20, F.avg, F.col("volume")).alias("volume_20"), newest,

@@ -10,12 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_PRICE = F.col("l_extendedprice") / F.col("l_quantity")
-_ORDER = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+def _price():
+    return F.col("l_extendedprice") / F.col("l_quantity")
 
 
-def ohlcv(trades: DataFrame, *keys: str, price=_PRICE, order=_ORDER, volume="l_quantity") -> DataFrame:
+def ohlcv(trades: DataFrame, *keys: str) -> DataFrame:
     """Bars of trades: first and last price by order, extremes, summed volume. One partial aggregate before the shuffle."""
+    price, volume = _price(), "l_quantity"
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     return trades.groupBy(*keys).agg(
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.sum(volume).cast("long").alias("volume")
     )
@@ -46,7 +48,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return line.select(F.col("o_custkey").alias("portfolio_id"), F.col("p_brand").alias("symbol"), F.col("l_quantity").alias("shares"), _PRICE.alias("avg_cost"))
+    return line.select(F.col("o_custkey").alias("portfolio_id"), F.col("p_brand").alias("symbol"), F.col("l_quantity").alias("shares"), _price().alias("avg_cost"))
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
