@@ -71,19 +71,20 @@ def unplanes(b: np.ndarray) -> np.ndarray:
 
 
 class _Block:
-    """The distinct tokens of a block, sorted by bucket and name, BEGIN among them."""
+    """The distinct tokens of a block, sorted by bucket and name, BEGIN among them. Arrays over tokens are kept narrow."""
 
     def __init__(self, left: pa.Table, buckets: int):
         h, self.begins, self.training = tokens(left["text"], left["training"])
         names, inverse = np.unique(np.append(h, BEGIN), return_inverse=True)
-        bucket = (names % U(buckets)).astype(np.int64)
+        del h
+        bucket = (names % U(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.names, self.ids = names[order], rank[inverse[:-1]]
-        self.begin = rank[inverse[-1]]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.names, inverse = names[order], rank[inverse]
+        self.ids, self.begin = inverse[:-1], int(inverse[-1])
         self.cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        self.history = np.empty(len(h), np.int64)
+        self.history = np.empty(len(self.ids), np.int32)
         self.history[1:] = self.ids[:-1]
         self.history[self.begins[:-1]] = self.begin
 
@@ -94,16 +95,28 @@ class _Block:
 
     def bigrams(self, count: np.ndarray, buckets: int):
         """Distinct bigrams in the order in which they are asked: (history, next, training count, bucket), and that of each token."""
-        n = len(self.names)
-        key, inverse = np.unique(self.history.astype(np.uint64) * U(n) + self.ids.astype(np.uint64), return_inverse=True)
-        v, w = (key // U(n)).astype(np.int64), (key % U(n)).astype(np.int64)
-        own = np.bincount(inverse[self.training], minlength=len(key))
-        parts = (count[v] // SHARE + 1).astype(np.uint64)
-        bucket = ((core.mix(self.names[v]) + (core.mix(self.names[w]) >> U(20)) % parts) % U(buckets)).astype(np.int64)
+        n = U(len(self.names))
+        key = self.history.astype(np.uint64)
+        key *= n
+        key += self.ids.astype(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        mine = np.empty(len(key), np.int32)
+        mine[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
+        key = key[new]
+        v, w = (key // n).astype(np.int32), (key % n).astype(np.int32)
+        del key, new
+        own = np.bincount(mine[self.training], minlength=len(v)).astype(np.int32)
+        bucket = core.mix(self.names[w]) >> U(20)
+        bucket %= (count[v] // SHARE + 1).astype(np.uint64)
+        bucket += core.mix(self.names[v])
+        bucket = (bucket % U(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return v[order], w[order], own[order], bucket[order], rank[inverse]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        return v[order], w[order], own[order], bucket[order], rank[mine]
 
 
 def _rows(schema: dict, **columns):
@@ -303,20 +316,24 @@ def evaluate(buckets: int):
         b = _Block(left, buckets)
         count = _answers(right, 0, b.cuts, _counts, np.int64)
         _, _, _, bucket, mine = b.bigrams(count, buckets)
-        pairs = _answers(right, 1, np.searchsorted(bucket, np.arange(buckets + 1)), _counts, np.int64)[mine]
+        pairs = _answers(right, 1, np.searchsorted(bucket, np.arange(buckets + 1)), _counts, np.int64)
         weight = _answers(right, 2, b.cuts, lambda x: unpack(x, np.float64, np.float64, np.uint8)[1], np.float64)
         divisor = _answers(right, 2, b.cuts, lambda x: unplanes(unpack(x, np.float64, np.float64, np.uint8)[2]), np.int64)
         stats = next(unpack(x.as_py(), np.float64, np.float64, np.uint8)[0] for k, x in zip(right["kind"].to_pylist(), right["data"]) if k == 2)
         m = Model(stats)
-        c = count[b.ids]
-        seen = m.two[np.minimum(pairs, TOP)] * pairs / np.maximum(divisor[b.history], 1)
-        seen[pairs > TOP] = (pairs / np.maximum(divisor[b.history], 1))[pairs > TOP]
-        p = np.where(pairs > 0, seen, weight[b.history] * m.unigram(c))
         heads = b.begins[:-1]
-        return _rows(
-            _SCORE, doc_id=left["doc_id"].combine_chunks(), held_out=[not x for x in left["training"].to_pylist()], n_tokens=np.diff(b.begins), n_known=np.add.reduceat((c > 0).astype(np.int64), heads),
-            train_tokens=[int(m.n)] * left.num_rows, base_score=np.add.reduceat(np.log10((c + 1) / (m.n + m.v + 1)), heads), score=np.add.reduceat(np.log10(p), heads),
-        )
+        known, base, score = (np.zeros(len(heads), t) for t in (np.int64, np.float64, np.float64))
+        doc = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(b.begins))
+        for a in range(0, len(b.ids), 1 << 18):  # the arrays of doubles stay small
+            z = slice(a, a + (1 << 18))
+            c, r, v, of = count[b.ids[z]], pairs[mine[z]], b.history[z], doc[z]
+            seen = np.where(r > TOP, 1.0, m.two[np.minimum(r, TOP)]) * r / np.maximum(divisor[v], 1)
+            p = np.where(r > 0, seen, weight[v] * m.unigram(c))
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            np.add.at(known, of[first], np.add.reduceat((c > 0).astype(np.int64), first))
+            np.add.at(base, of[first], np.add.reduceat(np.log10((c + 1) / (m.n + m.v + 1)), first))
+            np.add.at(score, of[first], np.add.reduceat(np.log10(p), first))
+        return _rows(_SCORE, doc_id=left["doc_id"].combine_chunks(), held_out=[not x for x in left["training"].to_pylist()], n_tokens=np.diff(b.begins), n_known=known, train_tokens=[int(m.n)] * left.num_rows, base_score=base, score=score)
 
     return run
 

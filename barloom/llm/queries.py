@@ -40,9 +40,57 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.public_document())
 
 
+_WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Budget 512 and history 128, as format_windows has them.
+CHAT_SQL = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(t)),
+  e AS (SELECT *, length(replace(replace(replace(replace(role, '\', '\s'), '###', '\h'), '</turn>', '\e'), ':', '\c')) + length(replace(replace(replace(text, '\', '\s'), '###', '\h'), '</turn>', '\e')) + 14 AS size,
+      CAST(ceil(length(text) / 4) + 4 AS bigint) AS tok, row_number() OVER w AS pos, first_value(role) OVER w = 'system' AS led FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+  s AS (SELECT *, NOT (led AND pos = 1) AS fresh, CASE WHEN led THEN first_value(tok) OVER w ELSE 0 END AS st, CASE WHEN led THEN first_value(size) OVER w ELSE 0 END AS sl FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+  p AS (SELECT *, sum(tok) OVER w AS p_end, sum(tok) OVER w - tok AS p, sum(size) OVER w - size AS q, row_number() OVER w AS i FROM s WHERE fresh WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+  h AS MATERIALIZED (SELECT *, min(p) OVER g AS hp, min(q) OVER g AS hq FROM p WINDOW g AS (PARTITION BY conv_id ORDER BY p RANGE BETWEEN 128 PRECEDING AND CURRENT ROW)),
+  f AS (SELECT conv_id, i, p AS base, sl AS extra FROM h WHERE i = 1 UNION ALL
+    SELECT h.conv_id, h.i, CASE WHEN h.p_end - f.base + st <= 512 THEN f.base WHEN h.p_end - hp + st <= 512 THEN hp ELSE h.p END,
+      CASE WHEN h.p_end - f.base + st <= 512 THEN 0 WHEN h.p_end - hp + st <= 512 THEN sl + q - hq ELSE sl END FROM f JOIN h ON h.conv_id = f.conv_id AND h.i = f.i + 1),
+  x AS (SELECT conv_id, sum(extra) AS extra FROM f GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(coalesce(sum(size) FILTER (fresh), 0) + coalesce(any_value(extra), any_value(sl)) AS bigint) AS formatted_chars
+FROM s LEFT JOIN x USING (conv_id) GROUP BY conv_id"""
+
+SUBSTRING_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+  p AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, w FROM w),
+  g AS (SELECT doc_id, n, word, i, CASE WHEN i + 19 <= n THEN array_to_string(w[i:i + 19], ' ') END AS g FROM p),
+  f AS (SELECT doc_id, n, word, i, g IS NOT NULL AND row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS again FROM g),
+  c AS (SELECT doc_id, word, i, count(*) FILTER (again) OVER (PARTITION BY doc_id ORDER BY i ROWS 19 PRECEDING) > 0 AS gone FROM f),
+  k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
+
+NEAR_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWERED)} AS w FROM documents),
+  s AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w)),
+  n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  e AS MATERIALIZED (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2) JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+  r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+  c AS (SELECT x AS doc_id, min(y) AS y FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id, d.doc_id <= coalesce(y, d.doc_id) AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+SUFFIX_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  b AS (SELECT doc_id, unnest(range(0, len(h) // 2)) AS i, h FROM h),
+  g AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN 2 * i + 100 <= len(h) THEN substr(h, 2 * i + 1, 100) END AS g FROM b),
+  f AS (SELECT doc_id, i, b, g IS NOT NULL AND min(doc_id) OVER (PARTITION BY g) < doc_id AS again FROM g),
+  c AS (SELECT doc_id, i, b, count(*) FILTER (again) OVER (PARTITION BY doc_id ORDER BY i ROWS 49 PRECEDING) > 0 AS gone FROM f),
+  l AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM c),
+  k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM l GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS bigint) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN k USING (doc_id)"""
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op9_media_columns, op10_byte_bpe)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_chat_format": CHAT_SQL, "op3_substring_dedup": SUBSTRING_SQL, "op6_minhash_near_dedup": NEAR_SQL, "op8_suffix_dedup": SUFFIX_SQL}
 
 
 def op3_substring_dedup(spark, sf_dir):
