@@ -67,7 +67,7 @@ def validation_checks(spark, sf):
 
 @query(
     _REPORT + """, mv AS (SELECT symbol, count(*) FILTER (abs(ret) > .15) AS moves FROM x GROUP BY symbol),
- s AS (SELECT 100.0 * avg(1 - missing_value_rows / row_count) FILTER (included) AS completeness, 100.0 * avg(CASE WHEN high_below_low + high_below_body + low_above_body + non_positive_close + negative_volume = 0 AND duplicate_dates = 0 THEN 1.0 ELSE 0.0 END) FILTER (included) AS integrity,
+ s AS (SELECT coalesce(100.0 * avg(1 - missing_value_rows / row_count) FILTER (included), 0) AS completeness, coalesce(100.0 * avg(CASE WHEN high_below_low + high_below_body + low_above_body + non_positive_close + negative_volume = 0 AND duplicate_dates = 0 THEN 1.0 ELSE 0.0 END) FILTER (included), 0) AS integrity,
   100.0 * count(*) FILTER (included) / count(*) AS coverage, avg(greatest(0.0, 100.0 - greatest(0, DATE '2001-11-06' - last_date - 3) * 5.0)) AS freshness, avg(CASE WHEN moves = 0 THEN 100.0 ELSE 0.0 END) AS corporate_action_validation FROM rep JOIN mv USING (symbol))
  SELECT round_even(completeness, 2) AS completeness, round_even(integrity, 2) AS integrity, round_even(coverage, 2) AS coverage, round_even(freshness, 2) AS freshness, round_even(corporate_action_validation, 2) AS corporate_action_validation,
   round_even((completeness + integrity + coverage + freshness + corporate_action_validation) / 5, 2) AS composite FROM s""",
