@@ -175,7 +175,7 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def seek(rows: DataFrame, floor: float, nearest: int | None, per_task: int = 200_000) -> DataFrame:
+def seek(rows: DataFrame, floor: float, nearest: int | None, per_task: int = 100_000) -> DataFrame:
     """Distinct pairs (a, b), b the smaller, of rows (bucket, rep, root, main, sig): each rep whose root is not the bucket's main one,
     with members of other roots whose estimate reaches floor; only the nearest few where a number is given."""
     away = F.col("root") != F.col("main")
@@ -217,7 +217,7 @@ def seek(rows: DataFrame, floor: float, nearest: int | None, per_task: int = 200
     return dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
 
 
-def settle(rows: DataFrame, texts: DataFrame, floor: float, k: int, percent: int, task_bytes: int = 16 << 20) -> DataFrame:
+def settle(rows: DataFrame, texts: DataFrame, floor: float, k: int, percent: int, task_bytes: int = 8 << 20) -> DataFrame:
     """Links (a, b) between members of buckets that lie in different components: all that a seeker has whose estimate reaches floor,
     but for those into a component that it is linked with already. rows: (bucket, rep, root, main, sig, bands); a pair is looked
     at in the first of its common bands."""
