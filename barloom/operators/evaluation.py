@@ -221,6 +221,12 @@ def keep_decision(m: DataFrame) -> DataFrame:
     return m.withColumns({"relative_improvement_pct": gain, "keep": (gain > 0.5) & ~lost & ~F.col("new_failures") & ~F.col("new_flags")})
 
 
+def stability_metrics(runs: DataFrame, *keys: str) -> DataFrame:
+    """Over repeated runs (metric, probability, predicted): population variance, spread, share that agrees with the majority."""
+    up = F.avg("predicted")
+    return runs.groupBy(*keys).agg(F.var_pop("metric").alias("fold_variance"), F.stddev_pop("probability").alias("probability_std"), F.greatest(up, 1 - up).alias("agreement"))
+
+
 def wilcoxon_greater(differences: list[float]) -> float | None:
     """p-value of the paired signed-rank test that differences are above 0. Zeros are dropped. Without ties the exact distribution (subset sums of ranks); with ties or zeros the normal one, tie-corrected."""
     import math

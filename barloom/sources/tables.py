@@ -90,3 +90,16 @@ def read_holdings(spark: SparkSession, path: str, known: DataFrame) -> tuple[Dat
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def with_retry(call, attempts: int = 3, wait: float = 1.0):
+    """The call's result; after an OSError it is tried again, waiting longer each time."""
+    import time
+
+    for k in range(1, attempts + 1):
+        try:
+            return call()
+        except OSError:
+            if k == attempts:
+                raise
+            time.sleep(wait * k)
