@@ -44,9 +44,13 @@ class Guard:
         return OUT_OF_ORDER, 0
 
 
-def label(pdf, by_sequence: bool):
-    """One symbol's rows with columns outcome and gap."""
-    pdf = pdf.sort_values("arrival", ignore_index=True)
-    g = Guard()
-    out = [g.evaluate(ts, int(seq) if by_sequence else None) for ts, seq in zip(pdf["exchange_ts"], pdf["sequence_id"])]
-    return pdf.assign(outcome=[o for o, _ in out], gap=[n for _, n in out])
+def label(batches):
+    """Rows in order of symbol and arrival, with columns outcome and gap. Holds the state of one symbol."""
+    symbol, g = None, None
+    for pdf in batches:
+        out = []
+        for name, ts, seq in zip(pdf["symbol"], pdf["exchange_ts"], pdf["sequence_id"]):
+            if g is None or name != symbol:
+                symbol, g = name, Guard()
+            out.append(g.evaluate(ts, int(seq)))
+        yield pdf.assign(outcome=[o for o, _ in out], gap=[n for _, n in out])

@@ -84,8 +84,14 @@ def score(bars: DataFrame, today: Column) -> DataFrame:
 
 def provider_health(calls: DataFrame) -> DataFrame:
     """Per provider: calls, success rate, median and 95th latency (nearest rank, index rounded half to even), failures by type, last success."""
-    at = lambda p: F.element_at(F.array_sort(F.array_agg("latency_ms")), (F.bround((F.count("latency_ms") - 1) * p, 0) + 1).cast("int"))
-    main = calls.groupBy("provider").agg(F.count("*").alias("calls"), F.bround(F.count_if("success") / F.count("*"), 2).alias("success_rate"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(F.when(F.col("success"), F.col("call_timestamp"))).alias("last_success"))
+    w = Window.partitionBy("provider")
+    # a row for each millisecond, not for each call
+    hist = calls.where("latency_ms is not null").groupBy("provider", "latency_ms").agg(F.count("*").alias("k"))
+    hist = hist.withColumns({"upto": F.sum("k").over(w.orderBy("latency_ms")), "n": F.sum("k").over(w)})
+    at = lambda p: F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * p, 0), F.col("latency_ms")))
+    ranks = hist.groupBy("provider").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    main = calls.groupBy("provider").agg(F.count("*").alias("calls"), F.bround(F.count_if("success") / F.count("*"), 2).alias("success_rate"), F.max(F.when(F.col("success"), F.col("call_timestamp"))).alias("last_success"))
+    main = main.join(ranks, "provider", "left")
     kinds = calls.where("failure_type is not null").groupBy("provider", "failure_type").agg(F.count("*").alias("n")).groupBy("provider").agg(F.array_join(F.array_sort(F.collect_list(F.concat("failure_type", F.lit("="), F.col("n").cast("string")))), ",").alias("failures"))
     return main.join(kinds, "provider", "left")
 
