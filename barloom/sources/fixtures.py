@@ -17,7 +17,8 @@ def _price():
 def ohlcv(trades: DataFrame, *keys: str) -> DataFrame:
     """Bars of trades: first and last price by order, extremes, summed volume. One partial aggregate before the shuffle."""
     price, volume = _price(), "l_quantity"
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    # (order, line, part) in one long: buffers of fixed width keep this a hash aggregate, where a struct would sort all trades
+    order = F.shiftleft("l_orderkey", 30).bitwiseOR(F.shiftleft(F.col("l_linenumber").cast("long"), 26)).bitwiseOR(F.col("l_partkey"))
     return trades.groupBy(*keys).agg(
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.sum(volume).cast("long").alias("volume")
     )
