@@ -278,8 +278,8 @@ class Model:
         return left / np.maximum(1 - covered, 1e-300), divisor
 
 
-def weights(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Answers kind 2 to blocks: backoff weight and divisor of each token asked, as a history; the stats come along."""
+def _histories(right: pa.Table):
+    """(stats, names, backoff weights, divisors) of a token bucket, from the sums that bigram buckets sent and the stats."""
     stats, names, sums = None, [], []
     for s, x in zip(right["s"].to_pylist(), right["data"].to_pylist()):
         if s is not None:
@@ -288,24 +288,64 @@ def weights(left: pa.Table, right: pa.Table) -> pa.Table:
             who, flat = unpack(x, np.uint64, np.int64)
             names.append(who)
             sums.append(flat.reshape(2 * TOP + 2, -1))
-    model = Model(stats)
-    if names:
-        who, inverse = np.unique(np.concatenate(names), return_inverse=True)
-        flat = np.concatenate(sums, axis=1)
-        total = np.stack([np.bincount(inverse, weights=x.astype(float), minlength=len(who)) for x in flat])
-        weight, divisor = model.backoff(total)
-    else:
-        who, weight, divisor = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    if not names:
+        return stats, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    who, inverse = np.unique(np.concatenate(names), return_inverse=True)
+    flat = np.concatenate(sums, axis=1)
+    return stats, who, *Model(stats).backoff(np.stack([np.bincount(inverse, weights=x.astype(float), minlength=len(who)) for x in flat]))
+
+
+def _at(who: np.ndarray, asked: np.ndarray, values: np.ndarray, default: float) -> np.ndarray:
+    if not len(who):
+        return np.full(len(asked), default)
+    at = np.minimum(np.searchsorted(who, asked), len(who) - 1)
+    return np.where(who[at] == asked, values[at], default)
+
+
+def weights(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Answers kind 2 to blocks: backoff weight and divisor of each token asked, as a history; the stats come along."""
+    stats, who, weight, divisor = _histories(right)
     blobs = []
     for x in left["data"].to_pylist():
         asked, _ = unpack(x, np.uint64, np.uint8)
-        at = np.minimum(np.searchsorted(who, asked), max(len(who) - 1, 0))
-        hit = who[at] == asked if len(who) else np.zeros(len(asked), bool)
-        blobs.append(pack(stats, np.where(hit, weight[at] if len(who) else 1.0, 1.0), planes(np.where(hit, divisor[at] if len(who) else 0, 0))))
+        blobs.append(pack(stats, _at(who, asked, weight, 1.0), planes(_at(who, asked, divisor, 0.0))))
     n = left.num_rows
     return _rows(_TOLD, block=left["block"].to_pylist(), kind=[2] * n, bucket=left["bucket"].to_pylist(), data=blobs)
 
 
+_TABLE = {"order": pa.int32(), "bucket": pa.int32(), "history": pa.int64(), "token": pa.int64(), "count": pa.int64(), "probability": pa.float64(), "backoff": pa.float64(), "divisor": pa.int64()}
+TABLE = "order int, bucket int, history long, token long, count long, probability double, backoff double, divisor long"
+
+
+def unigram_rows(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Rows of order 1: each token seen in training (the begin token too) with count, probability, backoff weight and divisor."""
+    if not left.num_rows:
+        return _rows(_TABLE, **{k: [] for k in _TABLE})
+    stats, who, weight, divisor = _histories(right)
+    got = [unpack(x, np.uint64, np.uint8) for x in left["data"].to_pylist()]
+    _, total, names = _merged([x[0] for x in got], [unplanes(x[1]) for x in got])
+    names, total = names[total > 0], total[total > 0]
+    n, real = len(names), names != BEGIN
+    p = np.where(real, Model(stats).unigram(total), np.nan)
+    return _rows(_TABLE, order=[1] * n, bucket=[left["bucket"][0].as_py()] * n, history=[None] * n, token=names.view(np.int64), count=total, probability=pa.array(p, from_pandas=True), backoff=_at(who, names, weight, 1.0), divisor=_at(who, names, divisor, 0.0).astype(np.int64))
+
+
+def bigram_rows(t: pa.Table) -> pa.Table:
+    """Rows of order 2: history, 40 bits of the next token, count. Its probability is d count / divisor of the history."""
+    history, nxt, own = [], [], []
+    for x in t["data"].to_pylist():
+        v, n, lo, hi, _, o = unpack(x, np.uint64, np.uint8, np.uint32, np.uint8, np.uint8, np.uint8)
+        history.append(np.repeat(v, unplanes(n)))
+        nxt.append(lo.astype(np.uint64) | (hi.astype(np.uint64) << U(32)))
+        own.append(unplanes(o))
+    inverse, total, _ = _merged([core.mix(v) ^ core.mix(w + U(1)) * core._R for v, w in zip(history, nxt)], own)
+    first = np.zeros(len(total), np.int64)
+    first[inverse] = np.arange(len(inverse))
+    first, total = first[total > 0], total[total > 0]
+    n = len(total)
+    return _rows(_TABLE, order=[2] * n, bucket=[t["bucket"][0].as_py()] * n, history=np.concatenate(history)[first].view(np.int64), token=np.concatenate(nxt)[first].view(np.int64), count=total, probability=[None] * n, backoff=[None] * n, divisor=[None] * n)
+
+
 _SCORE = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
@@ -350,8 +390,15 @@ def _plan(docs: DataFrame, training, n: int | None, id_col: str, text: str):
     stats = stats.agg(*(F.coalesce(F.sum(F.coalesce(F.get("s", F.lit(i)), F.lit(0.0))), F.lit(0.0)).alias(f"s{i}") for i in range(size))).select(F.array(*(f"s{i}" for i in range(size))).alias("s"))
     every = stats.select("s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bucket")).select(F.col("bucket").cast("int").alias("bucket"), F.lit(None).cast("binary").alias("data"), "s")
     sums = pair_groups.applyInArrow(count_bigrams("sums", n), "bucket int, data binary").withColumn("s", F.lit(None).cast("array<double>"))
-    told = token_groups.cogroup(sums.unionByName(every).groupBy("bucket")).applyInArrow(lambda a, z: weights(a, z) if a.num_rows else _rows(_TOLD, block=[], kind=[], bucket=[], data=[]), TOLD)
-    return n, groups, counts, pair_groups, told
+    return n, groups, token_groups, counts, pair_groups, sums.unionByName(every).groupBy("bucket")
+
+
+def model_tables(docs: DataFrame, path: str, training=None, blocks: int | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write the model under path, as Parquet by order and bucket, and read it: rows of TABLE. A token is its 64-bit hash."""
+    _, _, token_groups, _, pair_groups, histories = _plan(docs, training or (lambda c: F.lit(True)), blocks, id_col, text)
+    rows = token_groups.cogroup(histories).applyInArrow(unigram_rows, TABLE).unionByName(pair_groups.applyInArrow(bigram_rows, TABLE))
+    rows.write.partitionBy("order", "bucket").parquet(path)
+    return docs.sparkSession.read.schema(TABLE).parquet(path)
 
 
 def score(docs: DataFrame, training=None, blocks: int | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -359,7 +406,8 @@ def score(docs: DataFrame, training=None, blocks: int | None = None, id_col: str
 
     training(id column) marks the rows to learn from; all of them by default.
     """
-    n, groups, counts, pairs, told = _plan(docs, training or (lambda c: F.lit(True)), blocks, id_col, text)
+    n, groups, token_groups, counts, pairs, histories = _plan(docs, training or (lambda c: F.lit(True)), blocks, id_col, text)
+    told = token_groups.cogroup(histories).applyInArrow(lambda a, z: weights(a, z) if a.num_rows else _rows(_TOLD, block=[], kind=[], bucket=[], data=[]), TOLD)
     pair_counts = pairs.applyInArrow(count_bigrams("blocks", n), TOLD)
     back = counts.unionByName(pair_counts).unionByName(told)
     return groups.cogroup(back.groupBy("block")).applyInArrow(evaluate(n), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -90,3 +90,25 @@ def test_no_training_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert {(r.doc_id, r.n_tokens, r.base_score, r.score) for r in katz.score(df, lambda c: F.lit(False)).collect()} == {(1, 3, 0.0, 0.0), (2, 1, 0.0, 0.0)}
     assert katz.score(df.limit(0)).count() == 0
+
+
+def test_tables_hold_the_model(spark, sf, tmp_path):
+    docs = queries.table(spark, sf, "documents").select("doc_id", "text")
+    m = Plain([r.text for r in docs.collect()])
+    t = katz.model_tables(docs, f"file://{tmp_path}/model", blocks=3)
+    one, two = (sorted((r["count"], r.probability or 0.0) for r in t.where(f"order = {k}").collect()) for k in (1, 2))
+    begin = int(katz.BEGIN) - (1 << 64)
+    assert [c for c, _ in one] == sorted([*m.c.values(), docs.count()]) and [c for c, _ in two] == sorted(c for x in m.cc.values() for c in x.values())
+    assert abs(sum(p for _, p in one) + m.unseen - 1) < 1e-9
+    rows = {r.token: r for r in t.where("order = 1").collect()}
+    assert rows[begin].divisor in (docs.count(), docs.count() + 1) and rows[begin].probability is None
+    # P(. | history) sums to 1 with the backoff weight, from the tables alone
+    d = [1.0, *(m.d2(r) for r in range(1, K + 1))]
+    p = {k & ((1 << 64) - 1): r.probability for k, r in rows.items() if r.probability is not None}
+    short = {}
+    for k, v in p.items():
+        short[k >> 24] = v
+    for r in list(rows.values())[:20]:
+        seen = t.where(f"order = 2 and history = {r.token}").collect()
+        direct = sum(d[min(x["count"], K)] * x["count"] if x["count"] <= K else x["count"] for x in seen) / max(r.divisor, 1)
+        assert abs(direct + r.backoff * (1 - sum(short[x.token] for x in seen)) - 1) < 1e-9
