@@ -89,19 +89,19 @@ class Codec:
             self.tokens[i] = bytes(back[c] for c in text)
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def offsets(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def offsets(self, text: bytes, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each token in characters; a token inside a character begins or ends within it, so it covers it."""
+        ids = np.array(ids, dtype=np.int64)
         end = np.cumsum(self.lengths[ids])
         start = end - self.lengths[ids]
         char = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
         return char[start] - 1, char[end - 1] if len(text) else end
 
     def decode_bytes(self, ids) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids])
+        return b"".join(map(self.tokens.__getitem__, ids))
 
     def decode(self, ids) -> str:
         """Text of ids; bytes of a character that the ids hold only in part become U+FFFD."""
@@ -146,8 +146,8 @@ def encode(docs: DataFrame, document: str, text: str = "text", keep: tuple[str,
     def run(batches):
         c = codec(document)
         for b in batches:
-            out = [(ids, *c.offsets(raw, ids)) for raw, ids in _encoded(b.column(0), c)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array([x[i].astype(np.int32) for x in out], pa.list_(pa.int32())) for i in range(3))], names=schema.names)
+            out = [(ids, *(x.astype(np.int32) for x in c.offsets(raw, ids))) for raw, ids in _encoded(b.column(0), c)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array([x[i] for x in out], pa.list_(pa.int32())) for i in range(3))], names=schema.names)
 
     return docs.select(text, *keep).mapInArrow(run, schema)
 
@@ -176,8 +176,8 @@ def round_trip(docs: DataFrame, document: str, text: str = "text", id_col: str =
         for b in batches:
             out = []
             for _, got in _encoded(b.column(0), c):
-                raw = got.astype("<u4").tobytes()
-                out.append((len(got), core.hex_sha256(raw), core.hex_sha256(c.decode_bytes(got.tolist())), raw))
+                raw = np.array(got, dtype="<u4").tobytes()
+                out.append((len(got), core.hex_sha256(raw), core.hex_sha256(c.decode_bytes(got)), raw))
             yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), *(pa.array([x[i] for x in out], t) for i, t in enumerate(kinds))], names=names)
 
     return docs.select(text, id_col).mapInArrow(run, schema)

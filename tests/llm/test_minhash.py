@@ -63,6 +63,24 @@ def test_components_equal_all_pairs(spark, k):
     assert got == brute(docs, k, 80)
 
 
+def test_tiles_and_near_misses(spark, monkeypatch):
+    """A group around one text whose members are mostly no links of each other, dealt over many small tiles."""
+    monkeypatch.setattr(minhash, "SEEKERS", 2)
+    monkeypatch.setattr(minhash, "NEAREST", 1)
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(200)]
+    docs = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(int(rng.integers(0, 12))):
+            w[int(rng.integers(0, 200))] = f"x{int(rng.integers(0, 40))}"
+        docs.append((i, " ".join(w)))
+    want = brute(docs, 5, 80)
+    assert 1 < len({c for _, c, _ in want.values()}) < 60
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()} == want
+
+
 def test_query_equals_all_pairs(spark, sf):
     docs = [(r.doc_id, r.text) for r in queries.table(spark, sf, "documents").collect()]
     assert {r[0]: tuple(r)[1:] for r in queries.op6_minhash_near_dedup(spark, sf).collect()} == brute(docs, 4, 80)

@@ -83,3 +83,14 @@ def test_token_ids(stages):
 def test_run(spark):
     got = P.run(spark, "/root/testdata/sf0.001")
     assert got.columns[0] == "doc_id" and got.count() > 50
+
+
+def test_stages_take_empty_tables_and_nulls(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    empty = spark.createDataFrame([], schema)
+    for name, f in P.STAGES:
+        assert f(spark, empty, "/root/testdata/sf0.001").count() == 0, name
+    rows = spark.createDataFrame([(None, "no id but words", None, None, None), (1, None, None, None, None), (2, "words again", "en", None, None)], schema)
+    for name, f in P.STAGES[1:]:
+        assert f(spark, rows, "/root/testdata/sf0.001").count() == 3, name
+    assert {r.doc_id for r in P.language_id(spark, rows, "").collect()} == {None, 2}
