@@ -9,10 +9,10 @@ similarity of their full sets reaches the threshold.
 2. Equal sets become a class, represented by its smallest id; all that follows works on classes.
 3. Within a band bucket, no list of all pairs is made. First every member is compared with the bucket's first one.
    Where a bucket then still holds more than one component, each member outside the first one's component looks
-   among members of other components for those whose signatures come near enough: first its 8 nearest, and, if
-   components remain apart after that, all of them, inside the task that has their texts, so that only links come
-   out. Pairs inside a component can't change the result, so none that matters is left out. A large bucket is dealt
-   over many tasks in tiles of seekers and members.
+   among members of other components for those whose signatures come near enough, nearest first, inside the task that
+   has their texts; once it is linked with a component, the rest of that one is passed over. Pairs inside a component
+   can't change the result, so none that matters is left out, and only links come out. A large bucket is dealt over
+   many tasks in tiles of seekers and members.
 4. A pair is first estimated: the share of equal 4-bit values, corrected for chance collisions. Pairs more than six
    standard deviations below the threshold are dropped; the others are confirmed on full sets.
 5. Components of the links by repeated minimum labels and shortcuts, as tables.
@@ -34,7 +34,6 @@ from . import core
 U = np.uint64
 BANDS, ROWS, BITS = 32, 4, 4
 HASHES = 256  # bands take the first BANDS * ROWS
-NEAREST = 8
 #: Members outside the first component that one task compares with a bucket.
 SEEKERS = 2048
 DOCS = 1024  # texts whose sets are made at a time
@@ -175,48 +174,6 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def seek(rows: DataFrame, floor: float, nearest: int | None, per_task: int = 100_000) -> DataFrame:
-    """Distinct pairs (a, b), b the smaller, of rows (bucket, rep, root, main, sig): each rep whose root is not the bucket's main one,
-    with members of other roots whose estimate reaches floor; only the nearest few where a number is given."""
-    away = F.col("root") != F.col("main")
-    chunks = rows.groupBy("bucket").agg(F.ceil(F.count(F.when(away, 1)) / SEEKERS).cast("int").alias("chunks"), F.count("*").alias("n"))
-    shards = max(1, int((chunks.agg(F.sum(F.col("chunks") * F.col("n"))).first()[0] or 0) // per_task))
-    dealt = rows.join(chunks.select("bucket", "chunks"), "bucket").where("chunks > 0").select("bucket", "rep", "root", "sig", away.alias("away"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    dealt = dealt.select(F.pmod(F.xxhash64("bucket", "chunk"), F.lit(shards)).cast("int").alias("shard"), "bucket", "chunk", "rep", "root", "sig", (F.col("away") & (F.pmod(F.xxhash64("rep"), F.col("chunks")) == F.col("chunk"))).alias("own"))
-
-    def run(t: pa.Table) -> pa.Table:
-        bucket, chunk = t["bucket"].to_numpy(), t["chunk"].to_numpy()
-        rep, root, own = t["rep"].to_numpy(), t["root"].to_numpy(), t["own"].to_numpy()
-        sig = t["sig"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(rep), -1)
-        order = np.lexsort((rep, chunk, bucket))
-        b, c = bucket[order], chunk[order]
-        cuts = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (c[1:] != c[:-1]), [True]]))
-        least = int(np.ceil((floor * (1 - 1 / 2**BITS) + 1 / 2**BITS) * HASHES))
-        found = []
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            every = order[lo:hi]
-            seekers = every[own[every]]
-            tile = max(1, (1 << 17) // len(every))
-            for i in range(0, len(seekers), tile):
-                mine = seekers[i : i + tile]
-                z = sig[mine][:, None, :] ^ sig[every][None, :, :]
-                z |= z >> U(2)
-                z |= z >> U(1)
-                same = HASHES - np.bitwise_count(z & U(0x1111111111111111)).sum(axis=2, dtype=np.int32)
-                same[root[mine][:, None] == root[every][None, :]] = -1
-                if nearest and nearest < len(every):
-                    low = np.partition(same, len(every) - nearest, axis=1)[:, len(every) - nearest]
-                    x, y = np.nonzero(same >= np.maximum(low, least)[:, None])
-                else:
-                    x, y = np.nonzero(same >= least)
-                found.append((rep[mine[x]], rep[every[y]]))
-        a, b = (np.concatenate([f[k] for f in found] or [rep[:0]]) for k in (0, 1))
-        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
-
-
 def settle(rows: DataFrame, texts: DataFrame, floor: float, k: int, percent: int, task_bytes: int = 8 << 20) -> DataFrame:
     """Links (a, b) between members of buckets that lie in different components: all that a seeker has whose estimate reaches floor,
     but for those into a component that it is linked with already. rows: (bucket, rep, root, main, sig, bands); a pair is looked
@@ -282,22 +239,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sigs = classes.select("rep", "sig", "bands")
     p = percent / 100 + (1 - percent / 100) / 2**BITS
     floor = percent / 100 - 6 * (p * (1 - p) / HASHES) ** 0.5 / (1 - 1 / 2**BITS)
-    seen = core.written(members.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
-    guess = seen.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b").where(estimate("x", "y") >= floor)
+    pairs = core.written(members.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
+    guess = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b").where(estimate("x", "y") >= floor)
     links = core.written(confirm(guess.select("a", "b"), texts, k, percent), "links")
-    for step in ("nearest", "all"):
-        label = components(links).withColumnRenamed("node", "rep")
-        rows = members.join(label, "rep", "left").select("bucket", "rep", "first", F.coalesce("root", "rep").alias("root"))
-        main = rows.where("rep = first").select("bucket", F.col("root").alias("main"))
-        apart = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        signed_rows = rows.join(apart, "bucket", "left_semi").join(main, "bucket").join(sigs, "rep")
-        if step == "nearest":
-            open_ = core.written(signed_rows.select("bucket", "rep", "root", "main", "sig"), "open")
-            pairs = core.written(seek(open_, floor, NEAREST).join(seen, ["a", "b"], "left_anti"), "pairs")
-            found = confirm(pairs, texts, k, percent)
-        else:
-            found = settle(core.written(signed_rows.select("bucket", "rep", "root", "main", "sig", "bands"), "open"), texts, floor, k, percent)
-        links = links.unionByName(core.written(found, "links"))
+    label = components(links).withColumnRenamed("node", "rep")
+    rows = members.join(label, "rep", "left").select("bucket", "rep", "first", F.coalesce("root", "rep").alias("root"))
+    main = rows.where("rep = first").select("bucket", F.col("root").alias("main"))
+    apart = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    open_ = core.written(rows.join(apart, "bucket", "left_semi").join(main, "bucket").join(sigs, "rep").select("bucket", "rep", "root", "main", "sig", "bands"), "open")
+    links = links.unionByName(core.written(settle(open_, texts, floor, k, percent), "links"))
     label = components(links).withColumnRenamed("node", "rep")
     named = classes.select(*key, "rep").join(label, "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", *key).join(named, key, "left")
