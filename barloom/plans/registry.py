@@ -25,7 +25,7 @@ def query(sql: str | None = None, doubles: str = ""):
         cols = doubles.split()
         QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), cols) if cols else f(spark, sf_dir)
         if sql is not None:
-            head = "SELECT *" if not cols else "SELECT * REPLACE (" + ", ".join(f"round({c}, {DIGITS}) + 0.0 AS {c}" for c in cols) + ")"
+            head = "SELECT *" if not cols else "SELECT * REPLACE (" + ", ".join(f"round({c}::double, {DIGITS}) + 0.0::double AS {c}" for c in cols) + ")"
             SQL[f.__name__] = f"{head} FROM ({sql})"
         return f
 
