@@ -67,10 +67,11 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
               when t.p_end - t.h.p + t.sys_tok <= {budget} then struct(t.h.p as p, array_append(a.starts, struct(t.pos as pos, t.h.pos as base, t.h.q as q)) as starts)
               else struct(t.p as p, array_append(a.starts, struct(t.pos as pos, t.pos as base, t.q as q)) as starts) end,
             a -> a.starts))""")
-    # cut the turns into windows before these become rows, so that no row carries all turns
+    # cut the turns into windows before these become rows, so that no row carries all turns; there is always a window, and the
+    # outer form keeps the optimizer from testing for one with a second copy of all this
     cut = "transform(starts, (w, i) -> struct(i as window, w as w, slice(turns, w.base, coalesce(get(starts, i + 1).pos, size(turns) + 1) - w.base) as m))"
     wins = convs.select("conv_id", "turns", "lead", starts.alias("starts")).select("conv_id", "lead", F.expr("if(lead = 1, turns[0], null)").alias("s"), F.expr(cut).alias("ws"))
-    wins = wins.select("conv_id", "lead", "s", F.explode("ws").alias("x")).select("conv_id", "lead", "s", "x.*")
+    wins = wins.select("conv_id", "lead", "s", F.explode_outer("ws").alias("x")).select("conv_id", "lead", "s", "x.*")
     system = F.expr("coalesce(s.hl + s.bl + 8, 0)")
     return wins.select("conv_id", "window", "w", "m", "s", "lead", system.alias("at")).select(
         "conv_id", "window", F.concat(F.coalesce("s.line", F.lit("")), F.array_join(F.expr("transform(m, t -> t.line)"), "")).alias("text"),
