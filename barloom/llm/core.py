@@ -11,6 +11,7 @@ A key held by a third of all rows so costs one entry per block, not one per row.
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 
 
-def _give_back() -> None:
-    """Let a worker's large buffers go back to the system when freed; workers outlive their tasks."""
+@functools.cache
+def give_back() -> None:
+    """Let this worker's large buffers go back to the system when freed, at some cost in time; workers outlive their tasks."""
     import ctypes
     import sys
 
@@ -33,8 +35,6 @@ def _give_back() -> None:
             libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
 
 
-_give_back()
-
 #: Bytes of text that one block holds on average.
 BLOCK_BYTES = 12 << 20
 

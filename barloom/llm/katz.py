@@ -44,6 +44,7 @@ _STATS = 3 + TOP + 1
 
 def tokens(text, training) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of all tokens, each text's end token included; index of each text's first token; training flag of each token)."""
+    core.give_back()
     buf, off = core.flat(text)
     buf = core.lower(buf)
     s, e, at = core.words(buf, off)

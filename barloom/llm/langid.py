@@ -163,6 +163,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], text: str = "text", kee
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter")
 
     def run(batches):
+        core.give_back()
         p = parser(model) if model else None
         names = np.array([*(k for k, _ in model), UNKNOWN], dtype=object)
         for b in batches:

@@ -45,6 +45,7 @@ _LOW = "1229782938247303441L"  # 0x1111...: one bit for each 4-bit value
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles (54-bit hashes) of each text, and their bounds; at most DOCS texts."""
+    core.give_back()
     n = len(off) - 1
     buf = core.lower(buf)
     s, e, at = core.words(buf, off)

@@ -118,6 +118,7 @@ def later(items: np.ndarray, bounds: np.ndarray, doc: np.ndarray, length: int) -
 
 
 def word_items(buf: np.ndarray, off: np.ndarray):
+    core.give_back()
     s, e, at = core.words(buf, off)
     return core.word_hashes(buf, s, e), at
 
