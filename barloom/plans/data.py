@@ -129,8 +129,14 @@ def freshness(spark, sf):
 
 @query(f"WITH {_DAYS} SELECT event_id, (SELECT min(x.d) FROM t x WHERE x.trading AND x.d > ({_LOCAL} + INTERVAL 2 YEAR)::date) AS target FROM events WHERE event_id % 101 = 0")
 def prediction_target(spark, sf):
-    e = fx.table(spark, sf, "events").where("event_id % 101 = 0")
-    return e.select("event_id", cal.target_session(F.expr("ts + interval 2 year")).alias("target"))
+    """The rows that its SQL asks for; prediction_targets has every event's."""
+    return prediction_targets(spark, sf).where("event_id % 101 = 0")
+
+
+@query(f"WITH {_DAYS}, e AS (SELECT event_id, ({_LOCAL} + INTERVAL 2 YEAR)::date AS d FROM events), n AS (SELECT q.d, min(t.d) AS target FROM (SELECT DISTINCT d FROM e) q JOIN t ON t.trading AND t.d > q.d GROUP BY q.d) SELECT event_id, target FROM e LEFT JOIN n USING (d)")
+def prediction_targets(spark, sf):
+    """The session that follows each event, of all events."""
+    return fx.table(spark, sf, "events").select("event_id", cal.target_session(F.expr("ts + interval 2 year")).alias("target"))
 
 
 # ---- text and search
