@@ -284,10 +284,9 @@ def system_health(spark, sf):
 # ---- model training: tested for invariants; there is no SQL for it
 
 
-def _rows(spark, sf, symbols: int = 3):
-    b = fx.bars(spark, sf)
-    few = b.select("symbol").distinct().orderBy("symbol").limit(symbols)
-    return features.dataset(b.join(few, "symbol", "left_semi"), "v1").cache()
+def _rows(spark, sf):
+    """The v1 dataset of all symbols."""
+    return features.dataset(fx.bars(spark, sf), "v1").cache()
 
 
 @query()
@@ -301,8 +300,9 @@ def model_cv(spark, sf):
 @query()
 def model_walk_forward(spark, sf):
     """Predictions of walk-forward windows of one symbol."""
-    rows = _rows(spark, sf, 1)
-    return ml.walk_forward(rows.limit(420), features.BASE, 252, 42, params={"trees": 10, "depth": 3}).select("symbol", "d", "fold", "probability", "predicted", "actual")
+    rows = _rows(spark, sf)
+    one = rows.select("symbol").distinct().orderBy("symbol").limit(1)
+    return ml.walk_forward(rows.join(one, "symbol", "left_semi").limit(420), features.BASE, 252, 42, params={"trees": 10, "depth": 3}).select("symbol", "d", "fold", "probability", "predicted", "actual")
 
 
 @query()
@@ -314,7 +314,7 @@ def model_calibration(spark, sf):
 
 @query()
 def mutual_information(spark, sf):
-    return ml.mutual_information(_rows(spark, sf), features.BASE[:4])
+    return ml.mutual_information(_rows(spark, sf), features.BASE)
 
 
 @query()

@@ -3,7 +3,8 @@
 import datetime as dt
 
 import __spark_entry__ as entry
-from barloom.operators import calendar as cal
+from barloom.operators import calendar as cal, features
+from barloom.plans import evaluate
 from barloom.sources import fixtures as fx
 
 QUERIES = entry.queries()
@@ -18,3 +19,14 @@ def test_every_event_has_a_target_session(spark, sf):
         while d.weekday() > 4 or d.isoformat() in cal.HOLIDAYS:
             d += dt.timedelta(1)
         assert got[r.event_id] == d
+
+
+def test_models_learn_from_all_symbols(spark, sf):
+    want = {r.symbol for r in features.dataset(fx.bars(spark, sf), "v1").select("symbol").distinct().collect()}
+    assert len(want) > 3
+    assert {r.symbol for r in evaluate._rows(spark, sf).select("symbol").distinct().collect()} == want
+    assert {r.symbol for r in QUERIES["explanation"](spark, sf).collect()} == want
+
+
+def test_mutual_information_of_all_base_features(spark, sf):
+    assert {r.feature for r in QUERIES["mutual_information"](spark, sf).collect()} == set(features.BASE)
