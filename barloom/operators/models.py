@@ -7,7 +7,9 @@ import hashlib
 import json
 import random
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from . import evaluation as ev
 
 SEED = 42
+#: Models that the driver fits at a time.
+FITS = 8
 #: Presets of the model families; boosted families differ in depth and step.
 FAMILIES = {
     "random_forest": lambda p: RandomForestClassifier(numTrees=int(p.get("trees", 100)), maxDepth=int(p.get("depth", 6)), seed=SEED),
@@ -70,14 +74,23 @@ def fold_summary(scores: DataFrame, metric: str) -> DataFrame:
 
 
 def walk_forward(rows: DataFrame, names: list[str], train: int = 252, test: int = 21, family: str = "random_forest", params: dict | None = None, expanding: bool = False) -> DataFrame:
-    """Predictions of all test windows of one symbol's rows, by position; the window moves by the test length."""
-    w = Window.partitionBy("symbol").orderBy("d")
-    rows = rows.withColumn("pos", F.row_number().over(w) - 1).cache()
-    n, parts = rows.count(), []
-    for start in range(0, n - train - test + 1, test):
+    """Predictions of all test windows of the rows of one symbol or many, by position of the date among all dates; the window moves by the test length.
+
+    A model learns from every symbol's rows of its training dates. The models don't depend on each other, so several are fitted at a time.
+    """
+    w = Window.partitionBy().orderBy("d")  # one row per date
+    days = rows.select("d").distinct().withColumn("pos", F.row_number().over(w) - 1)
+    rows = rows.join(F.broadcast(days), "d").select(*rows.columns, "pos").cache()
+    n = rows.agg(F.max("pos")).first()[0]
+
+    def window(k: int, start: int) -> DataFrame:
         lo = 0 if expanding else start
         model = fit(family, params or {}, rows.where(f"pos >= {lo} and pos < {start + train}"), names)
-        parts.append(predict(model, rows.where(f"pos >= {start + train} and pos < {start + train + test}")).withColumn("fold", F.lit(len(parts))))
+        return predict(model, rows.where(f"pos >= {start + train} and pos < {start + train + test}")).withColumn("fold", F.lit(k))
+
+    starts = range(0, (n + 1 if n is not None else 0) - train - test + 1, test)
+    with ThreadPool(FITS) as pool:
+        parts = pool.starmap(inheritable_thread_target(rows.sparkSession)(window), enumerate(starts))
     return functools.reduce(DataFrame.unionByName, parts) if parts else rows.limit(0).withColumns({"probability": F.lit(0.0), "predicted": F.lit(0), "actual": F.lit(0), "fold": F.lit(0)})
 
 

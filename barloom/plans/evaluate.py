@@ -299,10 +299,8 @@ def model_cv(spark, sf):
 
 @query()
 def model_walk_forward(spark, sf):
-    """Predictions of walk-forward windows of one symbol."""
-    rows = _rows(spark, sf)
-    one = rows.select("symbol").distinct().orderBy("symbol").limit(1)
-    return ml.walk_forward(rows.join(one, "symbol", "left_semi").limit(420), features.BASE, 252, 42, params={"trees": 10, "depth": 3}).select("symbol", "d", "fold", "probability", "predicted", "actual")
+    """Predictions of all walk-forward windows, by date over all symbols."""
+    return ml.walk_forward(_rows(spark, sf), features.BASE, 252, 42, params={"trees": 10, "depth": 3}).select("symbol", "d", "fold", "probability", "predicted", "actual")
 
 
 @query()

@@ -2,8 +2,10 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
-from barloom.operators import calendar as cal, features
+from barloom.operators import calendar as cal, features, models as ml
 from barloom.plans import evaluate
 from barloom.sources import fixtures as fx
 
@@ -30,3 +32,20 @@ def test_models_learn_from_all_symbols(spark, sf):
 
 def test_mutual_information_of_all_base_features(spark, sf):
     assert {r.feature for r in QUERIES["mutual_information"](spark, sf).collect()} == set(features.BASE)
+
+
+def test_walk_forward_makes_every_window_of_every_symbol(spark):
+    start = dt.date(2020, 1, 1)
+    rows = [(s, start + dt.timedelta(k), float((k * 7 + i) % 5), (k + i) % 2) for i, s in enumerate("ABC") for k in range(100) if s != "C" or k >= 50]
+    df = spark.createDataFrame(rows, "symbol string, d date, x double, label int")
+    got = ml.walk_forward(df, ["x"], 30, 20, params={"trees": 2, "depth": 2}).collect()
+    assert sorted((r.symbol, r.d, r.fold) for r in got) == sorted((s, d, ((d - start).days - 30) // 20) for s, d, _, _ in rows if 30 <= (d - start).days < 90)
+
+
+def test_walk_forward_query_reaches_the_last_dates(spark, sf):
+    rows = evaluate._rows(spark, sf)
+    days = sorted(r.d for r in rows.select("d").distinct().collect())
+    n = max(0, (len(days) - 252) // 42)
+    got = QUERIES["model_walk_forward"](spark, sf).select("symbol", "d").collect()
+    want = rows.where(F.col("d").between(days[252], days[252 + n * 42 - 1])).select("symbol", "d").collect()
+    assert n > 4 and sorted(got) == sorted(want)
