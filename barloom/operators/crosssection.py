@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import indicators as ind
+from .portfolio import growth
 from .windows import by, so_far, YEAR, change, last, rolling
 
 def by_date():
@@ -46,7 +47,7 @@ def peers(bars: DataFrame) -> DataFrame:
     return dim.join(dim.withColumnsRenamed({"symbol": "peer"}), "sector").where("symbol <> peer").select("symbol", "sector", "peer")
 
 
-def sector_relative(bars: DataFrame, least: int = 2) -> DataFrame:
+def sector_logs(bars: DataFrame, least: int = 2) -> DataFrame:
     """bars' keys with six features against the mean of the other symbols of the sector; NULL with fewer peers than `least`.
 
     A peer mean is the sector's sum without the symbol's own part, so no pair of symbols is joined on dates.
@@ -62,12 +63,24 @@ def sector_relative(bars: DataFrame, least: int = 2) -> DataFrame:
         "sector_breadth": F.when((F.col("others") >= least) & (F.col("m") > 1), (F.col("a") - F.col("above")) / (F.col("m") - 1)),
     })
     enough = F.col("others") >= least
-    cum = lambda x: F.product(1 + F.coalesce(x, F.lit(0.0))).over(so_far())
+    # sums of logs: the products of a long history leave a double's range
+    cum = lambda x: F.sum(growth(x)).over(so_far())
     df = df.withColumns({"si": F.when(enough, cum("sector_ret")), "xi": cum("ret")})
+    df = df.withColumn("frame", F.collect_list("si").over(last(20)))
+    mean = F.aggregate(F.transform("frame", lambda x: F.exp(x - F.col("si"))), F.lit(0.0), lambda a, x: a + x) / 20
+    return df.select(
+        "symbol", "sector", "d", (F.col("xi") - F.col("si")).alias("log_strength_vs_sector"), (F.col("ret") - F.col("sector_ret")).alias("excess_return_vs_sector"),
+        (F.col("si") - F.lag("si", 20).over(by())).alias("log_momentum_20"), (rolling(F.stddev_samp, F.col("sector_ret"), 20) * math.sqrt(YEAR)).alias("sector_volatility_20"),
+        F.when(F.size("frame") == 20, 1 / mean - 1).alias("sector_trend"), "sector_breadth",
+    )
+
+
+def sector_relative(bars: DataFrame, least: int = 2) -> DataFrame:
+    """sector_logs with its two logs as a ratio and a return."""
+    df = sector_logs(bars, least)
     return df.select(
-        "symbol", "sector", "d", (F.col("xi") / F.col("si")).alias("relative_strength_vs_sector"), (F.col("ret") - F.col("sector_ret")).alias("excess_return_vs_sector"),
-        (F.col("si") / F.lag("si", 20).over(by()) - 1).alias("sector_momentum_20"), (rolling(F.stddev_samp, F.col("sector_ret"), 20) * math.sqrt(YEAR)).alias("sector_volatility_20"),
-        (F.col("si") / rolling(F.avg, F.col("si"), 20) - 1).alias("sector_trend"), "sector_breadth",
+        "symbol", "sector", "d", F.exp("log_strength_vs_sector").alias("relative_strength_vs_sector"), "excess_return_vs_sector", (F.exp("log_momentum_20") - 1).alias("sector_momentum_20"),
+        "sector_volatility_20", "sector_trend", "sector_breadth",
     )
 
 

@@ -78,11 +78,25 @@ def equity(df: DataFrame, signal: str = "signal", ret: str = "next_ret") -> Data
     return df.withColumns({k: F.product(1 + F.coalesce(v, F.lit(0.0))).over(so_far()) for k, v in both.items()})
 
 
+def growth(ret: Column) -> Column:
+    """ln(1 + ret): 0 for a missing return, minus infinity where all is lost."""
+    x = 1 + F.coalesce(ret, F.lit(0.0))
+    return F.when(x > 0, F.ln(x)).otherwise(F.lit(float("-inf")))
+
+
+def log_equity(df: DataFrame, signal: str = "signal", ret: str = "next_ret") -> DataFrame:
+    """Logs of both curves. Sums stay within a double's range where the products of a long history don't."""
+    both = {"strategy": F.col(ret) * F.col(signal), "hold": F.col(ret)}
+    return df.withColumns({k: F.sum(growth(v)).over(so_far()) for k, v in both.items()})
+
+
 def trading_metrics(df: DataFrame) -> DataFrame:
     """Per symbol, of a long or flat signal (signal, next_ret): eleven measures. No losses but gains: infinite profit factor."""
     r, s = F.col("next_ret") * F.col("signal"), F.col("signal")
-    df = equity(df).withColumn("r", r)
-    df = df.withColumns({"down": F.col("strategy") / F.max("strategy").over(so_far()) - 1, "turn": (F.coalesce(s - F.lag("signal").over(by()), F.lit(0)) != 0).cast("int")})
+    df = log_equity(df).withColumn("r", r)
+    lost = F.col("strategy") == float("-inf")
+    down = F.when(lost, -1.0).otherwise(F.exp(F.col("strategy") - F.max("strategy").over(so_far())) - 1)
+    df = df.withColumns({"down": down, "turn": (F.coalesce(s - F.lag("signal").over(by()), F.lit(0)) != 0).cast("int")})
     trade = s == 1
     gain, loss = F.when(trade & (F.col("r") > 0), F.col("r")), F.when(trade & (F.col("r") < 0), F.col("r"))
     out = df.groupBy("symbol").agg(
@@ -90,7 +104,7 @@ def trading_metrics(df: DataFrame) -> DataFrame:
         F.coalesce(F.avg(gain), F.lit(0.0)).alias("avg_gain"), F.coalesce(F.avg(loss), F.lit(0.0)).alias("avg_loss"), F.max_by("strategy", "d").alias("final"), F.count("*").alias("n"), F.coalesce(yearly_volatility("r"), F.lit(0.0)).alias("volatility"),
         (F.sum("turn") / F.count("*")).alias("turnover"),
     )
-    year = F.when(F.col("final") > 0, F.pow("final", YEAR / F.col("n")) - 1)
+    year = F.when(F.col("final") > float("-inf"), F.exp(F.col("final") * YEAR / F.col("n")) - 1)
     factor = F.when(F.coalesce("l", F.lit(0.0)) != 0, F.coalesce("g", F.lit(0.0)) / F.abs("l")).when(F.col("g") > 0, F.lit(float("inf"))).otherwise(0.0)
     return out.select("symbol", "sharpe", "sortino", (year / F.abs(F.nullif("max_drawdown", F.lit(0.0)))).alias("calmar"), factor.alias("profit_factor"), "max_drawdown", "win_rate", "avg_gain", "avg_loss", year.alias("annual_return"), "volatility", "turnover")
 

@@ -58,8 +58,20 @@ def sector_peers(spark, sf):
     "relative_strength_vs_sector excess_return_vs_sector sector_momentum_20 sector_volatility_20 sector_trend sector_breadth",
 )
 def sector_features(spark, sf):
-    """The first year, ratios as logs: later the products of this data underflow."""
-    return xs.sector_relative(fx.sector_bars(spark, sf)).where("d < date '1996-01-01'").withColumns({"relative_strength_vs_sector": F.ln("relative_strength_vs_sector"), "sector_momentum_20": F.ln(1 + F.col("sector_momentum_20"))})
+    """The first year, which is what its SQL has; sector_features_all_dates has all. Ratios as logs."""
+    return sector_features_all_dates(spark, sf).where("d < date '1996-01-01'").withColumnsRenamed({"log_strength_vs_sector": "relative_strength_vs_sector", "log_momentum_20": "sector_momentum_20"})
+
+
+@query(
+    _SEC + f""", day AS (SELECT sector, d, sum(ret) AS s, count(ret) AS n, sum(above) AS a, count(*) AS m FROM r GROUP BY 1, 2), n AS (SELECT sector, count(DISTINCT symbol) AS k FROM r GROUP BY sector),
+ e AS (SELECT symbol, sector, r.d, ret, k, CASE WHEN k > 2 THEN (s - coalesce(ret, 0)) / nullif(day.n - (ret IS NOT NULL)::int, 0) END AS sr, CASE WHEN k > 2 THEN (a - above) / nullif(m - 1, 0) END AS sb FROM r JOIN day USING (sector, d) JOIN n USING (sector)),
+ i AS (SELECT *, CASE WHEN k > 2 THEN sum(ln(1 + coalesce(sr, 0))) OVER (PARTITION BY symbol ORDER BY d) END AS si, sum(ln(1 + coalesce(ret, 0))) OVER (PARTITION BY symbol ORDER BY d) AS xi FROM e),
+ f AS (SELECT *, list(si) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l FROM i)
+ SELECT symbol, sector, d, xi - si AS log_strength_vs_sector, ret - sr AS excess_return_vs_sector, si - lag(si, 20) {W} AS log_momentum_20, {roll('stddev_samp', 'sr', 20)} * sqrt(252) AS sector_volatility_20, CASE WHEN len(l) = 20 THEN 1 / list_avg(list_transform(l, lambda x: exp(x - si))) - 1 END AS sector_trend, sb AS sector_breadth FROM f""",
+    "log_strength_vs_sector excess_return_vs_sector log_momentum_20 sector_volatility_20 sector_trend sector_breadth",
+)
+def sector_features_all_dates(spark, sf):
+    return xs.sector_logs(fx.sector_bars(spark, sf))
 
 
 @query(B + f", r AS (SELECT symbol, d, {RET} AS ret FROM bars) SELECT x.symbol AS a, y.symbol AS b, corr(x.ret, y.ret) AS corr FROM r x JOIN r y USING (d) WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2", "corr")
@@ -211,6 +223,12 @@ def equity_curves(spark, sf):
     return df.select("symbol", "d", F.ln("strategy").alias("strategy"), F.ln("hold").alias("hold"))
 
 
+@query(_SIGNAL.split(", st AS")[0] + " SELECT symbol, d, sum(ln(1 + coalesce(nr * signal, 0))) OVER w AS strategy, sum(ln(1 + coalesce(nr, 0))) OVER w AS hold FROM sg WINDOW w AS (PARTITION BY symbol ORDER BY d)", "strategy hold")
+def equity_curves_all_dates(spark, sf):
+    """Logs of both curves."""
+    return pf.log_equity(signals(spark, sf)).select("symbol", "d", "strategy", "hold")
+
+
 _TM = """, q AS (SELECT *, nr * signal AS r, product(1 + coalesce(nr * signal, 0)) OVER w AS eq, coalesce(signal - lag(signal) OVER w, 0) <> 0 AS t FROM sg WHERE d < DATE '1995-07-01' WINDOW w AS (PARTITION BY symbol ORDER BY d)),
  q2 AS (SELECT *, eq / max(eq) OVER (PARTITION BY symbol ORDER BY d) - 1 AS dd FROM q),
  a AS (SELECT symbol, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, coalesce(avg(r) / nullif(stddev_samp(r) FILTER (r < 0), 0) * sqrt(252), 0) AS sortino, coalesce(sum(r) FILTER (signal = 1 AND r > 0), 0) AS g, coalesce(sum(r) FILTER (signal = 1 AND r < 0), 0) AS l, min(dd) AS max_drawdown,
@@ -225,6 +243,19 @@ def trading_metrics(spark, sf):
     return df.withColumns({c: F.least(c, F.lit(1e6)) for c in ("calmar", "annual_return")})
 
 
+_TM_ALL = (
+    _TM.replace("product(1 + coalesce(nr * signal, 0))", "sum(ln(1 + coalesce(nr * signal, 0)))").replace("WHERE d < DATE '1995-07-01' ", "")
+    .replace("eq / max(eq) OVER (PARTITION BY symbol ORDER BY d) - 1", "exp(eq - max(eq) OVER (PARTITION BY symbol ORDER BY d)) - 1").replace("pow(fin, 252 / n)", "exp(fin * 252 / n)")
+)
+
+
+@query(_SIGNAL.split(", st AS")[0] + _TM_ALL, "sharpe sortino calmar profit_factor max_drawdown win_rate avg_gain avg_loss annual_return volatility turnover")
+def trading_metrics_all_dates(spark, sf):
+    """trading_metrics over the full history."""
+    df = pf.trading_metrics(signals(spark, sf))
+    return df.withColumns({c: F.least(c, F.lit(1e6)) for c in ("calmar", "annual_return")})
+
+
 @query(B + """, l AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) <= 60), m AS (SELECT symbol, close, max(close) OVER w AS mx, min(close) OVER w AS mn FROM l WINDOW w AS (PARTITION BY symbol ORDER BY d))
  SELECT symbol, CASE WHEN count(*) < 5 THEN 0 ELSE min((close - mx) / mx) END AS expected_drawdown, CASE WHEN count(*) < 5 THEN 0 ELSE max((close - mn) / mn) END AS expected_upside FROM m GROUP BY symbol""", "expected_drawdown expected_upside")
 def recent_swings(spark, sf):

@@ -1,11 +1,12 @@
 """Queries that do the whole job: every row, symbol, date or portfolio of their tables."""
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from barloom.operators import calendar as cal, features, models as ml
+from barloom.operators import calendar as cal, features, models as ml, portfolio as pf
 from barloom.plans import evaluate
 from barloom.sources import fixtures as fx
 
@@ -49,3 +50,20 @@ def test_walk_forward_query_reaches_the_last_dates(spark, sf):
     got = QUERIES["model_walk_forward"](spark, sf).select("symbol", "d").collect()
     want = rows.where(F.col("d").between(days[252], days[252 + n * 42 - 1])).select("symbol", "d").collect()
     assert n > 4 and sorted(got) == sorted(want)
+
+
+def test_curves_reach_all_dates_without_leaving_a_double(spark, sf):
+    bars, sector_bars = fx.bars(spark, sf).count(), fx.sector_bars(spark, sf).count()
+    curves = QUERIES["equity_curves_all_dates"](spark, sf).collect()
+    assert len(curves) == bars and all(math.isfinite(r.strategy) and math.isfinite(r.hold) for r in curves)
+    sectors = QUERIES["sector_features_all_dates"](spark, sf).collect()
+    assert len(sectors) == sector_bars and all(r.log_strength_vs_sector is None or math.isfinite(r.log_strength_vs_sector) for r in sectors)
+
+
+def test_trading_metrics_of_long_histories(spark):
+    start, n = dt.date(2000, 1, 1), 3000
+    df = spark.createDataFrame([(s, start + dt.timedelta(k), 1, -0.5 if s == "A" or k == 9 else 0.0) for s in "AB" for k in range(n)] + [("C", start, 1, -1.0), ("C", start + dt.timedelta(1), 1, 0.5)], "symbol string, d date, signal int, next_ret double")
+    got = {r.symbol: r for r in pf.trading_metrics(df).collect()}
+    assert math.isclose(got["A"].annual_return, 0.5**252 - 1) and math.isclose(got["A"].max_drawdown, -1.0)
+    assert math.isclose(got["B"].max_drawdown, -0.5) and math.isclose(got["B"].annual_return, 0.5 ** (252 / n) - 1)
+    assert got["C"].max_drawdown == -1.0 and got["C"].annual_return is None
