@@ -279,6 +279,13 @@ def register_tickers(spark, sf):
     return store.numbered(c.join(c.where("c_custkey <= 10").select("symbol"), "symbol", "left_anti"), 7, "c_custkey").select("internal_id", "symbol")
 
 
+@query("SELECT 'FIN-' || CASE WHEN n > 9999 THEN n::varchar ELSE lpad(n::varchar, 4, '0') END AS internal_id, 'C' || c_custkey AS symbol FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) + 7 AS n FROM customer WHERE c_custkey > 10)")
+def register_all_tickers(spark, sf):
+    """register_tickers for the whole table, whose SQL stops at key 900."""
+    c = fx.table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("symbol"))
+    return store.numbered(c.join(c.where("c_custkey <= 10").select("symbol"), "symbol", "left_anti"), 7, "c_custkey").select("internal_id", "symbol")
+
+
 def _registry(spark, sf):
     s = fx.table(spark, sf, "nation")
     empty = "cast(array() as array<struct<old_symbol:string,new_symbol:string,effective_date:date,reason:string>>)"
@@ -326,9 +333,9 @@ def valid_holdings(spark, sf):
 
 @query(B + "SELECT symbol, d, close FROM bars WHERE symbol = 'Brand#23' AND year(d) BETWEEN 1996 AND 1997 AND d >= DATE '1996-03-01' AND d <= DATE '1997-02-28'")
 def parquet_store(spark, sf):
-    """Written by symbol and year, read back with partition pruning and an exact date filter."""
+    """All bars, written by symbol and year; one symbol's read back with partition pruning and an exact date filter."""
     path = tables.shared(spark, "bars")
-    tables.write_bars(fx.bars(spark, sf).where("symbol in ('Brand#23', 'Brand#11')"), path)
+    tables.write_bars(fx.bars(spark, sf), path)
     return tables.read_bars(spark, path, "brand#23", "1996-03-01", "1997-02-28").select("symbol", "d", "close")
 
 

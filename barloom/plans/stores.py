@@ -13,12 +13,12 @@ from .registry import query
 
 @query(_SMOOTH + _FEATURES + " SELECT symbol, d, lag_return_1, rsi_14, label FROM feats WHERE label IS NOT NULL AND symbol = 'Brand#12' AND " + " AND ".join(f"{c} IS NOT NULL" for c in features.BASE), "lag_return_1 rsi_14")
 def feature_store(spark, sf):
-    """Features written as JSON under a version, rows already stored skipped, and read back."""
+    """Features of all symbols written as JSON under a version, rows already stored skipped; one symbol's read back."""
     path = tables.shared(spark, "features")
-    df = features.dataset(fx.bars(spark, sf).where("symbol = 'Brand#12'"), "v1")
+    df = features.dataset(fx.bars(spark, sf), "v1")
     tables.write_features(df.where("d < date '1998-01-01'"), path, "v1")
     tables.write_features(df, path, "v1", spark.read.parquet(path))
-    return tables.read_features(spark, path, "v1", features.BASE).select("symbol", "d", "lag_return_1", "rsi_14", "label")
+    return tables.read_features(spark, path, "v1", features.BASE).where("symbol = 'Brand#12'").select("symbol", "d", "lag_return_1", "rsi_14", "label")
 
 
 @query(B + "SELECT count(*) AS row_count, count(DISTINCT symbol) AS symbols, min(d)::varchar AS start_date, max(d)::varchar AS end_date FROM bars")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from barloom.operators import calendar as cal, features, models as ml, portfolio as pf
 from barloom.plans import evaluate
-from barloom.sources import fixtures as fx
+from barloom.sources import fixtures as fx, tables
 
 QUERIES = entry.queries()
 
@@ -67,3 +67,17 @@ def test_trading_metrics_of_long_histories(spark):
     assert math.isclose(got["A"].annual_return, 0.5**252 - 1) and math.isclose(got["A"].max_drawdown, -1.0)
     assert math.isclose(got["B"].max_drawdown, -0.5) and math.isclose(got["B"].annual_return, 0.5 ** (252 / n) - 1)
     assert got["C"].max_drawdown == -1.0 and got["C"].annual_return is None
+
+
+def test_stores_hold_all_symbols(spark, sf, monkeypatch):
+    paths, shared = {}, tables.shared
+    monkeypatch.setattr(tables, "shared", lambda s, name: paths.setdefault(name, shared(s, name)))
+    QUERIES["parquet_store"](spark, sf)
+    assert spark.read.parquet(paths["bars"]).count() == fx.bars(spark, sf).count()
+    QUERIES["feature_store"](spark, sf)
+    assert spark.read.parquet(paths["features"]).count() == features.dataset(fx.bars(spark, sf), "v1").count()
+
+
+def test_every_customer_gets_an_id(spark):
+    got = QUERIES["register_all_tickers"](spark, "/root/testdata/sf0.1").collect()
+    assert len(got) == fx.table(spark, "/root/testdata/sf0.1", "customer").where("c_custkey > 10").count() == len({r.internal_id for r in got}) > 10_000
