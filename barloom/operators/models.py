@@ -22,7 +22,7 @@ from . import evaluation as ev
 
 SEED = 42
 #: Models that the driver fits at a time.
-FITS = 8
+FITS = 4
 #: Presets of the model families; boosted families differ in depth and step.
 FAMILIES = {
     "random_forest": lambda p: RandomForestClassifier(numTrees=int(p.get("trees", 100)), maxDepth=int(p.get("depth", 6)), seed=SEED),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bands
 from ..operators import calendar as cal, evaluation as ev, features, indicators as ind, labels, models as ml, portfolio as pf, quality, store
 from ..operators.windows import by, change, rolling
-from ..sources import fixtures as fx
+from ..sources import fixtures as fx, tables
 from .market import B, RET, W, _SMOOTH, _VOLPCT, roll
 from .registry import query
 
@@ -300,7 +300,10 @@ def model_cv(spark, sf):
 @query()
 def model_walk_forward(spark, sf):
     """Predictions of all walk-forward windows, by date over all symbols."""
-    return ml.walk_forward(_rows(spark, sf), features.BASE, 252, 42, params={"trees": 10, "depth": 3}).select("symbol", "d", "fold", "probability", "predicted", "actual")
+    # dozens of models are fitted on these rows: read from a table, they have a short plan that the driver keeps for each
+    path = tables.shared(spark, "walk")
+    features.dataset(fx.bars(spark, sf), "v1").write.parquet(path)
+    return ml.walk_forward(spark.read.parquet(path), features.BASE, 252, 42, params={"trees": 10, "depth": 3}).select("symbol", "d", "fold", "probability", "predicted", "actual")
 
 
 @query()
