@@ -15,43 +15,41 @@ def classify(ticks: DataFrame) -> DataFrame:
     """Batch twin of the stream: each symbol's ticks in order of arrival through one guard. The outcome of a tick depends on
     all before it, so a symbol is one ordered pass; rows stream through it, and no symbol is held whole."""
     schema = T.StructType([*ticks.schema.fields, *OUTCOME])
-    return ticks.repartition("symbol").sortWithinPartitions("symbol", "arrival").mapInPandas(guard.label, schema)
+    return ticks.repartition("symbol").sortWithinPartitions("symbol", "arrival").mapInArrow(guard.label, schema)
 
 
 def classify_by_time(ticks: DataFrame) -> DataFrame:
-    """Without sequence ids, as windows: seen before, later than all before, or out of order. The seen window is unbounded here."""
-    by = Window.partitionBy("symbol").orderBy("arrival")
-    again = F.row_number().over(Window.partitionBy("symbol", "exchange_ts").orderBy("arrival")) > 1
-    before = F.max("exchange_ts").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    return ticks.withColumn("outcome", F.when(again, guard.DUPLICATE).when(before.isNull() | (F.col("exchange_ts") > before), guard.ACCEPT).otherwise(guard.OUT_OF_ORDER))
+    """The same without sequence ids, as from a feed that has none: seen among the last times, later than all before, or out of order."""
+    told = classify(ticks.select("*", F.col("sequence_id").alias("_id")).withColumn("sequence_id", F.lit(None).cast(ticks.schema["sequence_id"].dataType)))
+    return told.withColumn("sequence_id", F.col("_id")).drop("_id", "gap")
 
 
 def classify_stream(ticks: DataFrame) -> DataFrame:
-    """A stream of (symbol, ltp, exchange_ts, sequence_id, arrival) with outcome and gap. State per symbol: high-water mark, last time, last keys."""
-    import pandas as pd
+    """A stream of (symbol, ltp, exchange_ts, sequence_id, arrival) with outcome and gap; sequence ids may be missing.
+    State per symbol: high-water mark, last time, last ids and times."""
     from pyspark.sql.streaming import StatefulProcessor
 
-    schema = T.StructType([*ticks.schema.fields, *OUTCOME])
+    # ids and times as text: pandas has no missing integers
+    rows = ticks.withColumns({"at_text": F.unix_micros(F.col("exchange_ts").cast("timestamp")).cast("string"), "id_text": F.col("sequence_id").cast("string")})
+    schema = T.StructType([*rows.schema.fields, *OUTCOME])
 
     class Processor(StatefulProcessor):
         def init(self, handle):
-            self.mark = handle.getValueState("mark", "seq long, ts timestamp")
-            self.seen = handle.getValueState("seen", "keys array<long>")
+            self.state = handle.getValueState("guard", "seq long, ts long, ids array<long>, times array<long>")
 
         def handleInputRows(self, key, rows, timerValues):
-            seq, ts = self.mark.get() if self.mark.exists() else (None, None)
-            g = guard.Guard(seq, pd.Timestamp(ts) if ts is not None else None, self.seen.get()[0] if self.seen.exists() else ())
+            g = guard.Guard(*(self.state.get() if self.state.exists() else ()))
             for pdf in rows:
                 pdf = pdf.sort_values("arrival", ignore_index=True)
-                got = [g.evaluate(t, int(s)) for t, s in zip(pdf["exchange_ts"], pdf["sequence_id"])]
+                got = [g.evaluate(*(int(x) if isinstance(x, str) else None for x in row)) for row in zip(pdf["at_text"], pdf["id_text"])]
                 yield pdf.assign(outcome=[o for o, _ in got], gap=[n for _, n in got])
-            self.mark.update((g.last_seq, g.last_ts))
-            self.seen.update(([int(x) for x in g.order],))
+            self.state.update((g.last_seq, g.last_ts, list(g.ids.order), list(g.times.order)))
 
         def close(self):
             pass
 
-    return ticks.groupBy("symbol").transformWithStateInPandas(Processor(), schema, "Append", "None")
+    told = rows.drop("sequence_id").groupBy("symbol").transformWithStateInPandas(Processor(), T.StructType([f for f in schema.fields if f.name != "sequence_id"]), "Append", "None")
+    return told.withColumn("sequence_id", F.col("id_text").cast("long")).select(*ticks.columns, "outcome", "gap")
 
 
 def accepted(classified: DataFrame) -> DataFrame:

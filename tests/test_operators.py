@@ -122,9 +122,35 @@ def test_guard_script():
     small = guard.Guard(window=2)
     for i in (1, 2, 3):
         small.evaluate(t[i], i)
-    assert small.evaluate(t[1], 1)[0] == "OUT_OF_ORDER" and len(small.order) == len(small.seen) == 2
+    assert small.evaluate(t[1], 1)[0] == "OUT_OF_ORDER" and len(small.ids.order) == len(small.ids.keys) == 2
     by_time = guard.Guard()
     assert [by_time.evaluate(x)[0] for x in (t[1], t[3], t[3], t[2])] == ["ACCEPT", "ACCEPT", "DUPLICATE", "OUT_OF_ORDER"]
+    short = guard.Guard(window=2)  # the window bounds times as well: the first is forgotten
+    assert [short.evaluate(x)[0] for x in (t[1], t[2], t[3], t[1], t[3])] == ["ACCEPT", "ACCEPT", "ACCEPT", "OUT_OF_ORDER", "DUPLICATE"]
+    assert g.evaluate(None, 7) == g.evaluate(None) == ("ACCEPT", 0) and g.evaluate(t[5]) == ("ACCEPT", 0)
+
+
+def test_ticks_without_ids_or_times(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("a", t, 2**60 + 1, 0), ("a", t, 2**60 + 1, 1), ("a", t, None, 2), ("a", None, None, 3), ("a", t + dt.timedelta(seconds=1), None, 4), ("a", t, 2**60 + 3, 5), (None, t, None, 6)]
+    df = spark.createDataFrame(rows, "symbol string, exchange_ts timestamp, sequence_id long, arrival long")
+    got = [(r.outcome, r.gap) for r in tk.classify(df).orderBy("arrival").collect()]
+    assert got == [("ACCEPT", 0), ("DUPLICATE", 0), ("OUT_OF_ORDER", 0), ("ACCEPT", 0), ("ACCEPT", 0), ("GAP", 1), ("ACCEPT", 0)]
+    assert [r.outcome for r in tk.classify_by_time(df).orderBy("arrival").collect()] == ["ACCEPT", "DUPLICATE", "DUPLICATE", "ACCEPT", "ACCEPT", "DUPLICATE", "ACCEPT"]
+    assert set(tk.classify_by_time(df).columns) == {*df.columns, "outcome"}
+    assert tk.classify(df.limit(0)).count() == 0
+
+
+def test_smoothing_state():
+    """A level is the mean of its warm rows, then decays; a gap fades its weight."""
+    from barloom.functions.smoothing import Level, wilder
+
+    up = wilder(3)
+    assert [up.step(x) for x in (1.0, 2.0)] != [1.0, 2.0] and up.step(6.0) == 3.0 and math.isclose(up.step(6.0), 4.0)
+    gap = Level(0.5)
+    assert [gap.step(x) for x in (8.0, math.nan)] == [8.0, 8.0] and math.isclose(gap.step(2.0), (0.25 * 8 + 0.5 * 2) / 0.75)
+    late = Level(0.5, warm=3)
+    assert all(math.isnan(late.step(math.nan)) for _ in range(3)) and late.step(5.0) == 5.0
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
