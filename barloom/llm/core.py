@@ -17,11 +17,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 @functools.cache
 def give_back() -> None:
     """Let this worker's large buffers go back to the system when freed, at some cost in time; workers outlive their tasks."""
@@ -195,6 +195,15 @@ def blocks(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text")
     return docs.select(b.alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
+def ordered(t: pa.Table) -> pa.Table:
+    """The rows of a block by doc_id (null first), then text: one order for every reading of it.
+
+    A shuffle's rows come in the order in which they are fetched, which differs between two reads and between attempts.
+    What names a row by its place in a block takes this order first. Rows with equal id and text are interchangeable.
+    """
+    return t.take(pc.sort_indices(t, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start"))
+
+
 def bound_batches(spark: SparkSession, records: int = 1000, n_bytes: int = 8 << 20) -> None:
     """Keep Arrow batches of texts small: at most so many records, and bytes where this Spark can bound them."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", records), ("spark.sql.execution.arrow.maxBytesPerBatch", n_bytes)):

@@ -14,7 +14,8 @@ occurs once in the corpus occur once, and only about 2 / (length - gram + 2) of
 4. a shard orders the stretches that it gets, passes them through `later` again, and tells each block;
 5. a block takes both answers and edits its documents.
 
-All of it is one lazy plan: the exchange of the texts is made once and read three times.
+All of it is one lazy plan: the exchange of the texts is made once and read three times. Items are named by their
+place in the block, so each step puts the block's rows in one order first, whatever order they are fetched in.
 """
 
 from __future__ import annotations
@@ -111,6 +112,7 @@ def _block_names(items, at, kind):
 
 def ask(kind: Kind, buckets: int):
     def run(t: pa.Table) -> pa.Table:
+        t = core.ordered(t)
         items, at = kind.items(*core.flat(t["text"]))
         names, count, doc = _block_names(items, at, kind)
         cuts = bucket_cuts(names, buckets)
@@ -187,6 +189,7 @@ def cut(kind: Kind, buckets: int, shards: int):
         dest, blobs = [], []
         block = left["block"][0].as_py() if left.num_rows else -1
         if left.num_rows and right.num_rows:
+            left = core.ordered(left)
             items, at = kind.items(*core.flat(left["text"]))
             names, count, _ = _block_names(items, at, kind)
             cuts = bucket_cuts(names, buckets)
@@ -296,4 +299,4 @@ def edit(docs: DataFrame, kind: Kind, item_type, finish, schema: T.StructType, c
     told = asked.groupBy("bucket").applyInArrow(answer(2 * n), "block int, bucket int, data binary")
     parts = groups.cogroup(told.groupBy("block")).applyInArrow(cut(kind, n, 2 * n), "dest long, block int, data binary")
     known = parts.groupBy("dest").applyInArrow(settle(kind, item_type), "block int, data binary")
-    return groups.cogroup(known.groupBy("block")).applyInArrow(finish, schema)
+    return groups.cogroup(known.groupBy("block")).applyInArrow(lambda left, right: finish(core.ordered(left), right), schema)

@@ -1,13 +1,19 @@
 """Substring and suffix dedup against brute force."""
 
+import os
 import re
+import subprocess
+import sys
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import queries, repeats, substring, suffix
+from barloom.llm import core, queries, repeats, substring, suffix
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -136,3 +142,63 @@ def test_automaton_finds_earlier_windows():
                 want[p] = k in seen
                 seen.add(k)
         assert (substring.later(items, bounds, np.arange(len(seqs)), size) == want).all()
+
+
+def shuffled(t, rng):
+    return t.take(pa.array(rng.permutation(t.num_rows)))
+
+
+@pytest.mark.parametrize("module, item_type", [(substring, np.uint64), (suffix, np.uint8)])
+def test_order_of_fetched_rows_does_not_matter(module, item_type):
+    """The steps without Spark, with the rows of every group in another order each time they are read."""
+    rng = np.random.default_rng(5)
+    docs = noisy(3, 150) + [(149, None), (149, "a " * 300)]
+    n, kind = 4, module.kind(12, 5)
+    block = rng.integers(0, n, len(docs))
+    tables = [pa.table({"block": pa.array([b] * int((block == b).sum()), pa.int32()), "doc_id": pa.array([d for (d, _), x in zip(docs, block) if x == b], pa.int64()), "text": pa.array([t for (_, t), x in zip(docs, block) if x == b], pa.string())}) for b in range(n)]
+
+    def grouped(parts, key):
+        t = pa.concat_tables(parts)
+        return {k: t.filter(pc.equal(t[key], k)) for k in t[key].unique().to_pylist()}
+
+    def removed(mix):
+        asked = [repeats.ask(kind, n)(mix(t)) for t in tables]
+        told = grouped([repeats.answer(2 * n)(mix(t)) for t in grouped(asked, "bucket").values()], "block")
+        parts = [repeats.cut(kind, n, 2 * n)(mix(t), mix(told[b])) for b, t in enumerate(tables)]
+        known = grouped([repeats.settle(kind, item_type)(mix(t)) for t in grouped(parts, "dest").values()], "block")
+        out = []
+        for b, t in enumerate(tables):
+            t = core.ordered(mix(t))
+            items, at = kind.items(*core.flat(t["text"]))
+            gone = repeats.covered(len(items), known.get(b, parts[0].slice(0, 0)), kind.length)
+            out += [(i or -1, x or "", int(gone[p:q].sum())) for i, x, p, q in zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), at[:-1], at[1:])]
+        return sorted(out)
+
+    want = removed(lambda t: t)
+    assert sum(x[2] for x in want)
+    for _ in range(4):
+        assert removed(lambda t: shuffled(t, rng)) == want
+
+
+CLUSTER = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+from barloom.llm import queries
+spark = SparkSession.builder.master("local-cluster[3,1,1024]").config("spark.ui.enabled", "false").config("spark.executor.memory", "1g").config("spark.sql.shuffle.partitions", "6").config("spark.checkpoint.dir", sys.argv[2]).config("spark.executorEnv.PYTHONPATH", sys.path[0]).getOrCreate()
+for name in ("op3_substring_dedup", "op8_suffix_dedup"):
+    queries.QUERIES[name](spark, sys.argv[1]).write.parquet(sys.argv[2] + "/" + name)
+spark.stop()
+"""
+
+
+def test_several_executors(spark, tmp_path):
+    """Both queries on executors that fetch each other's blocks give the rows that one process gives."""
+    (tmp_path / "run.py").write_text(CLUSTER)
+    env = os.environ | {"SPARK_HOME": os.path.dirname(pyspark.__file__), "SPARK_LOCAL_IP": "127.0.0.1"}
+    home, root = "/root/testdata/sf0.01", env["PYTHONPATH"].split(os.pathsep)[0]
+    run = "import sys; sys.path[0] = sys.argv[1]; del sys.argv[1]; exec(open(sys.argv.pop(1)).read())"
+    done = subprocess.run([sys.executable, "-c", run, root, str(tmp_path / "run.py"), home, f"file://{tmp_path}/out"], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-3000:]
+    for name in ("op3_substring_dedup", "op8_suffix_dedup"):
+        got = sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/out/{name}").collect()))
+        assert got == sorted(map(tuple, queries.QUERIES[name](spark, home).collect()))
