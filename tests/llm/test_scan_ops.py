@@ -1,6 +1,7 @@
 """Language ID, chat formatting, media columns and BPE against plain Python."""
 
 import base64
+import math
 import struct
 import zlib
 from hashlib import sha256
@@ -80,14 +81,61 @@ def brute_phrases(text, ref):
 
 
 def test_phrases_are_longest_matches():
+    """Lanes leave no trace: the phrases are those of one parse of the whole text."""
     rng = np.random.default_rng(3)
-    ref = (bytes(rng.choice(list(b"abcd"), 300)), bytes(rng.choice(list(b"abc e"), 200)))
-    texts = [bytes(rng.choice(list(b"abcdez"), n)) for n in (0, 1, 2, 50, 500, langid.CHUNK, langid.CHUNK + 7)]
+    long = bytes(rng.choice(list(b"abcd"), 6000))
+    ref = (bytes(rng.choice(list(b"abcd"), 300)), bytes(rng.choice(list(b"abc e"), 200)), long, b"a" * 50)
+    sizes = (0, 1, 2, 50, 500, langid.LANE, langid.LANE + 7, 5 * langid.LANE + 1)
+    texts = [bytes(rng.choice(list(b"abcdez"), n)) for n in sizes] + [long[100:5900], b"a" * 9001, b"ab" * 4000]
     off = np.cumsum([0, *map(len, texts)])
-    got = langid.Parser((("a", ref[0]), ("b", ref[1]))).phrases(np.frombuffer(b"".join(texts), np.uint8), off)
+    got = langid.Parser(tuple(zip("abcd", ref))).phrases(np.frombuffer(b"".join(texts), np.uint8), off)
     for t, row in zip(texts, got):
-        cut = [t[i : i + langid.CHUNK] for i in range(0, len(t), langid.CHUNK)]
-        assert row.tolist() == [sum(brute_phrases(c, r) for c in cut) for r in ref]
+        assert row.tolist() == [brute_phrases(t, r) for r in ref]
+
+
+def test_interleaved_rows_are_the_automaton():
+    rng = np.random.default_rng(4)
+    for width in (2, 5, 60):
+        step = langid.automaton(rng.integers(0, width, int(rng.integers(1, 900))))
+        place, cells = langid.interleaved(step, width)
+        for s, row in enumerate(step):
+            for a in range(width):
+                owner, to = int(cells[place[s] + a]) >> 32, int(cells[place[s] + a]) & 0xFFFFFFFF
+                assert (owner == s) == (a in row) and (a not in row or to == row[a])
+        assert np.count_nonzero(cells >= 0) == sum(map(len, step))
+
+
+def test_language_query_equals_brute_force(spark, sf):
+    docs = queries.table(spark, sf, "documents")
+    samples = langid.sample(docs.where(~langid.held_out()))
+    got = {r.doc_id: r for r in queries.op1_language_id(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) and set(samples) == {r.lang for r in rows if r.lang is not None}
+    lowered = {k: v.lower() for k, v in sorted(samples.items())}  # bytes.lower changes A-Z alone
+    for r in rows:
+        text = (r.text or "").encode().lower()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        bits = sorted((brute_phrases(text, ref) * math.log2(len(ref)) / len(text), k) for k, ref in lowered.items())
+        assert got[r.doc_id].lang_pred == bits[0][1] and math.isclose(got[r.doc_id].score, 1 - bits[0][0] / bits[1][0], abs_tol=1e-12)
+
+
+def test_sample_takes_lowest_hashes_of_every_language(spark):
+    import xxhash
+
+    rows = [("en", f"text {i % 50} of few") for i in range(3000)] + [("de", f"Text {i} von vielen") for i in range(3000)] + [("fr", None), (None, "none"), ("it", "x" * 5000), ("nl", "")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = langid.sample(df)
+    h = lambda t: xxhash.xxh64(t.encode(), 42).intdigest()
+    for k in ("en", "de"):
+        want = sorted({t for x, t in rows if x == k}, key=lambda t: h(t) >> 11)[: langid.SAMPLE_TEXTS]
+        assert got[k] == "\n".join(want).encode()
+    assert got["it"] == b"x" * langid.SAMPLE_CHARS and set(got) == {"en", "de", "it"}
+    many = spark.range(300).selectExpr("concat('l', id) as lang", "repeat('ab', 100) as text")
+    assert len(part := langid.sample(many, total=3000)) == 300 and {len(v) for v in part.values()} == {10}
+    with pytest.raises(ValueError):
+        langid.sample(spark.range(langid.MAX_LANGS + 1).selectExpr("cast(id as string) as lang", "'t' as text"))
 
 
 def test_chat_reads_back(spark, sf):
