@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as P
+from barloom.llm import langid
 
 from . import test_minhash, test_pack_and_clean, test_repeats
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -32,14 +34,26 @@ def stages(spark, tmp_path_factory):
     return out, bench.collect()
 
 
-def test_columns_and_language(stages):
+def test_columns_and_language(stages, spark):
     out, _ = stages
     for name, (_, after) in list(out.items())[:-1]:
         assert after and tuple(after[0].asDict()) == P.COLUMNS, name
     before, after = out["language_id"]
     kept = {r.doc_id: r for r in after}
     assert {9001, 9002, 9003} & set(kept) == set()
-    assert [r for r in before if any(c.isalpha() for c in r.text or "")] == [kept[r.doc_id] for r in before if r.doc_id in kept]
+    lettered = [r for r in before if any(c.isalpha() for c in r.text or "")]
+    assert set(kept) == {r.doc_id for r in lettered}
+    # the label is the classifier's: a wrong one is put right, a missing one filled in
+    told = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(before, DOCS), langid.sample(spark.createDataFrame(before, DOCS).where(~langid.held_out()))).collect()}
+    assert all(tuple(kept[r.doc_id]) == (r.doc_id, r.text, told[r.doc_id], r.source, r.n_chars) for r in lettered)
+
+
+def test_wrong_label_is_put_right(spark):
+    rows = [(i, f"the {w} of the house was on the table and the door", "en", None, None) for i, w in enumerate("cat dog boy key book ball shoe cup".split())]
+    rows += [(20 + i, f"der {w} von dem Haus war auf dem Tisch und die Tür", "de", None, None) for i, w in enumerate("Hund Mann Ball Schuh Topf Baum Ring Stein".split())]
+    rows += [(97, "und die Tür von dem Haus war auf dem Tisch", "en", None, None), (95, "der Baum und die Tür", None, None, None)]
+    got = {r.doc_id: r.lang for r in P.language_id(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert got == {**{i: "en" for i in range(8)}, **{20 + i: "de" for i in range(8)}, 95: "de", 97: "de"}
 
 
 def test_near_dedup(stages):
