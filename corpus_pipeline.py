@@ -15,9 +15,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised; those without a letter (`und`) go."""
+    """Documents in which a language is recognised, lang set to it, whatever the label said; those of no language (`und`) go."""
     samples = langid.sample(docs.where(~langid.held_out()))
-    return langid.identify(docs, samples, keep=COLUMNS).where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    known = langid.identify(docs, samples, keep=COLUMNS).where(F.col("lang_pred") != langid.UNKNOWN)
+    return known.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
