@@ -183,10 +183,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    """So many blocks that one holds about block_bytes of text, and one for each core at least; one pass over the text column."""
+def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES, least: int | None = None) -> int:
+    """So many blocks that one holds about block_bytes of text, and `least` (one for each core) at least; one pass over the text column."""
     n = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(n / block_bytes))
+    return max(docs.sparkSession.sparkContext.defaultParallelism if least is None else least, math.ceil(n / block_bytes))
 
 
 def blocks(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,13 +195,13 @@ def blocks(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text")
     return docs.select(b.alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
-def ordered(t: pa.Table) -> pa.Table:
-    """The rows of a block by doc_id (null first), then text: one order for every reading of it.
+def ordered(t: pa.Table, content: str = "text") -> pa.Table:
+    """The rows of a block by doc_id (null first), then content: one order for every reading of it.
 
     A shuffle's rows come in the order in which they are fetched, which differs between two reads and between attempts.
-    What names a row by its place in a block takes this order first. Rows with equal id and text are interchangeable.
+    What names a row by its place in a block takes this order first. Rows with equal id and content are interchangeable.
     """
-    return t.take(pc.sort_indices(t, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start"))
+    return t.take(pc.sort_indices(t, sort_keys=[("doc_id", "ascending"), (content, "ascending")], null_placement="at_start"))
 
 
 def bound_batches(spark: SparkSession, records: int = 1000, n_bytes: int = 8 << 20) -> None:

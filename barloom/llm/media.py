@@ -4,7 +4,7 @@ A text's bytes, padded with zero bytes to a positive multiple of 64, are the sam
 greyscale PNG of width 64. Each task appends its images to tar shards in the shared folder; a member is
 named by the SHA-256 of its content and is stored once per shard. The index table points into the shards,
 so a reader fetches the 33 bytes of signature and header for the metadata columns, or a member's range for
-all of it. A shard carries its attempt in its name: a task that runs again writes shards of its own, and
+all of it. Readers are dealt by shard. A shard carries its attempt in its name: a task that runs again writes shards of its own, and
 only those of the attempt that was committed are pointed to.
 
 A null text is an empty one, and an empty text has a payload of 64 zero bytes. Null ids are kept. Equal
@@ -130,8 +130,8 @@ def store(docs: DataFrame, base: str, text: str = "text", id_col: str = "doc_id"
     return docs.select(text, id_col).mapInArrow(run, INDEX)
 
 
-def _ranges(b: pa.RecordBatch, base: str, most: int | None):
-    """The stored bytes of each row's range, or the first `most` of them, in the order of shard and offset."""
+def ranges(b: pa.RecordBatch, base: str, most: int | None = None):
+    """(row, stored bytes) of the range that (file, offset, length) name, or its first `most` bytes, in the order of file and offset."""
     from pyarrow import fs
 
     files, path = fs.FileSystem.from_uri(base)
@@ -151,6 +151,13 @@ def _ranges(b: pa.RecordBatch, base: str, most: int | None):
         f.close()
 
 
+def by_file(index: DataFrame, name: str) -> DataFrame:
+    """The written index dealt by file, in order of offset: as many tasks as wrote the files or as there are cores, whatever
+    the size of the index itself, and each file opened by one of them."""
+    n = max(index.sparkSession.sparkContext.defaultParallelism, index.select(name).distinct().count())
+    return index.repartition(n, name).sortWithinPartitions(name, "offset")
+
+
 def metadata(index: DataFrame, base: str) -> DataFrame:
     """index with width, height, bit_depth and colour_type, by range reads of the headers alone."""
     schema = T.StructType([*index.schema.fields, *(T.StructField(k, T.IntegerType()) for k in ("width", "height", "bit_depth", "colour_type"))])
@@ -158,7 +165,7 @@ def metadata(index: DataFrame, base: str) -> DataFrame:
     def run(batches):
         for b in batches:
             got = [(0, 0, 0, 0)] * len(b)
-            for i, data in _ranges(b.select(["shard", "offset", "length"]), base, HEADER_BYTES):
+            for i, data in ranges(b.select(["shard", "offset", "length"]), base, HEADER_BYTES):
                 got[i] = header(data)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[k] for x in got], pa.int32()) for k in range(4))], names=schema.names)
 
@@ -172,23 +179,26 @@ def feature(payload: bytes) -> str:
     return f"{WIDTH}x{len(x) // WIDTH};mean={x.mean():.4f};zero={np.count_nonzero(x == 0)};bins={','.join(map(str, bins))}"
 
 
+READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
 def load(index: DataFrame, base: str) -> DataFrame:
-    """doc_id, n_bytes and what the stored bytes give when read back; a digest that doesn't match is an error."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long"
+    """index and what the stored bytes give when read back; a digest that doesn't match is an error. The index may have the columns of `metadata`."""
+    schema = T.StructType([*index.schema.fields, *T._parse_datatype_string(READ).fields])
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def run(batches):
         for b in batches:
             out = [None] * len(b)
             digests = b.column("digest").to_pylist()
             known = None
-            for i, png in _ranges(b.select(["shard", "offset", "length"]), base, None):
+            for i, png in ranges(b.select(["shard", "offset", "length"]), base):
                 if known is None or known[0] is not png:
                     if (digest := sha256(png).hexdigest()) != digests[i]:
                         raise ValueError(f"{digests[i]} holds {digest}")
                     payload = from_png(png)
                     known = png, (len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(png), digest, feature(payload))
                 out[i] = known[1]
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)), b.column("shard"), b.column("offset")], names=[x.split()[0] for x in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], names=schema.names)
 
     return index.mapInArrow(run, schema)

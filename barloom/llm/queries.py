@@ -33,7 +33,9 @@ def op2_chat_format(spark, sf_dir):
 def op9_media_columns(spark, sf_dir):
     base = core.folder(spark, "media")
     index = core.written(media.store(table(spark, sf_dir, "documents"), base), "media-index")
-    return media.load(index, base).drop("shard", "offset")
+    # headers alone fill the metadata columns; then whole members give the features
+    rows = media.load(media.metadata(media.by_file(index, "shard"), base), base)
+    return rows.select("doc_id", "n_bytes", *(x.split()[0] for x in media.READ.split(", ")), "width", "height", "bit_depth", "colour_type")
 
 
 def op10_byte_bpe(spark, sf_dir):
@@ -134,7 +136,10 @@ QUERIES["op4_lm_scoring"] = op4_lm_scoring
 def op5_pack_tokens(spark, sf_dir):
     from . import packing
 
-    return packing.pack(table(spark, sf_dir, "documents"))
+    base = core.folder(spark, "packed")
+    index = core.written(packing.store(table(spark, sf_dir, "documents"), base, vocabulary=packing.public_vocabulary()), "packed-index")
+    rows = packing.load(index, base).withColumn("ids_sha256", F.sha2("ids", 256))
+    return rows.select("block", "row", "n_tokens", "cu_seqlens", "resets", "doc_ids", "starts", "offset", "length", "ids_sha256")
 
 
 def op7_decontaminate(spark, sf_dir):

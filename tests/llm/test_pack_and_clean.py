@@ -5,18 +5,19 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, packing, queries
+from barloom.llm import bpe, core, decontaminate, packing, queries
 
 WORD = re.compile(rb"(?:[^\x00-\x7f]|[0-9a-z])+")
 
 
-def together(rows, length, pad=packing.PAD):
-    """Texts by id, from packed rows."""
+def together(rows, length, v):
+    """Ids by document, from packed rows."""
     parts = {}
     for r in rows:
-        ids = np.frombuffer(r.ids, np.uint16)
-        assert len(ids) == length and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens and (ids[r.n_tokens :] == pad).all()
+        ids = np.frombuffer(r.ids, v.dtype)
+        assert len(ids) == length and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens and (ids[r.n_tokens :] == v.pad).all()
         assert r.resets == r.cu_seqlens[:-1]
         for d, s, a, z in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
             parts.setdefault(d, []).append((s, ids[a:z]))
@@ -24,23 +25,36 @@ def together(rows, length, pad=packing.PAD):
 
 
 def test_packing_is_lossless_and_tight(spark, sf, tmp_path):
-    docs = queries.table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (None, "é" * 9000)], "doc_id long, text string"))
-    for length in (64, 4096):
-        packed = packing.pack(docs, length, blocks=3)
-        rows = packed.collect()
-        got = together(rows, length)
-        want = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
-        assert set(got) == set(want)
-        for k, text in want.items():
-            assert got[k].tolist() == [*text, packing.END]
-        assert sum(r.n_tokens for r in rows) >= 0.97 * length * len(rows)
-    told = packing.write(packed, f"file://{tmp_path}/bin").collect()
-    for r in rows[:5]:
-        x = next(t for t in told if (t.block, t.row) == (r.block, r.row))
-        with open(tmp_path / "bin" / x.file, "rb") as f:
-            f.seek(x.offset)
-            assert f.read(2 * 4096) == r.ids
-    assert packing.pack(docs.limit(0)).count() == 0
+    odd = [(-1, None), (-2, ""), (None, "é" * 9000), (-3, "<|endoftext|> ünï 🤖")]
+    docs = queries.table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    c = bpe.codec(bpe.public_document())
+    for length, v, ids in ((64, packing.BYTES, lambda t: list(t.encode())), (4096, packing.public_vocabulary(), lambda t: c.encode([t])[0])):
+        want = {k: [*ids(t), v.end] for k, t in texts.items()}
+        rows = packing.pack(docs, length, v, blocks=3).collect()
+        base = f"file://{tmp_path}/bin{length}"
+        index = core.written(packing.store(docs.withColumn("ids", F.lit("clash")), base, length, v, blocks=3), "packed")
+        back = packing.load(index, base).collect()
+        assert {(r.block, r.row): r.ids for r in back} == {(r.block, r.row): r.ids for r in rows} and len(back) == len(rows)
+        for some in (rows, back):
+            got = together(some, length, v)
+            assert {k: x.tolist() for k, x in got.items()} == want
+        assert sum(r.n_tokens for r in rows) >= 0.97 * length * (len(rows) - 3)
+    assert packing.pack(docs.limit(0)).count() == packing.store(docs.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
+def test_packing_does_not_depend_on_cores_or_order(spark, sf):
+    docs = queries.table(spark, sf, "documents")
+    key = lambda df: sorted((r.block, r.row, r.ids, tuple(r.doc_ids)) for r in df.collect())
+    assert key(packing.pack(docs)) == key(packing.pack(docs.repartition(7).orderBy(F.desc("text"))))
+
+
+def test_packed_query_reads_back_what_it_wrote(spark, sf):
+    v = packing.public_vocabulary()
+    rows = packing.pack(queries.table(spark, sf, "documents"), vocabulary=v).withColumn("ids_sha256", F.sha2("ids", 256)).collect()
+    got = queries.op5_pack_tokens(spark, sf).collect()
+    pick = lambda r: (r.block, r.row, r.n_tokens, r.cu_seqlens, r.resets, r.doc_ids, r.starts, r.ids_sha256)
+    assert sorted(map(pick, got)) == sorted(map(pick, rows))
 
 
 @pytest.mark.parametrize("length", [1, 7, 16, 100])

@@ -166,7 +166,7 @@ def test_chat_reads_back(spark, sf):
 def test_media_round_trip(spark, odd, tmp_path):
     base = f"file://{tmp_path}/media"
     index = core.written(media.store(odd, base), "t")
-    meta = {r.doc_id: r for r in media.metadata(index, base).collect()}
+    meta = {r.doc_id: r for r in media.metadata(media.by_file(index, "shard"), base).collect()}
     got = {r.doc_id: r for r in media.load(index, base).collect()}
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
     assert set(got) == set(texts)
@@ -186,3 +186,21 @@ def test_media_round_trip(spark, odd, tmp_path):
                 data = t.extractfile(m).read()
                 assert m.name == f"{sha(data)}.png" and struct.unpack(">I", data[16:20])[0] == 64
     assert media.store(odd.limit(0), base).count() == 0
+
+
+def test_media_query_equals_brute_force(spark, sf):
+    """All of a row but the stored form follows from the text; the stored form is a PNG that another reader's rules accept."""
+    texts = {r.doc_id: r.text or "" for r in queries.table(spark, sf, "documents").collect()}
+    got = queries.op9_media_columns(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        bins = [0] * 8
+        for b in payload:
+            bins[b // 32] += 1
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-64:]))
+        assert (r.width, r.height, r.bit_depth, r.colour_type) == (64, len(payload) // 64, 8, 0)
+        assert r.feature == f"64x{r.height};mean={sum(payload) / len(payload):.4f};zero={payload.count(0)};bins={','.join(map(str, bins))}"
+        png = media.to_png(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(png), sha(png))
