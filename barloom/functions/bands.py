@@ -82,3 +82,40 @@ def rsi_badge(v: Column, simple: bool = True) -> Column:
 
 def risk(v: Column) -> Column:
     return F.when(v < 0.20, "Low").when(v < 0.35, "Medium").when(v < 0.55, "High").when(v.isNotNull(), "Very High")
+
+
+def escalated(level: Column, stability: Column) -> Column:
+    """A prediction that moves much under noise (stability under 40) is of high risk in a calm market, too."""
+    return F.when((stability < 40) & level.isin("Low", "Medium"), "High").otherwise(level)
+
+
+def distance(level: Column, price: Column) -> Column:
+    """How far price is from a support or resistance level, as a share of the level: NULL is unavailable."""
+    return price / F.nullif(level, F.lit(0.0)) - 1
+
+
+def support(price: Column, level: Column) -> Column:
+    return _bands(price + level)
+
+
+def resistance(price: Column, level: Column) -> Column:
+    return _bands(price + level)
+
+
+def portfolio_risk(level: Column) -> Column:
+    """Mood of a portfolio's risk band."""
+    return F.when(level == "Low", "good").when(level == "High", "worried").otherwise("neutral")
+
+
+def dividend(yield_: Column) -> Column:
+    return _bands(yield_, (yield_ > 0, "pays"), otherwise="none")
+
+
+def fundamentals(price_earnings_: Column, yield_: Column) -> Column:
+    """Mood of both together: a loss worries, all else is neutral."""
+    return F.when(price_earnings_.isNull() & yield_.isNull(), "unavailable").when(price_earnings_ <= 0, "worried").otherwise("neutral")
+
+
+def prediction(up: Column, accuracy: Column, session: Column) -> Column:
+    """The guess and how often such guesses came true, out of ten (half to even)."""
+    return F.concat(F.when(up, "up").otherwise("down"), F.lit(" in "), session, F.lit(", right "), F.bround(accuracy * 10, 0).cast("int").cast("string"), F.lit(" of 10 times"))

@@ -43,10 +43,11 @@ def is_supported(symbol: Column, indices: tuple[str, ...] = ("^NSEI", "^BSESN",
     return symbol.rlike(r"\.(NS|BO)$") | symbol.isin(*indices)
 
 
-def failure_type(text: Column) -> Column:
-    t = F.lower(text)
+def failure_type(text: Column, error: Column | None = None) -> Column:
+    """Class of a failed fetch by its message and, if given, the name of its error; what came back in a wrong form is `malformed_response`."""
+    t, name = F.lower(text), F.coalesce(error, F.lit("")) if error is not None else F.lit("")
     has = lambda *x: t.rlike("|".join(x))
-    return F.when(has("timeout"), "timeout").when(has("429", "rate limit", "too many requests"), "rate_limit").when(has("401", "403", "auth"), "auth").when(has("not found", "404"), "not_found").otherwise("connection_error")
+    return F.when(name == "MalformedResponse", "malformed_response").when(has("timeout") | F.lower(name).contains("timed out"), "timeout").when(has("429", "rate limit", "too many requests"), "rate_limit").when(has("401", "403", "auth"), "auth").when(has("not found", "404"), "not_found").otherwise("connection_error")
 
 
 def sentiment(text: Column, positive: tuple[str, ...], negative: tuple[str, ...]) -> tuple[Column, Column]:
@@ -95,9 +96,13 @@ def direction_word(pct: Column) -> Column:
     return F.when(pct >= 0, "up").otherwise("down")
 
 
-def market_summary(nifty: Column, top_symbol: Column, top_pct: Column, low_symbol: Column, low_pct: Column) -> Column:
+def market_summary(nifty: Column, top_symbol: Column, top_pct: Column, low_symbol: Column, low_pct: Column, sensex: Column | None = None, bank: Column | None = None) -> Column:
+    """One sentence on those indices that have a change, one on the movers that there are."""
     show = lambda x: F.format_string("%.1f%%", F.abs(x) * 100)
-    index = F.when(nifty.isNull(), "Market index data isn't available right now.").otherwise(F.concat(F.lit("Nifty 50 is "), direction_word(nifty), F.lit(" "), show(nifty), F.lit(" today.")))
+    clause = lambda name, x, tail="": F.when(x.isNotNull(), F.concat(F.lit(f"{name} is "), direction_word(x), F.lit(" "), show(x), F.lit(tail)))
+    clauses = [clause("Nifty 50", nifty, " today"), *(clause(n, x) for n, x in (("Sensex", sensex), ("Bank Nifty", bank)) if x is not None)]
+    known = F.concat_ws(", ", *clauses)
+    index = F.when(known == "", "Market index data isn't available right now.").otherwise(F.concat(known, F.lit(".")))
     lead = F.when(top_symbol.isNotNull(), F.concat(top_symbol, F.lit(" leads your watchlist, up "), F.format_string("%.1f%%", top_pct * 100)))
     weak = F.when(low_symbol.isNotNull() & (low_pct < 0), F.concat(low_symbol, F.lit(" is your weakest, down "), show(low_pct)))
     movers = F.concat_ws("; ", lead, weak)

@@ -85,10 +85,12 @@ def sector_relative(bars: DataFrame, least: int = 2) -> DataFrame:
 
 
 def correlation_matrix(bars: DataFrame) -> DataFrame:
-    """a, b, corr of daily returns on shared dates, b included from a on. Symbols are a bounded dimension; joined by date."""
+    """a, b, corr of daily returns on shared dates, in both orders. Symbols are a bounded dimension; joined by date, each pair once."""
     r = bars.withColumn("ret", change(F.col("close"))).where("ret is not null").select("symbol", "d", "ret")
-    pairs = r.withColumnsRenamed({"symbol": "a", "ret": "x"}).join(r.withColumnsRenamed({"symbol": "b", "ret": "y"}), "d")
-    return pairs.groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
+    pairs = r.withColumnsRenamed({"symbol": "a", "ret": "x"}).join(r.withColumnsRenamed({"symbol": "b", "ret": "y"}), "d").where("a <= b")
+    half = pairs.groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
+    # a pair stands in both orders, made from one sum
+    return half.select(F.explode(F.array_distinct(F.array(F.struct("a", "b", "corr"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "corr")))).alias("p")).select("p.*")
 
 
 def feature_pairs(features: DataFrame, names: list[str], limit: float = 0.9) -> DataFrame:

@@ -30,16 +30,39 @@ def watchlist(entries: DataFrame, tickers: DataFrame) -> DataFrame:
     return entries.join(tickers, "ticker_id").orderBy("added_at", "symbol").select("symbol", "name", "added_at")
 
 
-def resolve_text(texts: DataFrame, index: DataFrame) -> DataFrame:
-    """text and symbol: a supported symbol as it is, else an exact bare ticker, else the first by search order."""
+def grams(c: Column, n: int) -> Column:
+    """The distinct runs of n characters of c; of a shorter text, the text."""
+    c = F.coalesce(c, F.lit(""))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(n))))
+
+
+def matches(asked: DataFrame, index: DataFrame, n: int = 3) -> DataFrame:
+    """Pairs of asked (column q, normalised and not empty) and index rows that some tier fits, with column tier.
+
+    Every tier means that q, or q without blanks, is part of a listing's name or ticker. So pairs are found by equi-joins: the
+    first n characters of q with the runs of n characters of names and tickers, and whole queries shorter than n with
+    their runs of as many. No side is broadcast, and no query meets a listing without a common run.
+    """
     from .search import tier
 
+    squeezed = F.replace(F.col("q"), F.lit(" "), F.lit(""))
+    out = None
+    for k in range(1, n + 1):
+        mine = asked.where(F.length(squeezed) == k if k < n else F.length(squeezed) >= n)
+        keyed = mine.select("*", F.explode(F.array_distinct(F.array(F.substr("q", F.lit(1), F.lit(k)), F.substr(squeezed, F.lit(1), F.lit(k))))).alias("_g"))
+        runs = F.array_union(grams(F.col("clean"), k), grams(F.col("bare"), k))
+        part = keyed.join(index.select("*", F.explode(runs).alias("_g")), "_g").drop("_g").withColumn("tier", tier(F.col("q"))).where("tier is not null")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def resolve_text(texts: DataFrame, index: DataFrame) -> DataFrame:
+    """text and symbol: a supported symbol as it is, else an exact bare ticker, else the first by search order."""
     asked = texts.select("text", F.upper(F.trim("text")).alias("u"), normalize_query(F.col("text")).alias("q")).distinct()
     plain = asked.where(is_supported(F.col("u"))).select("text", F.col("u").alias("symbol"))
-    rest = asked.where(~is_supported(F.col("u")))
-    hits = index.join(F.broadcast(rest), F.col("q") != "").withColumn("tier", tier(F.col("q"))).where("tier is not null")
-    best = hits.withColumn("n", F.row_number().over(Window.partitionBy("text").orderBy("tier", "name", "symbol"))).where("n = 1").select("text", "symbol")
-    return asked.select("text").join(plain.unionByName(best), "text", "left")
+    rest = asked.where(~is_supported(F.col("u")) & (F.col("q") != ""))
+    hits = matches(rest, index).groupBy("text").agg(F.min(F.struct("tier", "name", "symbol")).alias("best"))
+    return asked.select("text").join(plain.unionByName(hits.select("text", "best.symbol")), "text", "left")
 
 
 def phrases(question: Column, longest: int = 3) -> Column:

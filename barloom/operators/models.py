@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import evaluation as ev
+from .crosssection import label_correlation, top_fraction
 
 SEED = 42
 #: Models that the driver fits at a time.
@@ -220,6 +221,36 @@ def corrections(family: str, params: dict) -> list[dict]:
     return [{**params, "depth": max(2, int(params.get("depth", 6)) - 2)}, {**params, "keep_fraction": 0.6}, {**params, "step": params.get("step", 0.1) / 2}]
 
 
+def attempt_corrections(family: str, params: dict, parts: DataFrame, names: list[str]) -> list[dict]:
+    """The first model and up to three corrected ones, until one passes the gate. parts: rows with column part (train, val).
+
+    A fit passes if its AUC on validation dates is within a fifth of that on training dates."""
+    train, val = (parts.where(F.col("part") == p).drop("part") for p in ("train", "val"))
+    out = []
+    for k, p in enumerate([params, *corrections(family, params)]):
+        keep = p.get("keep_fraction")
+        used = names if keep is None else [r["feature"] for r in top_fraction(label_correlation(train, names), keep).collect()]
+        model = fit(family, p, train, used)
+        a, b = (ev.classification(predict(model, x)).first()["roc_auc"] for x in (train, val))
+        gate = a is not None and b is not None and a > 0 and abs(a - b) / a <= 0.2
+        out.append({"attempt": k, "change": json.dumps(p, sort_keys=True), "train_auc": a, "val_auc": b, "passed": gate})
+        if gate:
+            break
+    return out
+
+
+def compare_windows(rows: DataFrame, names: list[str], configs: list[tuple[int, int]], family: str = "random_forest", params: dict | None = None) -> DataFrame:
+    """kind (rolling, expanding), train, test, folds, n, accuracy of walk-forward predictions for each configuration."""
+    out = None
+    for train, test in configs:
+        for kind in ("rolling", "expanding"):
+            got = walk_forward(rows, names, train, test, family, params, expanding=kind == "expanding")
+            row = got.agg(F.count_distinct("fold").alias("folds"), F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("actual")).cast("double")).alias("accuracy"))
+            row = row.select(F.lit(kind).alias("kind"), F.lit(train).alias("train"), F.lit(test).alias("test"), "*")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 @dataclass
 class Registry:
     """Versions of models as rows, one of a name active: the newest registered as such."""

@@ -110,14 +110,15 @@ def trading_metrics(df: DataFrame) -> DataFrame:
 
 
 def monte_carlo(returns: DataFrame, initial: float = 100_000.0, horizon: int = 252, sims: int = 500, seed: int = 42) -> DataFrame:
-    """sim, step, value: bootstrapped paths; step 0 is the initial value. Draws are hashes of (seed, sim, step), so a lost task redraws the same.
+    """sim, step, value: bootstrapped paths; step 0 is the initial value. Draws are MD5 hashes of (seed, sim, step), so a lost task redraws the same.
 
     The history of one portfolio (a return per date) is one array row, joined to the draws.
     """
     spark = returns.sparkSession
     hist = returns.agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "ret"))), lambda x: x["ret"]).alias("h"))
     draws = spark.range(sims).select(F.col("id").alias("sim"), F.explode(F.sequence(F.lit(0), F.lit(horizon))).alias("step"))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "sim", "step"), F.size("h")).cast("int")
+    drawn = F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sim").cast("string"), F.col("step").cast("string"))), F.lit(1), F.lit(12))
+    pick = F.pmod(F.conv(drawn, 16, 10).cast("long"), F.size("h").cast("long")).cast("int")
     df = draws.join(F.broadcast(hist)).select("sim", "step", F.when(F.col("step") == 0, 1.0).otherwise(1 + F.get("h", pick)).alias("x"))
     return df.select("sim", "step", (initial * F.product("x").over(Window.partitionBy("sim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))).alias("value"))
 

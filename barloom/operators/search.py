@@ -21,6 +21,14 @@ def prepare(listing: DataFrame, extra: DataFrame | None = None, defaults: tuple[
     return listing.withColumns({"bare": F.replace(normalize_query(without_suffix(F.col("symbol"))), F.lit(" "), F.lit("")), "clean": clean, "tokens": F.split(clean, " "), "is_default": F.col("symbol").isin(*defaults) if defaults else F.lit(False)})
 
 
+def health(index: DataFrame) -> DataFrame:
+    """One row: listings, distinct names, listings without a name, of each exchange, and tickers that stand for several."""
+    return index.agg(
+        F.count("*").alias("symbols"), F.count_distinct("clean").alias("names"), F.count_if(F.coalesce(F.col("clean"), F.lit("")) == "").alias("nameless"), F.count_if(F.col("symbol").endswith(".NS")).alias("nse"),
+        F.count_if(F.col("symbol").endswith(".BO")).alias("bse"), (F.count("bare") - F.count_distinct("bare")).alias("shared_tickers"),
+    )
+
+
 def tier(query: Column) -> Column:
     """Number of the first rule that fits, by the column of normalised queries; NULL if none does."""
     q = F.replace(query, F.lit(" "), F.lit(""))
@@ -76,9 +84,11 @@ def matched(query: Column, symbol: Column, name: Column, tier_: Column) -> Colum
 
 
 def search_many(index: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
-    """The best rows for each of a stated set of queries (column q), tiers 1 to 7; the set is broadcast and so must be small."""
+    """The best rows for each of many queries (column q), tiers 1 to 7. A table of queries of any size: see `lookup.matches`."""
     from pyspark.sql import Window
 
-    rows = index.join(F.broadcast(queries.select(F.col("q").alias("asked"), normalize_query(F.col("q")).alias("q")))).withColumn("tier", tier(F.col("q"))).where("tier is not null")
+    from .lookup import matches
+
+    rows = matches(queries.select(F.col("q").alias("asked"), normalize_query(F.col("q")).alias("q")).distinct().where("q <> ''"), index)
     w = Window.partitionBy("asked").orderBy("tier", "name", "symbol")
     return rows.withColumn("rank", F.row_number().over(w)).where(f"rank <= {limit}")

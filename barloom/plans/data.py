@@ -127,18 +127,21 @@ def freshness(spark, sf):
     return df.select("d", "behind", cal.freshness(F.col("behind")).alias("freshness"))
 
 
-@query(f"WITH {_DAYS} SELECT event_id, (SELECT min(x.d) FROM t x WHERE x.trading AND x.d > ({_LOCAL} + INTERVAL 2 YEAR)::date) AS target FROM events WHERE event_id % 101 = 0")
-def prediction_target(spark, sf):
-    """The rows that its SQL asks for; prediction_targets has every event's."""
-    return prediction_targets(spark, sf).where("event_id % 101 = 0")
+_TARGETS = f"WITH {_DAYS}, e AS (SELECT event_id, ({_LOCAL} + INTERVAL 2 YEAR)::date AS d FROM events), n AS (SELECT q.d, min(t.d) AS target FROM (SELECT DISTINCT d FROM e) q JOIN t ON t.trading AND t.d > q.d GROUP BY q.d) SELECT event_id, target FROM e LEFT JOIN n USING (d)"
 
 
-@query(f"WITH {_DAYS}, e AS (SELECT event_id, ({_LOCAL} + INTERVAL 2 YEAR)::date AS d FROM events), n AS (SELECT q.d, min(t.d) AS target FROM (SELECT DISTINCT d FROM e) q JOIN t ON t.trading AND t.d > q.d GROUP BY q.d) SELECT event_id, target FROM e LEFT JOIN n USING (d)")
-def prediction_targets(spark, sf):
+@query(_TARGETS)
+def prediction_target(spark, sf):
     """The session that follows each event, of all events."""
     return fx.table(spark, sf, "events").select("event_id", cal.target_session(F.expr("ts + interval 2 year")).alias("target"))
 
 
+@query(_TARGETS)
+def prediction_targets(spark, sf):
+    """prediction_target under its former name."""
+    return prediction_target(spark, sf)
+
+
 # ---- text and search
 
 _Q = "upper(trim(p_name))"
@@ -157,13 +160,16 @@ def exchanges(spark, sf):
     return s.select("symbol", text.exchange(F.col("symbol")).alias("exchange"), text.is_supported(F.col("symbol")).alias("supported"))
 
 
-_FAIL = "['Read TIMEOUT', 'HTTP 429', 'Rate limit hit', '401 denied', 'Auth token', '404', 'thing not found', 'reset by peer']"
+_FAIL = [("Read TIMEOUT", "OSError"), ("HTTP 429", "HTTPError"), ("Rate limit hit", "HTTPError"), ("401 denied", "HTTPError"), ("Auth token", "ValueError"), ("404", "HTTPError"), ("thing not found", "KeyError"), ("reset by peer", "OSError"), ("404 missing columns", "MalformedResponse"), ("slow", "ReadTimed out")]
 
 
-@query(f"SELECT m, CASE WHEN contains(lower(m), 'timeout') THEN 'timeout' WHEN regexp_matches(lower(m), '429|rate limit|too many requests') THEN 'rate_limit' WHEN regexp_matches(lower(m), '401|403|auth') THEN 'auth' WHEN regexp_matches(lower(m), 'not found|404') THEN 'not_found' ELSE 'connection_error' END AS kind FROM (SELECT unnest({_FAIL}) AS m)")
+@query(
+    "SELECT m, error, CASE WHEN error = 'MalformedResponse' THEN 'malformed_response' WHEN contains(lower(m), 'timeout') OR contains(lower(error), 'timed out') THEN 'timeout' WHEN regexp_matches(lower(m), '429|rate limit|too many requests') THEN 'rate_limit' WHEN regexp_matches(lower(m), '401|403|auth') THEN 'auth' WHEN regexp_matches(lower(m), 'not found|404') THEN 'not_found' ELSE 'connection_error' END AS kind FROM (VALUES "
+    + ", ".join(f"('{m}', '{e}')" for m, e in _FAIL) + ") f(m, error)"
+)
 def failure_types(spark, sf):
-    df = spark.range(1).select(F.explode(F.array(*(F.lit(x) for x in eval(_FAIL)))).alias("m"))
-    return df.select("m", text.failure_type(F.col("m")).alias("kind"))
+    df = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(e).alias("error")) for m, e in _FAIL))).alias("x")).select("x.*")
+    return df.select("m", "error", text.failure_type(F.col("m"), F.col("error")).alias("kind"))
 
 
 _POS, _NEG = ("the", "and", "to"), ("of", "de", "in")
@@ -273,17 +279,20 @@ def insert_bars(spark, sf):
     return store.insert_bars(b.where("year(d) < 1998"), first.unionByName(second), [F.col("src")]).select("symbol", "d", "close", "volume", "dividend")
 
 
-@query("SELECT 'FIN-' || lpad((row_number() OVER (ORDER BY c_custkey) + 7)::varchar, 4, '0') AS internal_id, 'C' || c_custkey AS symbol FROM customer WHERE c_custkey > 10 AND c_custkey < 900")
+_IDS = "SELECT 'FIN-' || CASE WHEN n > 9999 THEN n::varchar ELSE lpad(n::varchar, 4, '0') END AS internal_id, 'C' || c_custkey AS symbol FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) + 7 AS n FROM customer WHERE c_custkey > 10)"
+
+
+@query(_IDS)
 def register_tickers(spark, sf):
-    c = fx.table(spark, sf, "customer").where("c_custkey < 900").select("c_custkey", F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("symbol"))
+    """Ids for every customer that has none; the first ten are registered already."""
+    c = fx.table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("symbol"))
     return store.numbered(c.join(c.where("c_custkey <= 10").select("symbol"), "symbol", "left_anti"), 7, "c_custkey").select("internal_id", "symbol")
 
 
-@query("SELECT 'FIN-' || CASE WHEN n > 9999 THEN n::varchar ELSE lpad(n::varchar, 4, '0') END AS internal_id, 'C' || c_custkey AS symbol FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) + 7 AS n FROM customer WHERE c_custkey > 10)")
+@query(_IDS)
 def register_all_tickers(spark, sf):
-    """register_tickers for the whole table, whose SQL stops at key 900."""
-    c = fx.table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("symbol"))
-    return store.numbered(c.join(c.where("c_custkey <= 10").select("symbol"), "symbol", "left_anti"), 7, "c_custkey").select("internal_id", "symbol")
+    """register_tickers under its former name."""
+    return register_tickers(spark, sf)
 
 
 def _registry(spark, sf):

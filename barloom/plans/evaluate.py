@@ -9,7 +9,7 @@ from ..functions import bands
 from ..operators import calendar as cal, evaluation as ev, features, indicators as ind, labels, models as ml, portfolio as pf, quality, store
 from ..operators.windows import by, change, rolling
 from ..sources import fixtures as fx, tables
-from .market import B, RET, W, _SMOOTH, _VOLPCT, roll
+from .market import B, RET, W, _FEATURES, _SMOOTH, _VOLPCT, roll
 from .registry import query
 
 _PREDS = B + f""", z AS (SELECT symbol, d, {RET} AS lag_return_1, (close - {roll('avg', 'close', 20)}) / {roll('stddev_samp', 'close', 20)} AS z, CASE WHEN lead(close) {W} > close THEN 1 WHEN lead(close) {W} IS NOT NULL THEN 0 END AS actual, row_number() {W} AS r FROM bars),
@@ -106,7 +106,17 @@ def population_stability(spark, sf):
     return ev.psi(p.where(F.col("d") < cut), p.where(F.col("d") >= cut), "probability", "symbol")
 
 
-@query()
+_FDRIFT = _SMOOTH + _FEATURES + ", u AS (" + " UNION ALL ".join(f"SELECT symbol, d, '{c}' AS feature, {c} AS x, row_number() OVER (PARTITION BY symbol ORDER BY d DESC) AS n FROM feats" for c in features.BASE) + """), z AS (SELECT * FROM u WHERE x IS NOT NULL),
+ ed AS (SELECT symbol, feature, list_sort(list_distinct(quantile_cont(x, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS e, count(*) AS nt FROM z WHERE n > 60 GROUP BY ALL),
+ bn AS (SELECT z.symbol, z.feature, n > 60 AS tr, least(len(list_filter(e, lambda y: y <= x)), len(e) - 1) AS bin, count(*) AS c FROM z JOIN ed USING (symbol, feature) WHERE x BETWEEN e[1] AND e[-1] GROUP BY ALL),
+ gr AS (SELECT symbol, feature, nt, len(e) AS m, unnest(range(1, greatest(len(e), 2))) AS bin FROM ed), lv AS (SELECT symbol, feature, count(*) AS nl FROM z WHERE n <= 60 GROUP BY ALL),
+ cn AS (SELECT g.*, coalesce(a.c, 0) AS a, coalesce(b.c, 0) AS b FROM gr g LEFT JOIN bn a ON a.tr AND a.symbol = g.symbol AND a.feature = g.feature AND a.bin = g.bin LEFT JOIN bn b ON NOT b.tr AND b.symbol = g.symbol AND b.feature = g.feature AND b.bin = g.bin),
+ sh AS (SELECT *, greatest(a / greatest(sum(a) OVER w, 1), 1e-6) AS pa, greatest(b / greatest(sum(b) OVER w, 1), 1e-6) AS pb FROM cn WINDOW w AS (PARTITION BY symbol, feature)),
+ ps AS (SELECT symbol, feature, any_value(nt) AS nt, any_value(m) AS m, sum((pb - pa) * ln(pb / pa)) AS v FROM sh GROUP BY ALL), fd AS (SELECT symbol, feature, CASE WHEN nt < 10 OR coalesce(nl, 0) = 0 THEN NULL WHEN m < 3 THEN 0 ELSE v END AS psi FROM ps LEFT JOIN lv USING (symbol, feature))
+ SELECT symbol, feature, psi, CASE WHEN psi IS NULL THEN 'Insufficient Data' WHEN psi < .1 THEN 'No Drift' WHEN psi < .25 THEN 'Moderate Drift' ELSE 'Significant Drift' END AS status, row_number() OVER (PARTITION BY symbol ORDER BY psi DESC NULLS LAST, feature)::int AS rank FROM fd QUALIFY rank <= 5"""
+
+
+@query(_FDRIFT, "psi")
 def feature_drift(spark, sf):
     """PSI of the last 60 rows of each symbol against its earlier ones, the five largest features of each."""
     f = features.build(fx.bars(spark, sf), "v1")
@@ -274,11 +284,15 @@ def set_except(spark, sf):
     return line.drop("l_quantity").exceptAll(line.where("l_quantity < 40").drop("l_quantity"))
 
 
-@query("SELECT 'bars' AS part, count(*) > 0 AS ok FROM lineitem UNION ALL SELECT 'events', count(*) > 0 FROM events UNION ALL SELECT 'model', true UNION ALL SELECT 'features', true")
+@query(
+    "SELECT 'bars' AS part, count(*) > 0 AS ok FROM lineitem UNION ALL SELECT 'events', count(*) > 0 FROM events UNION ALL SELECT 'model', count(*) FILTER (p_partkey % 3 = 0) > 0 FROM part UNION ALL SELECT 'features', count(*) > 0 AND count(*) = count(l_shipdate) FROM lineitem"
+)
 def system_health(spark, sf):
-    some = lambda t: fx.table(spark, sf, t).agg((F.count("*") > 0).alias("ok"))
-    fixed = spark.range(1).select(F.explode(F.array(F.lit("model"), F.lit("features"))).alias("part"), F.lit(True).alias("ok"))
-    return some("lineitem").selectExpr("'bars' as part", "ok").unionByName(some("events").selectExpr("'events' as part", "ok")).unionByName(fixed)
+    """A row for each part: stored bars, calls and ticks, an active model in the registry, bars that features can be made of."""
+    line = fx.table(spark, sf, "lineitem").agg((F.count("*") > 0).alias("bars"), ((F.count("*") > 0) & (F.count("*") == F.count("l_shipdate"))).alias("features"))
+    events = fx.table(spark, sf, "events").agg((F.count("*") > 0).alias("ok")).selectExpr("'events' as part", "ok")
+    model = fx.table(spark, sf, "part").agg((F.count_if(F.col("p_partkey") % 3 == 0) > 0).alias("ok")).selectExpr("'model' as part", "ok")
+    return line.unpivot([], ["bars", "features"], "part", "ok").unionByName(events).unionByName(model)
 
 
 # ---- model training: tested for invariants; there is no SQL for it
@@ -337,3 +351,51 @@ def explanation(spark, sf):
 def weak_features(spark, sf):
     s = fx.table(spark, sf, "part").groupBy(F.col("p_type").alias("feature")).agg((F.min("p_size") / F.lit(20000.0)).alias("mi"), F.avg("p_retailprice").alias("importance"))
     return ml.weak_features(s)
+
+
+# ---- loops of fits: every row of the v1 dataset, few trees
+
+
+_FEW = {"trees": 5, "depth": 3}
+
+
+@query()
+def model_nested_cv(spark, sf):
+    """Outer folds scored with the parameters that inner folds of their own training dates choose."""
+    got = ml.nested_cv(_rows(spark, sf), features.BASE, "logistic", 2, 2, 2)
+    return spark.createDataFrame([(g["fold"], g.get("accuracy"), g.get("roc_auc")) for g in got], "fold int, accuracy double, roc_auc double")
+
+
+@query()
+def model_tuning(spark, sf):
+    """Every trial of a seeded search; the best is marked."""
+    best, log = ml.tune("logistic", _rows(spark, sf), features.BASE, 3, 2)
+    return spark.createDataFrame([(t["trial"], t["params"]["reg"], t["roc_auc"], t["params"] == best) for t in log], "trial int, reg double, roc_auc double, best boolean")
+
+
+@query()
+def model_permutation(spark, sf):
+    """Fall in accuracy when a feature's values are dealt anew."""
+    rows = _rows(spark, sf)
+    return ml.permutation_importance(ml.fit("random_forest", _FEW, rows, features.BASE), rows, features.BASE, 1)
+
+
+@query()
+def model_corrections(spark, sf):
+    """Attempts after a failed gate, stopped at the first that passes: attempt, parameters, train and validation AUC, passed."""
+    log = ml.attempt_corrections("random_forest", _FEW, ev.chronological_split(_rows(spark, sf), 0.7, 0.15), features.BASE)
+    return spark.createDataFrame([(a["attempt"], a["change"], a["train_auc"], a["val_auc"], a["passed"]) for a in log], "attempt int, change string, train_auc double, val_auc double, passed boolean")
+
+
+@query()
+def model_windows(spark, sf):
+    """Walk-forward results of several window lengths, rolling and expanding, side by side."""
+    return ml.compare_windows(_rows(spark, sf), features.BASE, [(504, 252), (1008, 252)], "logistic", {})
+
+
+@query()
+def label_candidates(spark, sf):
+    """Held-out metrics of a small forest for each kind of label."""
+    df = features.build(fx.bars(spark, sf).withColumns({"next": labels.direction(), "up_5": labels.direction(5)}), "v1")
+    got = ml.compare_labels({k: df.select("symbol", "d", *features.BASE, F.col(k).alias("label")) for k in ("next", "up_5")}, features.BASE)
+    return spark.createDataFrame([(g["label"], g.get("accuracy"), g.get("roc_auc")) for g in got], "label string, accuracy double, roc_auc double")

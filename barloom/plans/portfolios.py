@@ -50,26 +50,22 @@ def sector_peers(spark, sf):
     return xs.peers(fx.sector_bars(spark, sf)).select("symbol", "peer")
 
 
-@query(
-    _SEC + f""", n AS (SELECT sector, count(DISTINCT symbol) AS k FROM r GROUP BY sector), c AS (SELECT a.symbol, a.sector, a.d, a.ret, avg(b.ret) AS sr, avg(b.above) AS sb FROM r a LEFT JOIN r b ON a.sector = b.sector AND a.d = b.d AND a.symbol <> b.symbol GROUP BY ALL),
- e AS (SELECT c.* REPLACE (CASE WHEN k > 2 THEN sr END AS sr, CASE WHEN k > 2 THEN sb END AS sb), k FROM c JOIN n USING (sector)),
- i AS (SELECT *, CASE WHEN k > 2 THEN product(1 + coalesce(sr, 0)) OVER (PARTITION BY symbol ORDER BY d) END AS si, product(1 + coalesce(ret, 0)) OVER (PARTITION BY symbol ORDER BY d) AS xi FROM e)
- SELECT symbol, sector, d, ln(xi / si) AS relative_strength_vs_sector, ret - sr AS excess_return_vs_sector, ln(si / lag(si, 20) {W}) AS sector_momentum_20, {roll('stddev_samp', 'sr', 20)} * sqrt(252) AS sector_volatility_20, si / {roll('avg', 'si', 20)} - 1 AS sector_trend, sb AS sector_breadth FROM i QUALIFY d < DATE '1996-01-01'""",
-    "relative_strength_vs_sector excess_return_vs_sector sector_momentum_20 sector_volatility_20 sector_trend sector_breadth",
-)
-def sector_features(spark, sf):
-    """The first year, which is what its SQL has; sector_features_all_dates has all. Ratios as logs."""
-    return sector_features_all_dates(spark, sf).where("d < date '1996-01-01'").withColumnsRenamed({"log_strength_vs_sector": "relative_strength_vs_sector", "log_momentum_20": "sector_momentum_20"})
-
-
-@query(
+_SECTOR = (
     _SEC + f""", day AS (SELECT sector, d, sum(ret) AS s, count(ret) AS n, sum(above) AS a, count(*) AS m FROM r GROUP BY 1, 2), n AS (SELECT sector, count(DISTINCT symbol) AS k FROM r GROUP BY sector),
  e AS (SELECT symbol, sector, r.d, ret, k, CASE WHEN k > 2 THEN (s - coalesce(ret, 0)) / nullif(day.n - (ret IS NOT NULL)::int, 0) END AS sr, CASE WHEN k > 2 THEN (a - above) / nullif(m - 1, 0) END AS sb FROM r JOIN day USING (sector, d) JOIN n USING (sector)),
  i AS (SELECT *, CASE WHEN k > 2 THEN sum(ln(1 + coalesce(sr, 0))) OVER (PARTITION BY symbol ORDER BY d) END AS si, sum(ln(1 + coalesce(ret, 0))) OVER (PARTITION BY symbol ORDER BY d) AS xi FROM e),
  f AS (SELECT *, list(si) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l FROM i)
- SELECT symbol, sector, d, xi - si AS log_strength_vs_sector, ret - sr AS excess_return_vs_sector, si - lag(si, 20) {W} AS log_momentum_20, {roll('stddev_samp', 'sr', 20)} * sqrt(252) AS sector_volatility_20, CASE WHEN len(l) = 20 THEN 1 / list_avg(list_transform(l, lambda x: exp(x - si))) - 1 END AS sector_trend, sb AS sector_breadth FROM f""",
-    "log_strength_vs_sector excess_return_vs_sector log_momentum_20 sector_volatility_20 sector_trend sector_breadth",
+ SELECT symbol, sector, d, xi - si AS log_strength_vs_sector, ret - sr AS excess_return_vs_sector, si - lag(si, 20) {W} AS log_momentum_20, {roll('stddev_samp', 'sr', 20)} * sqrt(252) AS sector_volatility_20, CASE WHEN len(l) = 20 THEN 1 / list_avg(list_transform(l, lambda x: exp(x - si))) - 1 END AS sector_trend, sb AS sector_breadth FROM f"""
 )
+
+
+@query(f"SELECT * RENAME (log_strength_vs_sector AS relative_strength_vs_sector, log_momentum_20 AS sector_momentum_20) FROM ({_SECTOR})", "relative_strength_vs_sector excess_return_vs_sector sector_momentum_20 sector_volatility_20 sector_trend sector_breadth")
+def sector_features(spark, sf):
+    """All dates; relative strength and momentum as logs, which stay within a double however long the history is."""
+    return sector_features_all_dates(spark, sf).withColumnsRenamed({"log_strength_vs_sector": "relative_strength_vs_sector", "log_momentum_20": "sector_momentum_20"})
+
+
+@query(_SECTOR, "log_strength_vs_sector excess_return_vs_sector log_momentum_20 sector_volatility_20 sector_trend sector_breadth")
 def sector_features_all_dates(spark, sf):
     return xs.sector_logs(fx.sector_bars(spark, sf))
 
@@ -158,16 +154,14 @@ def max_drawdown(spark, sf):
     return pf.drawdown(fx.bars(spark, sf))
 
 
-_PORT = _LOTS.rstrip() + f", rr AS (SELECT symbol, d, {RET} AS ret FROM bars), dr AS (SELECT d, sum(ret * weight) AS ret FROM rr JOIN pos USING (symbol) WHERE portfolio_id = (SELECT min(portfolio_id) FROM pos) AND ret IS NOT NULL GROUP BY d)"
-
-
-def first_portfolio(spark, sf):
-    w = weights(spark, sf)
-    return w.join(w.agg(F.min("portfolio_id").alias("portfolio_id")), "portfolio_id", "left_semi")
+_RETURNS = _LOTS.rstrip() + f", rr AS (SELECT symbol, d, {RET} AS ret FROM bars)"
+_PORT = _RETURNS + ", dr AS (SELECT d, sum(ret * weight) AS ret FROM rr JOIN pos USING (symbol) WHERE portfolio_id = (SELECT min(portfolio_id) FROM pos) AND ret IS NOT NULL GROUP BY d)"
 
 
 def portfolio_returns(spark, sf):
-    return pf.daily_returns(fx.bars(spark, sf), first_portfolio(spark, sf))
+    """Daily returns of the portfolio asked for, which is the report's key: that of the smallest id."""
+    w = weights(spark, sf)
+    return pf.daily_returns(fx.bars(spark, sf), w.join(w.agg(F.min("portfolio_id").alias("portfolio_id")), "portfolio_id", "left_semi"))
 
 
 @query(_PORT + " SELECT * FROM dr", "ret")
@@ -176,32 +170,40 @@ def portfolio_daily_returns(spark, sf):
 
 
 @query(
-    _PORT + """, s AS (SELECT avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe, coalesce(avg(ret) / (stddev_samp(ret) FILTER (ret < 0)) * sqrt(252), 0) AS sortino, stddev_samp(ret) * sqrt(252) AS volatility FROM dr)
- SELECT *, CASE WHEN volatility < .15 THEN 'Low' WHEN volatility < .3 THEN 'Medium' ELSE 'High' END AS risk_level FROM s""",
+    _RETURNS + """, ar AS (SELECT portfolio_id, d, sum(ret * weight) AS ret FROM rr JOIN pos USING (symbol) WHERE ret IS NOT NULL GROUP BY ALL),
+ s AS (SELECT portfolio_id, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe, coalesce(avg(ret) / nullif(stddev_samp(ret) FILTER (ret < 0), 0) * sqrt(252), 0) AS sortino, stddev_samp(ret) * sqrt(252) AS volatility FROM ar GROUP BY portfolio_id)
+ SELECT *, CASE WHEN volatility < .15 THEN 'Low' WHEN volatility < .3 THEN 'Medium' WHEN volatility IS NOT NULL THEN 'High' END AS risk_level FROM s""",
     "sharpe sortino volatility",
 )
 def portfolio_risk(spark, sf):
-    out = portfolio_returns(spark, sf).agg(pf.sharpe().alias("sharpe"), pf.sortino().alias("sortino"), pf.yearly_volatility().alias("volatility"))
+    """All portfolios. Their weights are made once and joined to the symbols' returns; no portfolio meets in one task before it is summed."""
+    returns = pf.daily_returns(fx.bars(spark, sf), weights(spark, sf), "portfolio_id")
+    out = returns.groupBy("portfolio_id").agg(pf.sharpe().alias("sharpe"), pf.sortino().alias("sortino"), pf.yearly_volatility().alias("volatility"))
     return out.withColumn("risk_level", pf.risk_level(F.col("volatility")))
 
 
 @query(
-    _PORT + """, bm AS (SELECT d, avg(ret) AS b FROM rr WHERE ret IS NOT NULL GROUP BY d), j AS (SELECT d, ret, b FROM dr JOIN bm USING (d) WHERE d < DATE '1996-01-01')
- SELECT d, ln(product(1 + ret) OVER (ORDER BY d)) AS portfolio, ln(product(1 + b) OVER (ORDER BY d)) AS benchmark FROM j""",
+    _PORT + """, bm AS (SELECT d, avg(ret) AS b FROM rr WHERE ret IS NOT NULL GROUP BY d), j AS (SELECT d, ret, b FROM dr JOIN bm USING (d))
+ SELECT d, sum(CASE WHEN 1 + ret > 0 THEN ln(1 + ret) ELSE '-inf'::double END) OVER w AS portfolio, sum(CASE WHEN 1 + b > 0 THEN ln(1 + b) ELSE '-inf'::double END) OVER w AS benchmark FROM j WINDOW w AS (ORDER BY d)""",
     "portfolio benchmark",
 )
 def portfolio_vs_benchmark(spark, sf):
-    """Log of both curves on shared dates of the first year."""
+    """Logs of both curves on all shared dates."""
     bench = fx.bars(spark, sf).withColumn("ret", change(F.col("close"))).where("ret is not null").groupBy("d").agg(F.avg("ret").alias("b"))
-    j = portfolio_returns(spark, sf).join(bench, "d").where("d < date '1996-01-01'")
     w = Window.partitionBy().orderBy("d").rowsBetween(Window.unboundedPreceding, 0)  # one row per date
-    return j.select("d", F.ln(F.product(1 + F.col("ret")).over(w)).alias("portfolio"), F.ln(F.product(1 + F.col("b")).over(w)).alias("benchmark"))
+    return portfolio_returns(spark, sf).join(bench, "d").select("d", F.sum(pf.growth(F.col("ret"))).over(w).alias("portfolio"), F.sum(pf.growth(F.col("b"))).over(w).alias("benchmark"))
+
 
+_PATHS = _PORT + """, h AS (SELECT ret, row_number() OVER (ORDER BY d) - 1 AS k, count(*) OVER () AS n FROM dr), dw AS (SELECT sim, step, ('0x' || substr(md5('42:' || sim || ':' || step), 1, 12))::bigint % (SELECT any_value(n) FROM h) AS k FROM range(500) a(sim), range(1, 253) b(step)),
+ pw AS (SELECT sim, step, sum(ln(1 + ret)) OVER (PARTITION BY sim ORDER BY step) AS value FROM dw JOIN h USING (k) UNION ALL SELECT sim, 0, 0 FROM range(500) a(sim))
+ SELECT step::int AS step, ln(100000) + quantile_cont(value, .05) AS p5, ln(100000) + quantile_cont(value, .5) AS p50, ln(100000) + quantile_cont(value, .95) AS p95 FROM pw GROUP BY step"""
 
-@query()
+
+@query(_PATHS, "p5 p50 p95")
 def monte_carlo(spark, sf):
-    """Value percentiles of bootstrapped paths: draws are hashes of this engine, so there is no SQL to compare with."""
-    return pf.path_percentiles(pf.monte_carlo(portfolio_returns(spark, sf)))
+    """Logs of the value percentiles of bootstrapped paths of one portfolio; percentiles are taken of logs."""
+    paths = pf.monte_carlo(portfolio_returns(spark, sf))
+    return pf.path_percentiles(paths.withColumn("value", F.ln("value")))
 
 
 @query("SELECT (l_partkey % 20)::int AS step, quantile_cont(l_quantity, .05) AS p5, quantile_cont(l_quantity, .5) AS p50, quantile_cont(l_quantity, .95) AS p95 FROM lineitem GROUP BY 1", "p5 p50 p95")
@@ -209,7 +211,7 @@ def path_percentiles(spark, sf):
     return pf.path_percentiles(fx.table(spark, sf, "lineitem").select((F.col("l_partkey") % 20).cast("int").alias("step"), F.col("l_quantity").alias("value")))
 
 
-_SIGNAL = B + f", sg AS (SELECT symbol, d, CASE WHEN {RET} > 0 THEN 1 ELSE 0 END AS signal, lead(close) {W} / close - 1 AS nr FROM bars), st AS (SELECT symbol, d, signal, CASE WHEN d >= DATE '1996-01-01' THEN nr END AS nr FROM sg)"
+_SIGNAL = B + f", sg AS (SELECT symbol, d, CASE WHEN {RET} > 0 THEN 1 ELSE 0 END AS signal, lead(close) {W} / close - 1 AS nr FROM bars)"
 
 
 def signals(spark, sf):
@@ -217,43 +219,40 @@ def signals(spark, sf):
     return fx.bars(spark, sf).select("symbol", "d", F.coalesce((change(F.col("close")) > 0).cast("int"), F.lit(0)).alias("signal"), labels.ahead().alias("next_ret"))
 
 
-@query(_SIGNAL.replace("nr END AS nr", "nr END AS nr0").replace("st AS (SELECT symbol, d, signal, CASE WHEN d >= DATE '1996-01-01' THEN nr END AS nr0 FROM sg)", "st AS (SELECT * FROM sg)") + " SELECT symbol, d, ln(product(1 + coalesce(nr * signal, 0)) OVER w) AS strategy, ln(product(1 + coalesce(nr, 0)) OVER w) AS hold FROM st WHERE d < DATE '1995-07-01' WINDOW w AS (PARTITION BY symbol ORDER BY d)", "strategy hold")
-def equity_curves(spark, sf):
-    df = pf.equity(signals(spark, sf).where("d < date '1995-07-01'"))
-    return df.select("symbol", "d", F.ln("strategy").alias("strategy"), F.ln("hold").alias("hold"))
+_CURVES = _SIGNAL + " SELECT symbol, d, sum(ln(1 + coalesce(nr * signal, 0))) OVER w AS strategy, sum(ln(1 + coalesce(nr, 0))) OVER w AS hold FROM sg WINDOW w AS (PARTITION BY symbol ORDER BY d)"
 
 
-@query(_SIGNAL.split(", st AS")[0] + " SELECT symbol, d, sum(ln(1 + coalesce(nr * signal, 0))) OVER w AS strategy, sum(ln(1 + coalesce(nr, 0))) OVER w AS hold FROM sg WINDOW w AS (PARTITION BY symbol ORDER BY d)", "strategy hold")
-def equity_curves_all_dates(spark, sf):
+@query(_CURVES, "strategy hold")
+def equity_curves(spark, sf):
     """Logs of both curves."""
     return pf.log_equity(signals(spark, sf)).select("symbol", "d", "strategy", "hold")
 
 
-_TM = """, q AS (SELECT *, nr * signal AS r, product(1 + coalesce(nr * signal, 0)) OVER w AS eq, coalesce(signal - lag(signal) OVER w, 0) <> 0 AS t FROM sg WHERE d < DATE '1995-07-01' WINDOW w AS (PARTITION BY symbol ORDER BY d)),
- q2 AS (SELECT *, eq / max(eq) OVER (PARTITION BY symbol ORDER BY d) - 1 AS dd FROM q),
+@query(_CURVES, "strategy hold")
+def equity_curves_all_dates(spark, sf):
+    """equity_curves under its former name."""
+    return equity_curves(spark, sf)
+
+
+_METRICS = _SIGNAL + """, q AS (SELECT *, nr * signal AS r, sum(ln(1 + coalesce(nr * signal, 0))) OVER w AS eq, coalesce(signal - lag(signal) OVER w, 0) <> 0 AS t FROM sg WINDOW w AS (PARTITION BY symbol ORDER BY d)),
+ q2 AS (SELECT *, exp(eq - max(eq) OVER (PARTITION BY symbol ORDER BY d)) - 1 AS dd FROM q),
  a AS (SELECT symbol, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, coalesce(avg(r) / nullif(stddev_samp(r) FILTER (r < 0), 0) * sqrt(252), 0) AS sortino, coalesce(sum(r) FILTER (signal = 1 AND r > 0), 0) AS g, coalesce(sum(r) FILTER (signal = 1 AND r < 0), 0) AS l, min(dd) AS max_drawdown,
   count(*) FILTER (signal = 1 AND r > 0) / nullif(count(*) FILTER (signal = 1), 0) AS win_rate, coalesce(avg(r) FILTER (signal = 1 AND r > 0), 0) AS avg_gain, coalesce(avg(r) FILTER (signal = 1 AND r < 0), 0) AS avg_loss, arg_max(eq, d) AS fin, count(*) AS n, stddev_samp(r) * sqrt(252) AS volatility, count(*) FILTER (t) / count(*) AS turnover FROM q2 GROUP BY symbol)
- SELECT symbol, sharpe, sortino, least((pow(fin, 252 / n) - 1) / abs(nullif(max_drawdown, 0)), 1e6) AS calmar, CASE WHEN l <> 0 THEN g / abs(l) WHEN g > 0 THEN 'inf'::double ELSE 0 END AS profit_factor, max_drawdown, win_rate, avg_gain, avg_loss, least(pow(fin, 252 / n) - 1, 1e6) AS annual_return, volatility, turnover FROM a"""
+ SELECT symbol, sharpe, sortino, least((exp(fin * 252 / n) - 1) / abs(nullif(max_drawdown, 0)), 1e6) AS calmar, CASE WHEN l <> 0 THEN g / abs(l) WHEN g > 0 THEN 'inf'::double ELSE 0 END AS profit_factor, max_drawdown, win_rate, avg_gain, avg_loss, least(exp(fin * 252 / n) - 1, 1e6) AS annual_return, volatility, turnover FROM a"""
+_ELEVEN = "sharpe sortino calmar profit_factor max_drawdown win_rate avg_gain avg_loss annual_return volatility turnover"
 
 
-@query(_SIGNAL.split(", st AS")[0] + _TM, "sharpe sortino calmar profit_factor max_drawdown win_rate avg_gain avg_loss annual_return volatility turnover")
+@query(_METRICS, _ELEVEN)
 def trading_metrics(spark, sf):
-    """Eleven measures per symbol; yearly return and calmar are cut off at a million, for they can be astronomical here."""
-    df = pf.trading_metrics(signals(spark, sf).where("d < date '1995-07-01'"))
+    """Eleven measures per symbol over its history; yearly return and calmar are cut off at a million, for they can be astronomical here."""
+    df = pf.trading_metrics(signals(spark, sf))
     return df.withColumns({c: F.least(c, F.lit(1e6)) for c in ("calmar", "annual_return")})
 
 
-_TM_ALL = (
-    _TM.replace("product(1 + coalesce(nr * signal, 0))", "sum(ln(1 + coalesce(nr * signal, 0)))").replace("WHERE d < DATE '1995-07-01' ", "")
-    .replace("eq / max(eq) OVER (PARTITION BY symbol ORDER BY d) - 1", "exp(eq - max(eq) OVER (PARTITION BY symbol ORDER BY d)) - 1").replace("pow(fin, 252 / n)", "exp(fin * 252 / n)")
-)
-
-
-@query(_SIGNAL.split(", st AS")[0] + _TM_ALL, "sharpe sortino calmar profit_factor max_drawdown win_rate avg_gain avg_loss annual_return volatility turnover")
+@query(_METRICS, _ELEVEN)
 def trading_metrics_all_dates(spark, sf):
-    """trading_metrics over the full history."""
-    df = pf.trading_metrics(signals(spark, sf))
-    return df.withColumns({c: F.least(c, F.lit(1e6)) for c in ("calmar", "annual_return")})
+    """trading_metrics under its former name."""
+    return trading_metrics(spark, sf)
 
 
 @query(B + """, l AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) <= 60), m AS (SELECT symbol, close, max(close) OVER w AS mx, min(close) OVER w AS mn FROM l WINDOW w AS (PARTITION BY symbol ORDER BY d))
