@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.smoothing import SMOOTHINGS, appender  # noqa: F401
-from .windows import by, YEAR, change, last, rank_of_last, rolling
+from ..functions.smoothing import SMOOTHINGS, appender, ranker  # noqa: F401
+from .windows import by, YEAR, change, last, rolling
 
 def sma(n: int = 20, c: str = "close") -> Column:
     return rolling(F.avg, F.col(c), n)
@@ -67,8 +67,12 @@ def yang_zhang(df: DataFrame, name: str = "yang_zhang_20", n: int = 20) -> DataF
     return df.withColumn(name, F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)))) * math.sqrt(YEAR)).drop("_on", "_oc", "_rs")
 
 
-def percentile_rank(c: Column, lookback: int = YEAR) -> Column:
-    return rank_of_last(c, lookback, min(lookback, max(5, lookback // 5)))
+def percentile_rank(df: DataFrame, column: str, name: str, lookback: int = YEAR) -> DataFrame:
+    """df with the percentile rank of a column among the last `lookback` rows. A long window is ranked in a grouped pass: as a
+    window expression it would hold an array of the window for each row."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+    out = df.groupBy("symbol").applyInPandas(ranker(column, name, lookback, min(lookback, max(5, lookback // 5))), schema)
+    return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
 
 def regime(pct: Column, low: float = 0.33, high: float = 0.67) -> Column:

@@ -41,7 +41,7 @@ def performance_by_confidence(spark, sf):
 
 @query(_PREDS + ", v AS (" + _VOLPCT.replace(", x AS", "WITH x AS", 1).lstrip() + f") SELECT regime, {_PERF} FROM preds JOIN v USING (symbol, d) WHERE regime IS NOT NULL GROUP BY 1", _P5)
 def performance_by_regime(spark, sf):
-    v = ind.volatility(fx.bars(spark, sf)).withColumn("p", ind.percentile_rank(F.col("volatility_20"))).select("symbol", "d", ind.regime(F.col("p")).alias("regime"))
+    v = ind.percentile_rank(ind.volatility(fx.bars(spark, sf)), "volatility_20", "p").select("symbol", "d", ind.regime(F.col("p")).alias("regime"))
     return ev.performance(preds(spark, sf).join(v, ["symbol", "d"]), "regime")
 
 
@@ -190,7 +190,7 @@ _RISK = _SMOOTH + ", v AS (" + _VOLPCT.replace(", x AS", "WITH x AS", 1).lstrip(
 )
 def risk_assessment(spark, sf):
     """Newest row of each symbol; without a model, stability counts 50."""
-    df = ind.volatility(fx.bars(spark, sf)).withColumn("regime", ind.regime(ind.percentile_rank(F.col("volatility_20"))))
+    df = ind.percentile_rank(ind.volatility(fx.bars(spark, sf)), "volatility_20", "vol_pct").withColumn("regime", ind.regime(F.col("vol_pct")))
     df = ind.smoothed(df.withColumn("newest", F.lead("d").over(by()).isNull()), "adx_14").where("newest")
     v = F.coalesce("volatility_20", F.lit(0.0))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), v / 0.6 * 100))

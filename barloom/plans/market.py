@@ -105,7 +105,7 @@ _VOLPCT = f""", x AS (SELECT *, {RET} AS ret FROM bars), v AS (SELECT symbol, d,
 
 @query(B + _VOLPCT, "vol_pct")
 def ind_volatility_regime(spark, sf):
-    df = ind.volatility(fx.bars(spark, sf)).withColumn("vol_pct", ind.percentile_rank(F.col("volatility_20")))
+    df = ind.percentile_rank(ind.volatility(fx.bars(spark, sf)), "volatility_20", "vol_pct")
     return df.select("symbol", "d", "vol_pct", ind.regime(F.col("vol_pct")).alias("regime"))
 
 

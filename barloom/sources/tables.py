@@ -12,9 +12,11 @@ BARS = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("d",
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new path that all executors share: under spark.checkpoint.dir, or a local folder where none is set."""
+    """A new path that all executors share: under spark.checkpoint.dir; a local folder where none is set, in local mode alone."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         import tempfile
 
         base = f"file://{tempfile.gettempdir()}/barloom-{spark.sparkContext.applicationId}"
