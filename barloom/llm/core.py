@@ -167,9 +167,11 @@ def window_min(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; a local one only where none is set."""
+    """A new path in the folder that the cluster names in spark.checkpoint.dir; a local one only in local mode, where all tasks see it."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         import tempfile
 
         base = f"file://{tempfile.gettempdir()}/barloom-{spark.sparkContext.applicationId}"
@@ -180,7 +182,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later reads neither recompute it nor need the executors that made it."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that `written` made, once nothing reads them any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def block_count(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES, least: int | None = None) -> int:

@@ -12,7 +12,9 @@ similarity of their full sets reaches the threshold.
    among members of other components for those whose signatures come near enough, nearest first, inside the task that
    has their texts; once it is linked with a component, the rest of that one is passed over. Pairs inside a component
    can't change the result, so none that matters is left out, and only links come out. A large bucket is dealt over
-   many tasks in tiles of seekers and members.
+   many tasks in tiles of seekers and members. What is known of a bucket as a whole comes from aggregates that combine
+   before their shuffle; it is joined to the members of hot buckets by broadcast. Hot are buckets with more than 1 / HOT of all
+   memberships, so there are fewer than HOT of them, and no task gets the members of one.
 4. A pair is first estimated: the share of equal 4-bit values, corrected for chance collisions. Pairs more than six
    standard deviations below the threshold are dropped; the others are confirmed on full sets.
 5. Components of the links by repeated minimum labels and shortcuts, as tables.
@@ -37,6 +39,8 @@ HASHES = 256  # bands take the first BANDS * ROWS
 #: Members outside the first component that one task compares with a bucket.
 SEEKERS = 2048
 DOCS = 1024  # texts whose sets are made at a time
+#: Hot buckets have more than 1 / HOT of all memberships, and more than SMALL.
+HOT, SMALL = 4096, 256
 _rng = np.random.default_rng(20_240_607)
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -170,18 +174,28 @@ def components(links: DataFrame) -> DataFrame:
         step = label.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         up = label.select(F.col("node").alias("root"), F.col("root").alias("up"))
         new = core.written(step.join(up, "root", "left").select("node", "old", F.coalesce(F.least("up", "root"), "root").alias("root")), "labels")
-        label = new.select("node", "root")
+        core.dropped(label)
+        label = new
         if new.where("old <> root").limit(1).count() == 0:
-            return label
+            core.dropped(both)
+            out = new.select("node", "root")
+            out.written_path = new.written_path
+            return out
+
+
+def of_bucket(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows with the columns of facts, which has a row a bucket, for those buckets that facts has. Both have (bucket, hot)."""
+    cold = rows.where("not hot").join(facts.where("not hot").drop("hot"), "bucket")
+    return cold.unionByName(rows.where("hot").join(F.broadcast(facts.where("hot").drop("hot")), "bucket"))
 
 
 def settle(rows: DataFrame, texts: DataFrame, floor: float, k: int, percent: int, task_bytes: int = 8 << 20) -> DataFrame:
     """Links (a, b) between members of buckets that lie in different components: all that a seeker has whose estimate reaches floor,
-    but for those into a component that it is linked with already. rows: (bucket, rep, root, main, sig, bands); a pair is looked
+    but for those into a component that it is linked with already. rows: (bucket, hot, rep, root, main, sig, bands); a pair is looked
     at in the first of its common bands."""
     away = F.col("root") != F.col("main")
-    tiles = rows.groupBy("bucket").agg(F.ceil(F.count(F.when(away, 1)) / SEEKERS).cast("int").alias("ns"), F.ceil(F.count("*") / (2 * SEEKERS)).cast("int").alias("nm"))
-    rows = rows.join(tiles, "bucket").where("ns > 0").join(texts.select(F.col("id").alias("rep"), "text"), "rep").select("bucket", "rep", "root", "sig", "bands", "text", "ns", "nm", away.alias("away"))
+    tiles = rows.groupBy("bucket").agg(F.any_value("hot").alias("hot"), F.ceil(F.count(F.when(away, 1)) / SEEKERS).cast("int").alias("ns"), F.ceil(F.count("*") / (2 * SEEKERS)).cast("int").alias("nm"))
+    rows = of_bucket(rows, tiles.where("ns > 0")).join(texts.select(F.col("id").alias("rep"), "text"), "rep").select("bucket", "rep", "root", "sig", "bands", "text", "ns", "nm", away.alias("away"))
     mine = rows.where("away").select("*", F.lit(True).alias("own"), F.pmod(F.xxhash64("rep"), F.col("ns")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"))
     every = rows.select("*", F.lit(False).alias("own"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("i"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nm")).cast("int").alias("j"))
     n = max(1, -(-(rows.agg(F.sum(F.octet_length("text") * (F.col("ns") + F.when(F.col("away"), F.col("nm")).otherwise(0)))).first()[0] or 0) // task_bytes))
@@ -233,8 +247,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = core.written(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     placed = classes.select("rep", F.explode("bands").alias("bucket"))
-    firsts = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1").select("bucket", "first")
-    members = core.written(placed.join(firsts, "bucket"), "members")
+    most = max(SMALL, classes.count() * BANDS // HOT)
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1")
+    firsts = core.written(shared.select("bucket", "first", (F.col("n") > most).alias("hot")), "buckets")
+    hot = F.broadcast(firsts.where("hot").select("bucket", F.lit(True).alias("hot")))
+    marked = placed.join(hot, "bucket", "left").select("bucket", "rep", F.coalesce("hot", F.lit(False)).alias("hot"))
+    members = core.written(of_bucket(marked, firsts), "members")
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = core.written(docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "candidates")
     sigs = classes.select("rep", "sig", "bands")
@@ -243,13 +261,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     pairs = core.written(members.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
     guess = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b").where(estimate("x", "y") >= floor)
     links = core.written(confirm(guess.select("a", "b"), texts, k, percent), "links")
-    label = components(links).withColumnRenamed("node", "rep")
-    rows = members.join(label, "rep", "left").select("bucket", "rep", "first", F.coalesce("root", "rep").alias("root"))
-    main = rows.where("rep = first").select("bucket", F.col("root").alias("main"))
-    apart = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = core.written(rows.join(apart, "bucket", "left_semi").join(main, "bucket").join(sigs, "rep").select("bucket", "rep", "root", "main", "sig", "bands"), "open")
-    links = links.unionByName(core.written(settle(open_, texts, floor, k, percent), "links"))
-    label = components(links).withColumnRenamed("node", "rep")
+    core.dropped(firsts, pairs)
+    near = components(links)
+    label = near.withColumnRenamed("node", "rep")
+    rows = core.written(members.join(label, "rep", "left").select("bucket", "hot", "rep", "first", F.coalesce("root", "rep").alias("root")), "rooted")
+    core.dropped(members, near)
+    known = rows.groupBy("bucket").agg(F.any_value("hot").alias("hot"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.when(F.col("rep") == F.col("first"), F.col("root"))).alias("main"))
+    apart = of_bucket(rows, known.where("lo <> hi").select("bucket", "hot", "main"))
+    open_ = core.written(apart.join(sigs, "rep").select("bucket", "hot", "rep", "root", "main", "sig", "bands"), "open")
+    more = core.written(settle(open_, texts, floor, k, percent), "links")
+    core.dropped(rows, open_, texts)
+    label = components(links.unionByName(more)).withColumnRenamed("node", "rep")
+    core.dropped(links, more)
     named = classes.select(*key, "rep").join(label, "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", *key).join(named, key, "left")
     root = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))

@@ -66,6 +66,7 @@ def test_components_equal_all_pairs(spark, k):
 def test_tiles_and_near_misses(spark, monkeypatch):
     """A group around one text whose members are mostly no links of each other, dealt over many small tiles."""
     monkeypatch.setattr(minhash, "SEEKERS", 2)
+    monkeypatch.setattr(minhash, "SMALL", 3)
     rng = np.random.default_rng(11)
     base = [f"b{i}" for i in range(200)]
     docs = []
