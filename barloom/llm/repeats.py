@@ -11,8 +11,12 @@ occurs once in the corpus occur once, and only about 2 / (length - gram + 2) of
    Those with a repeat in the block pass `later`, the operator's own method, at once; what is known to be a
    repeat stays, and only first occurrences go on. So a passage that a third of all rows hold is sent once
    per block;
-4. a shard orders the stretches that it gets, passes them through `later` again, and tells each block;
-5. a block takes both answers and edits its documents.
+4. a shard orders the stretches that it gets, passes them through `later` again, and tells each block. What more than
+   GROUP blocks have goes to a shard for each GROUP of them first, and only first occurrences go on from there, so a passage
+   that every block holds doesn't fill one task;
+5. a block takes all answers and edits its documents.
+
+There are fewer buckets than blocks, as a bucket gets a fraction of the text: the messages are blocks times buckets.
 
 All of it is one lazy plan: the exchange of the texts is made once and read three times. Items are named by their
 place in the block, so each step puts the block's rows in one order first, whatever order they are fetched in.
@@ -35,6 +39,8 @@ U = np.uint64
 BLOCK_BYTES = 8 << 20
 #: Items of which anchors are sought at a time.
 PIECE = 1 << 21
+#: Blocks whose copies of a passage meet in one task.
+GROUP = 256
 
 
 @dataclass(frozen=True)
@@ -145,6 +151,10 @@ def answer(shards: int):
         lead = core.mix((which[by][head].astype(np.uint64) << U(32)) | first[by][head].astype(np.uint64))
         shard = np.empty(len(s), np.int64)
         shard[by] = np.where(repeated, (lead % U(shards)).astype(np.int64), -1)[run_of]
+        wide = np.empty(len(s), bool)
+        wide[by] = (np.diff(np.append(head, len(s))) > GROUP)[run_of]
+        # by way of the shard of a group of blocks
+        shard[wide] += shards * (1 + which[wide] // GROUP)
         blobs, cuts = [], np.append(0, np.cumsum(sizes))
         for a, z in zip(cuts[:-1], cuts[1:]):
             hit = np.flatnonzero(shard[a:z] >= 0)
@@ -182,7 +192,7 @@ def _repeats(items, bounds, doc, pos, kind):
     return kind.later(items, bounds, doc, kind.length)
 
 
-def cut(kind: Kind, buckets: int, shards: int):
+def cut(kind: Kind, buckets: int):
     """Step 3: rows (dest, block, data): dest is a shard's number, or -1 - block for what the block knows itself."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -249,29 +259,50 @@ def cut(kind: Kind, buckets: int, shards: int):
     return run
 
 
-def settle(kind: Kind, item_type):
-    """Step 4: rows (block, data) with spans of window starts that are repeats, as positions in the block."""
+def fresh(bounds: np.ndarray, flags: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, stretch) of what is left of stretches when windows with a flag go: runs of window starts, with their last window."""
+    n = len(flags)
+    which = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    good = ~flags & (np.arange(n) + length <= bounds[1:][which])
+    turn = np.append(True, which[1:] != which[:-1])[:n]
+    a = np.flatnonzero(good & (turn | ~np.append(False, good[:-1])[:n]))
+    z = np.flatnonzero(good & (np.append(turn[1:], True)[:n] | ~np.append(good[1:], False)[:n])) + length
+    return a, z, which[a]
+
+
+def settle(kind: Kind, item_type, shards: int):
+    """Step 4: rows (dest, block, data). dest -1 - block: spans of window starts that are repeats, as positions in the block;
+    else first occurrences within a group of blocks, on their way to their shard."""
 
     def run(t: pa.Table) -> pa.Table:
-        blocks, blobs = t["block"].to_pylist(), []
-        data = t["data"].to_pylist()
-        if t["dest"][0].as_py() < 0:
-            blobs = data
-        else:
-            order = sorted(range(len(blocks)), key=lambda i: blocks[i])
-            got = [unpack(data[i], np.int64, np.int64, np.int64, item_type) for i in order]
-            doc, pos, size, items = (np.concatenate([x[k] for x in got]) for k in range(4))
-            bounds = np.append(0, np.cumsum(size))
-            flags = _repeats(items, bounds, doc, np.arange(len(doc)), kind)
-            at = np.repeat(pos - bounds[:-1], size) + np.arange(len(items))
-            blocks, k = [blocks[i] for i in order], 0
-            for x in got:
-                n = len(x[3])
-                hit = np.sort(at[k : k + n][flags[k : k + n]])
-                new = np.flatnonzero(np.append(True, np.diff(hit) > 1)) if len(hit) else hit
-                blobs.append(pack(hit[new], hit[np.append(new[1:], len(hit)) - 1] + 1 if len(hit) else hit))
-                k += n
-        return pa.table({"block": pa.array(blocks, pa.int32()), "data": pa.array(blobs, pa.binary())})
+        blocks, data, at = t["block"].to_pylist(), t["data"].to_pylist(), t["dest"][0].as_py()
+        if at < 0:
+            return t.select(["dest", "block", "data"])
+        dest, out, blobs = [], [], []
+        order = sorted(range(len(blocks)), key=lambda i: blocks[i])
+        got = [unpack(data[i], np.int64, np.int64, np.int64, item_type) for i in order]
+        doc, pos, size, items = (np.concatenate([x[k] for x in got]) for k in range(4))
+        bounds = np.append(0, np.cumsum(size))
+        flags = _repeats(items, bounds, doc, np.arange(len(doc)), kind)
+        place = np.repeat(pos - bounds[:-1], size) + np.arange(len(items))
+        k = n = 0
+        for i, x in zip(order, got):
+            part = slice(k, k + len(x[3]))
+            hit = np.sort(place[part][flags[part]])
+            new = np.flatnonzero(np.append(True, np.diff(hit) > 1)) if len(hit) else hit
+            dest.append(-1 - blocks[i])
+            out.append(blocks[i])
+            blobs.append(pack(hit[new], hit[np.append(new[1:], len(hit)) - 1] + 1 if len(hit) else hit))
+            if at >= shards:
+                own = bounds[n : n + len(x[2]) + 1] - bounds[n]
+                a, z, which = fresh(own, flags[part], kind.length)
+                if len(a):
+                    rest, edges = gather(x[3], a, z)
+                    dest.append(at % shards)
+                    out.append(blocks[i])
+                    blobs.append(pack(x[0][which], x[1][which] + a - own[:-1][which], np.diff(edges), rest))
+            k, n = part.stop, n + len(x[2])
+        return pa.table({"dest": pa.array(dest, pa.int64()), "block": pa.array(out, pa.int32()), "data": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -294,9 +325,10 @@ def edit(docs: DataFrame, kind: Kind, item_type, finish, schema: T.StructType, c
     b = core.blocks(docs, n, id_col, text)
     if carry:
         b = docs.select(F.pmod(F.xxhash64(id_col, text), F.lit(n)).cast("int").alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*carry).alias("rest"))
-    groups = b.groupBy("block")
-    asked = groups.applyInArrow(ask(kind, n), "bucket int, block int, data binary")
-    told = asked.groupBy("bucket").applyInArrow(answer(2 * n), "block int, bucket int, data binary")
-    parts = groups.cogroup(told.groupBy("block")).applyInArrow(cut(kind, n, 2 * n), "dest long, block int, data binary")
-    known = parts.groupBy("dest").applyInArrow(settle(kind, item_type), "block int, data binary")
+    groups, buckets, shards = b.groupBy("block"), -(-n // 4), 2 * n
+    asked = groups.applyInArrow(ask(kind, buckets), "bucket int, block int, data binary")
+    told = asked.groupBy("bucket").applyInArrow(answer(shards), "block int, bucket int, data binary")
+    known = groups.cogroup(told.groupBy("block")).applyInArrow(cut(kind, buckets), "dest long, block int, data binary")
+    for _ in range(1 + (n > GROUP)):
+        known = known.groupBy("dest").applyInArrow(settle(kind, item_type, shards), "dest long, block int, data binary")
     return groups.cogroup(known.groupBy("block")).applyInArrow(lambda left, right: finish(core.ordered(left), right), schema)

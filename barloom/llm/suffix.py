@@ -83,19 +83,19 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
 
 def common_prefixes(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Length of the common prefix of the suffixes at a and b, cap at most; neither may end before it."""
-    lanes = np.ndarray((len(t) + 1,), "<u8", buffer=np.concatenate([t, np.zeros(8, np.uint8)]), strides=(1,))
-    out = np.zeros(len(a), np.int32)
-    live = np.arange(len(a), dtype=np.int32)
+    lanes = np.ndarray((len(t) + cap,), "<u8", buffer=np.concatenate([t, np.zeros(cap + 8, np.uint8)]), strides=(1,))
+    out = np.full(len(a), cap, np.int32)
+    live, x, y = np.arange(len(a), dtype=np.int32), a, b
     for k in range(0, cap, 8):
-        x = lanes[np.minimum(a[live] + k, len(t))] ^ lanes[np.minimum(b[live] + k, len(t))]
-        low = x & (~x + np.uint64(1))
-        whole = x == 0
-        differ = ~whole
-        out[live] += 8 * whole
-        out[live[differ]] += np.log2(low[differ].astype(np.float64)).astype(np.int32) >> 3
-        live = live[whole]
-        if not len(live):
+        d = lanes[x + k] ^ lanes[y + k]
+        differ = np.flatnonzero(d)
+        first = d[differ]
+        first &= ~first + np.uint64(1)  # the lowest bit that differs; those below it, by eights, are equal bytes
+        out[live[differ]] = k + (np.bitwise_count(first - np.uint64(1)) >> 3)
+        same = np.flatnonzero(d == 0)
+        if not len(same):
             break
+        live, x, y = live[same], x[same], y[same]
     return np.minimum(out, cap)
 
 
@@ -117,17 +117,10 @@ def later(items: np.ndarray, bounds: np.ndarray, doc: np.ndarray, length: int) -
         edges = np.concatenate([kept_bounds, bounds[at + 1 : end + 1] - bounds[at] + shift])
         flags = _later(np.concatenate([kept, part]), edges, np.concatenate([kept_doc, doc[at:end]]), length)[shift:]
         out[bounds[at] : bounds[end]] = flags
-        own = bounds[at : end + 1] - bounds[at]
-        fresh = ~flags
-        last = np.repeat(own[1:], np.diff(own))
-        fresh &= np.arange(len(part)) + length <= last
-        which = np.repeat(np.arange(end - at), np.diff(own))
-        turn = np.append(True, which[1:] != which[:-1])
-        a = np.flatnonzero(fresh & (turn | ~np.append(False, fresh[:-1])))
-        z = np.flatnonzero(fresh & (np.append(turn[1:], True) | ~np.append(fresh[1:], False))) + length
+        a, z, which = repeats.fresh(bounds[at : end + 1] - bounds[at], flags, length)
         new, new_bounds = repeats.gather(part, a, z)
         kept, kept_bounds = np.concatenate([kept, new]), np.concatenate([kept_bounds, new_bounds[1:] + shift])
-        kept_doc = np.concatenate([kept_doc, doc[at:end][which[a]]])
+        kept_doc = np.concatenate([kept_doc, doc[at:end][which]])
         at = end
     return out
 

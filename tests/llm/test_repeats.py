@@ -65,6 +65,20 @@ def noisy(seed, n):
     return [(int(i), t) for i, t in enumerate(docs)]
 
 
+def test_passages_of_many_blocks_meet_by_groups(spark, monkeypatch):
+    """With groups of two blocks, what more hold goes through two shards; the rows are the same."""
+    monkeypatch.setattr(repeats, "GROUP", 2)
+    rng = np.random.default_rng(11)
+    common = " ".join(f"c{i}" for i in range(40))
+    docs = [(i, f"{' '.join(f'u{x}' for x in rng.integers(0, 10**6, 20))} {common} {' '.join(f'u{x}' for x in rng.integers(0, 10**6, 9))}") for i in range(60)]
+    docs += [(100 + i, t) for i, (_, t) in enumerate(noisy(2, 60))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = substring.remove_repeats(df, 20, blocks=9).withColumn("h", F.sha2("text", 256)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.h) for r in rows} == brute_words(docs, 20)
+    rows = suffix.remove_repeats(df, 50, blocks=9).withColumn("h", F.sha2("kept", 256)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.h) for r in rows} == brute_bytes(docs, 50)
+
+
 @pytest.mark.parametrize("blocks", [1, 6])
 def test_substring_equals_brute_force(spark, blocks):
     docs = noisy(blocks, 120)
@@ -148,9 +162,11 @@ def shuffled(t, rng):
     return t.take(pa.array(rng.permutation(t.num_rows)))
 
 
+@pytest.mark.parametrize("group", [256, 1])
 @pytest.mark.parametrize("module, item_type", [(substring, np.uint64), (suffix, np.uint8)])
-def test_order_of_fetched_rows_does_not_matter(module, item_type):
+def test_order_of_fetched_rows_does_not_matter(module, item_type, group, monkeypatch):
     """The steps without Spark, with the rows of every group in another order each time they are read."""
+    monkeypatch.setattr(repeats, "GROUP", group)
     rng = np.random.default_rng(5)
     docs = noisy(3, 150) + [(149, None), (149, "a " * 300)]
     n, kind = 4, module.kind(12, 5)
@@ -164,8 +180,10 @@ def test_order_of_fetched_rows_does_not_matter(module, item_type):
     def removed(mix):
         asked = [repeats.ask(kind, n)(mix(t)) for t in tables]
         told = grouped([repeats.answer(2 * n)(mix(t)) for t in grouped(asked, "bucket").values()], "block")
-        parts = [repeats.cut(kind, n, 2 * n)(mix(t), mix(told[b])) for b, t in enumerate(tables)]
-        known = grouped([repeats.settle(kind, item_type)(mix(t)) for t in grouped(parts, "dest").values()], "block")
+        parts = [repeats.cut(kind, n)(mix(t), mix(told[b])) for b, t in enumerate(tables)]
+        for _ in range(2):
+            parts = [repeats.settle(kind, item_type, 2 * n)(mix(t)) for t in grouped(parts, "dest").values()]
+        known = grouped(parts, "block")
         out = []
         for b, t in enumerate(tables):
             t = core.ordered(mix(t))
