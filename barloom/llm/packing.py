@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from . import core, media
 
 LENGTH = 4096
+#: Bytes of text in a block: small ones deal the work evenly, at a cost of less than a row each.
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -193,7 +195,7 @@ def _packed(t: pa.Table, length: int, v: Vocabulary) -> pa.Table:
 
 
 def _blocks(docs: DataFrame, v: Vocabulary, blocks: int | None, id_col: str, text: str):
-    n = blocks or core.block_count(docs, text, least=1)
+    n = blocks or core.block_count(docs, text, BLOCK_BYTES, least=1)
     return encoded(docs, v, n, id_col, text).groupBy("block")
 
 
