@@ -25,7 +25,7 @@ def grid(bars: DataFrame) -> DataFrame:
 def breadth(bars: DataFrame) -> DataFrame:
     """Per date: universe, advances over declines, new highs and lows, shares above three averages, composite momentum, participation."""
     emas = ["ema_20", "ema_50", "ema_200"]
-    own = ind.smoothed(bars.select("symbol", "d", "close"), *emas).select("symbol", "d", *emas)
+    own = ind.smoothed(bars.select("symbol", "d", "high", "low", "close"), *emas).select("symbol", "d", *emas)
     g = grid(bars.select("symbol", "d", "close")).withColumn("ret", change(F.col("close")))
     c = F.col("close")
     g = g.withColumns({"hi": rolling(F.max, c, YEAR, 20), "lo": rolling(F.min, c, YEAR, 20)}).join(own, ["symbol", "d"], "left")
