@@ -150,3 +150,34 @@ def op7_decontaminate(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (op5_pack_tokens, op7_decontaminate)}
+
+
+def op11_vector_codes(spark, sf_dir):
+    from . import vectors
+
+    return vectors.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _vector_sql() -> str:
+    def near(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (SELECT rid, p, any_value(v) AS x, min({{'d': d, 'e': e}}) AS m FROM (
+      SELECT rid, parts.p, e, parts.x AS v, CAST(list_sum(list_transform(range(1, len(parts.x) + 1), lambda i: (parts.x[i] - b.x[i]) * (parts.x[i] - b.x[i]))) AS bigint) AS d FROM parts JOIN b{k} b ON parts.p = b.p) GROUP BY rid, p)"""
+
+    def moved(k: int) -> str:
+        return f"""b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+      SELECT p, e, list(s ORDER BY i) AS x FROM (SELECT p, m.e AS e, i, CAST(floor(sum(x[i]) / count(*)) AS bigint) AS s FROM a{k}, range(1, (SELECT max(len(x)) + 1 FROM parts)) r(i) GROUP BY 1, 2, 3) GROUP BY 1, 2) m ON m.p = b.p AND m.e = b.e)"""
+
+    return f"""
+WITH k AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  i AS (SELECT rid, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS double)) AS bigint)) AS v, len(embedding) // 16 AS w FROM k),
+  parts AS MATERIALIZED (SELECT rid, p, v[p * w + 1:(p + 1) * w] AS x FROM i, range(16) r(p)),
+  b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x FROM parts WHERE rid <= 64),
+  {near(0)}, {moved(0)}, {near(1)}, {moved(1)}, {near(2)},
+  f AS MATERIALIZED (SELECT rid, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS bigint) AS error FROM a2 GROUP BY rid),
+  h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS bigint) AS label_error, codebooks_sha256 FROM k JOIN f USING (rid), h"""
+
+
+QUERIES["op11_vector_codes"] = op11_vector_codes
+SQL["op11_vector_codes"] = _vector_sql()
