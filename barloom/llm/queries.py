@@ -181,3 +181,13 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS bigint)
 
 QUERIES["op11_vector_codes"] = op11_vector_codes
 SQL["op11_vector_codes"] = _vector_sql()
+
+
+def op12_best_fit(spark, sf_dir):
+    from . import exactfit
+
+    rows = exactfit.pack(table(spark, sf_dir, "documents"), vocabulary=exactfit.public_vocabulary())
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES["op12_best_fit"] = op12_best_fit
