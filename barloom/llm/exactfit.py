@@ -14,7 +14,7 @@ least, so a plan has some thousand patterns.
 
 Pieces get numbers within their length: tasks number what they write, and sums over the parts before are added. A
 piece's number then says which sequence has it and where: runs of numbers lie in the order of the plan. No step needs the
-pieces of a length, a source or a sequence in one task, and the plan wastes less than a sequence for each length at most.
+pieces of a length, a source or a sequence in one task, and no block of documents has a rest of its own.
 
 Nulls: a null text is empty, so it is its end id alone; null ids are kept. Repeated rows are packed each. An empty table gives no
 rows. Very long texts are encoded whole, by the task that reads them. Extra columns are not read.
@@ -148,10 +148,11 @@ class Sums:
         fits = np.flatnonzero(self.there[: gap + 1])[::-1]
         return next((x for x in fits.tolist() if self.left[x] > used[x]), None)
 
-    def pattern(self, top: int) -> Counter:
+    def pattern(self, top: int, most: int = 3) -> Counter:
+        """What goes with a piece of length top; exact fillings are of so many pieces at most."""
         used, gap = Counter((top,)), len(self.left) - 1 - top
         while gap:
-            exact = self.single(gap, used) or self.pair(gap, used) or self.triple(gap, used)
+            exact = self.single(gap, used) or most > 1 and self.pair(gap, used) or most > 2 and self.triple(gap, used)
             if exact:
                 return used + Counter(exact)
             x = self.largest(gap, used)
@@ -163,15 +164,23 @@ class Sums:
 
 
 def plan(counts: np.ndarray) -> list[tuple[int, dict[int, int]]]:
-    """(sequences, {length: pieces in each}) for counts of the lengths 0 to the sequences' own; every piece is in one."""
-    sums, out = Sums(counts), []
-    for top in range(len(counts) - 1, 0, -1):
-        while sums.left[top]:
-            used = sums.pattern(top)
-            times = int(min(sums.left[a] // n for a, n in used.items()))
-            sums.use(used, times)
-            out.append((times, dict(sorted(used.items(), reverse=True))))
-    return out
+    """(sequences, {length: pieces in each}) for counts of the lengths 0 to the sequences' own; every piece is in one.
+
+    Where no length is rare, triples leave nothing over; where large pieces are as common as small ones, they can spend small ones
+    that fit better elsewhere. So plans with triples, with pairs and with singles are made, and the one with the fewest sequences stays.
+    """
+
+    def made(most: int) -> list[tuple[int, dict[int, int]]]:
+        sums, out = Sums(counts), []
+        for top in range(len(counts) - 1, 0, -1):
+            while sums.left[top]:
+                used = sums.pattern(top, most)
+                times = int(min(sums.left[a] // n for a, n in used.items()))
+                sums.use(used, times)
+                out.append((times, dict(sorted(used.items(), reverse=True))))
+        return out
+
+    return min((made(most) for most in (3, 2, 1)), key=lambda p: sum(times for times, _ in p))
 
 
 def runs(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
