@@ -1,8 +1,7 @@
 """Technical indicators for all symbols at once.
 
 Rolling ones are window expressions that share one exchange and sort by symbol. Recursive ones (exponential and
-Wilder smoothing) have no window form; `smoothed` runs them over each symbol's rows in one grouped pass, after the
-windows, so that the same partitioning serves both.
+Wilder smoothing) are scans of affine maps on the same partitioning: see `recursion`.
 """
 
 from __future__ import annotations
@@ -13,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.smoothing import SMOOTHINGS, appender, ranker  # noqa: F401
+from ..functions.ranking import ranker
+from .recursion import smoothed  # noqa: F401
 from .windows import by, YEAR, change, last, rolling
 
+
 def sma(n: int = 20, c: str = "close") -> Column:
     return rolling(F.avg, F.col(c), n)
 
@@ -79,14 +80,6 @@ def regime(pct: Column, low: float = 0.33, high: float = 0.67) -> Column:
     return F.when(pct <= low, "low").when(pct <= high, "medium").when(pct.isNotNull(), "high")
 
 
-def smoothed(df: DataFrame, *names: str) -> DataFrame:
-    """df with the named columns of SMOOTHINGS, each symbol's rows in order of d. Bars of one symbol fit one task: they are days."""
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
-    out = df.groupBy("symbol").applyInPandas(appender(names), schema)
-    # a NaN in a pandas column is a NULL here
-    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
-
-
 def trailing(n: int, f, c: Column) -> Column:
     """f over at most the last n rows, however few there are."""
     return f(c).over(last(n))

@@ -1,7 +1,6 @@
-"""Recursive smoothing of one symbol's rows, as one pass with explicit state. Runs in Python workers, so it holds no column expressions.
+"""Recursive smoothing one bar at a time: what the scan of affine maps is tested against.
 
-A measure takes a bar at a time and gives its value there, NaN through the warm-up. What it remembers is a few numbers,
-so a symbol's history streams through it.
+A measure takes a bar at a time and gives its value there, NaN through the warm-up.
 """
 
 from __future__ import annotations
@@ -9,9 +8,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-
 NAN = math.nan
 
 
@@ -117,36 +113,10 @@ def adx() -> Callable:
 SMOOTHINGS = {"ema_20": lambda: ema(20), "ema_50": lambda: ema(50), "ema_200": lambda: ema(200), "macd": macd, "macd_signal": macd_signal, "rsi_14": rsi, "atr_14": atr, "adx_14": adx}
 
 
-def appender(names: tuple[str, ...]):
-    """A function from one symbol's rows to the same rows, by date, with the named columns."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("d", ignore_index=True)
-        made = [SMOOTHINGS[n]() for n in names]
-        out = np.empty((len(p), len(names)))
-        before = (NAN, NAN, NAN)
-        for i, bar in enumerate(zip(*(p[k].astype(float).tolist() for k in ("high", "low", "close")))):
-            out[i] = [f(*bar, *before) for f in made]
-            before = bar
-        return p.assign(**dict(zip(names, out.T)))
-
-    return run
-
-
-def ranker(column: str, name: str, n: int, least: int):
-    """A function from one symbol's rows to the same rows, by date, with the share of the last n values of a column that the
-    newest one's rank (average of ties) makes up; NaN where it is missing or fewer than `least` values are there."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("d", ignore_index=True)
-        x = p[column].to_numpy(float)
-        frames = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, NAN), x]), n)
-        out = np.full(len(x), NAN)
-        for a in range(0, len(x), 4096):
-            f, v = frames[a : a + 4096], x[a : a + 4096, None]
-            size = (f == f).sum(axis=1)
-            rank = (f < v).sum(axis=1) + ((f == v).sum(axis=1) + 1) / 2
-            out[a : a + 4096] = np.where((size >= least) & (v[:, 0] == v[:, 0]), rank / np.maximum(size, 1), NAN)
-        return p.assign(**{name: out})
-
-    return run
+def column(name: str, bars: list[tuple[float, float, float]]) -> list[float]:
+    """A measure's values for (high, low, close) in order of date."""
+    f, before, out = SMOOTHINGS[name](), (NAN, NAN, NAN), []
+    for bar in bars:
+        out.append(f(*bar, *before))
+        before = bar
+    return out

@@ -141,9 +141,9 @@ def test_ticks_without_ids_or_times(spark):
     assert tk.classify(df.limit(0)).count() == 0
 
 
-def test_smoothing_state():
+def test_plain_smoothing_state():
     """A level is the mean of its warm rows, then decays; a gap fades its weight."""
-    from barloom.functions.smoothing import Level, wilder
+    from .plain_smoothing import Level, wilder
 
     up = wilder(3)
     assert [up.step(x) for x in (1.0, 2.0)] != [1.0, 2.0] and up.step(6.0) == 3.0 and math.isclose(up.step(6.0), 4.0)
@@ -153,6 +153,57 @@ def test_smoothing_state():
     assert all(math.isnan(late.step(math.nan)) for _ in range(3)) and late.step(5.0) == 5.0
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 2048])
+def test_scan_equals_steps(spark, monkeypatch, chunk):
+    """Every measure, with missing values, flat stretches and chunks of any size, against one bar at a time."""
+    from barloom.operators import recursion
+
+    from .plain_smoothing import SMOOTHINGS, column
+
+    monkeypatch.setattr(recursion, "CHUNK", chunk)
+    rnd = random.Random(chunk)
+    symbols = {}
+    for s, (n, missing) in {"A": (600, 0.0), "B": (300, 0.1), "C": (90, 0.6), "D": (13, 0.2), "E": (1, 0.0), "F": (40, 1.0)}.items():
+        x, rows = 100.0, []
+        for i in range(n):
+            x *= 1 + (0 if 50 < i % 200 < 90 else rnd.gauss(0, 0.02))
+            bar = (x * (1 + abs(rnd.gauss(0, 0.01))), x * (1 - abs(rnd.gauss(0, 0.01))), x) if not 50 < i % 200 < 90 else (x, x, x)
+            rows.append(tuple(math.nan if rnd.random() < missing / 2 else None if rnd.random() < missing / 2 else v for v in bar))
+        symbols[s] = rows
+    df = spark.createDataFrame([(s, DAY + dt.timedelta(i), *bar, "kept") for s, rows in symbols.items() for i, bar in enumerate(rows)], "symbol string, d date, high double, low double, close double, _row string")
+    got = recursion.smoothed(df, *SMOOTHINGS)
+    assert got.columns == [*df.columns, *SMOOTHINGS] and "Python" not in got._jdf.queryExecution().toString()
+    got = got.orderBy("symbol", "d").collect()
+    for s, rows in symbols.items():
+        mine = [r for r in got if r.symbol == s]
+        for name in SMOOTHINGS:
+            want = column(name, [tuple(math.nan if v is None else v for v in bar) for bar in rows])
+            for r, w in zip(mine, want, strict=True):
+                assert (r[name] is None) == math.isnan(w), (s, name, r.d, r[name], w)
+                assert r[name] is None or math.isclose(r[name], w, rel_tol=1e-9, abs_tol=1e-9), (s, name, r.d, r[name], w)
+
+
+def test_smoothing_reads_its_inputs_only(spark):
+    df = spark.createDataFrame([("A", DAY + dt.timedelta(i), float(i)) for i in range(30)], "symbol string, d date, close double")
+    assert ind.smoothed(df, "ema_20").where("ema_20 is not null").count() == 11
+
+
+def test_rolling_rank_equals_counting():
+    import numpy as np
+
+    from barloom.functions.ranking import rolling_rank
+
+    rng = np.random.default_rng(0)
+    for size in (0, 1, 5, 700):
+        x = np.where(rng.random(size) < 0.1, np.nan, np.round(rng.normal(size=size), 1))
+        got = rolling_rank(x, 50, 10)
+        for i, v in enumerate(x):
+            frame = x[max(0, i - 49) : i + 1]
+            frame = frame[frame == frame]
+            want = ((frame < v).sum() + ((frame == v).sum() + 1) / 2) / len(frame) if v == v and len(frame) >= 10 else math.nan
+            assert got[i] == want or math.isnan(want) and math.isnan(got[i])
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     rows = fx.ticks(spark, sf).where("sequence_id < 400")
     want = sorted(map(tuple, tk.classify(rows).select("symbol", "sequence_id", "arrival", "outcome", "gap").collect()))
