@@ -65,6 +65,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: packing.Vocabulary
     core.bound_batches(docs.sparkSession)
 
     def run(batches):
+        core.give_back()
         c = TaskContext.get()
         part = c.partitionId() if c else 0
         seen = np.zeros(length + 1, np.int64)
