@@ -18,30 +18,36 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import evaluation as ev
+from . import boosting, evaluation as ev, trees
 from .crosssection import label_correlation, top_fraction
 
 SEED = 42
 #: Models that the driver fits at a time.
 FITS = 4
-#: Presets of the model families; boosted families differ in depth and step.
+#: Families that pyspark.ml fits, by their parameters.
 FAMILIES = {
     "random_forest": lambda p: RandomForestClassifier(numTrees=int(p.get("trees", 100)), maxDepth=int(p.get("depth", 6)), seed=SEED),
     "gradient_boosting": lambda p: GBTClassifier(maxIter=int(p.get("trees", 20)), maxDepth=int(p.get("depth", 4)), stepSize=p.get("step", 0.1), seed=SEED),
-    "oblivious_boosting": lambda p: GBTClassifier(maxIter=int(p.get("trees", 30)), maxDepth=int(p.get("depth", 6)), stepSize=p.get("step", 0.05), seed=SEED),
-    "leafwise_boosting": lambda p: GBTClassifier(maxIter=int(p.get("trees", 30)), maxDepth=int(p.get("depth", 5)), stepSize=p.get("step", 0.1), subsamplingRate=0.8, seed=SEED),
     "logistic": lambda p: LogisticRegression(regParam=p.get("reg", 0.01)),
 }
+#: Families that differ in how a tree grows: one split for each level, or the best leaf first.
+BOOSTED = {
+    "oblivious_boosting": lambda p: boosting.Params(trees=int(p.get("trees", 30)), depth=int(p.get("depth", 6)), step=p.get("step", 0.05), oblivious=True),
+    "leafwise_boosting": lambda p: boosting.Params(trees=int(p.get("trees", 30)), leaves=2 ** int(p.get("depth", 5)) - 1, step=p.get("step", 0.1), oblivious=False),
+}
+Model = PipelineModel | trees.Ensemble
 
 
-def fit(family: str, params: dict, rows: DataFrame, names: list[str]) -> PipelineModel:
+def fit(family: str, params: dict, rows: DataFrame, names: list[str]) -> Model:
+    if family in BOOSTED:
+        return boosting.fit(rows, names, BOOSTED[family](params))
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip"), FAMILIES[family](params)]).fit(rows.withColumn("label", F.col("label").cast("double")))
 
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def predict(model: Model, rows: DataFrame) -> DataFrame:
     """rows with probability, predicted and actual."""
     drop = [c for c in ("features", "rawPrediction", "prediction") if c not in rows.columns]
-    out = model.transform(rows).withColumn("probability", vector_to_array("probability")[1])
+    out = model.transform(rows) if isinstance(model, trees.Ensemble) else model.transform(rows).withColumn("probability", vector_to_array("probability")[1])
     return out.withColumns({"predicted": (F.col("probability") >= 0.5).cast("int"), "actual": F.col("label").cast("int")}).drop(*drop)
 
 
@@ -138,7 +144,9 @@ def calibrate(preds: DataFrame, test: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def importance(model: PipelineModel, names: list[str]) -> dict[str, float]:
+def importance(model: Model, names: list[str]) -> dict[str, float]:
+    if isinstance(model, trees.Ensemble):
+        return model.importance()
     return dict(zip(names, [float(x) for x in model.stages[-1].featureImportances.toArray()]))
 
 
@@ -151,7 +159,7 @@ def importance_stability(rows: DataFrame, names: list[str], n_folds: int = 5, fa
     return df.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).withColumn("cv", F.try_divide(F.col("std"), F.col("mean")))
 
 
-def permutation_importance(model: PipelineModel, rows: DataFrame, names: list[str], repeats: int = 3) -> DataFrame:
+def permutation_importance(model: Model, rows: DataFrame, names: list[str], repeats: int = 3) -> DataFrame:
     """feature, drop in accuracy when its values are dealt anew by a seeded order."""
     acc = lambda df: predict(model, df).agg(F.avg((F.col("predicted") == F.col("actual")).cast("double"))).first()[0]
     rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("symbol").orderBy("d"))).cache()
@@ -185,22 +193,19 @@ def weak_features(scores: DataFrame, least_mi: float = 0.001, fraction: float =
     return scores.withColumns({"rank": F.row_number().over(w.orderBy("importance", "feature")), "n": F.count("*").over(w)}).where((F.col("mi") < least_mi) & (F.col("rank") <= F.floor(F.col("n") * fraction))).select("feature", "mi", "importance")
 
 
-def stability(model: PipelineModel, row: DataFrame, names: list[str], trials: int = 20, noise: float = 0.05) -> DataFrame:
+def stability(model: Model, row: DataFrame, names: list[str], trials: int = 20, noise: float = 0.05) -> DataFrame:
     """0 to 100: how little probabilities move when features are shaken by noise times their size; seeded."""
     shaken = row.select("*", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial")).withColumns({n: F.col(n) * (1 + noise * F.randn(SEED + i)) for i, n in enumerate(names)})
     p = predict(model, shaken.withColumn("label", F.lit(0.0)))
     return p.groupBy("symbol").agg(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - F.stddev_pop("probability") / 0.25 * 100)).alias("stability"))
 
 
-def explain(model: PipelineModel, rows: DataFrame, names: list[str], means: dict[str, float], top: int = 5) -> DataFrame:
-    """symbol, d, feature, effect, rank: the change of probability when a feature goes to its mean, largest first. Ablation, where the sources walk trees."""
-    base = predict(model, rows).select("symbol", "d", F.col("probability").alias("p"))
-    out = None
-    for n in names:
-        part = predict(model, rows.withColumn(n, F.lit(float(means[n])))).select("symbol", "d", F.lit(n).alias("feature"), F.col("probability").alias("q"))
-        out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("symbol", "d").orderBy(F.desc(F.abs("effect")), "feature")
-    return base.join(out, ["symbol", "d"]).select("symbol", "d", "feature", (F.col("p") - F.col("q")).alias("effect")).withColumn("rank", F.row_number().over(w)).where(f"rank <= {top}")
+def explain(model: Model, rows: DataFrame, names: list[str], top: int | None = 5) -> DataFrame:
+    """symbol, d, prediction, base, feature, effect, rank: what each feature adds to a row's prediction, by the model's trees.
+
+    Effects of a forest are in its probability, those of boosted trees in the log of odds."""
+    ensemble = model if isinstance(model, trees.Ensemble) else trees.of_forest(rows.sparkSession, model.stages[-1], names)
+    return ensemble.explain(rows, top=top)
 
 
 def compare_labels(candidates: dict[str, DataFrame], names: list[str], least: int = 100) -> list[dict]:

@@ -305,10 +305,12 @@ def _rows(spark, sf):
 
 @query()
 def model_cv(spark, sf):
-    """Metrics of each expanding fold of a small forest."""
-    rows = _rows(spark, sf)
-    got = ml.fold_scores("random_forest", {"trees": 10, "depth": 3}, rows, features.BASE, ml.folds(rows, 3))
-    return spark.createDataFrame([(g["fold"], g.get("accuracy"), g.get("roc_auc"), g.get("log_loss")) for g in got], "fold int, accuracy double, roc_auc double, log_loss double")
+    """Metrics of each expanding fold of small models of each tree family."""
+    rows, out = _rows(spark, sf), []
+    spans = ml.folds(rows, 3)
+    for family, params in {"random_forest": {"trees": 10, "depth": 3}, "gradient_boosting": {"trees": 5, "depth": 3}, "oblivious_boosting": {"trees": 4, "depth": 3, "step": 0.3}, "leafwise_boosting": {"trees": 3, "depth": 2, "step": 0.3}}.items():
+        out += [(family, g["fold"], g.get("accuracy"), g.get("roc_auc"), g.get("log_loss")) for g in ml.fold_scores(family, params, rows, features.BASE, spans)]
+    return spark.createDataFrame(out, "family string, fold int, accuracy double, roc_auc double, log_loss double")
 
 
 @query()
@@ -339,12 +341,11 @@ def importance_stability(spark, sf):
 
 @query()
 def explanation(spark, sf):
-    """Largest effects on the newest row of each symbol."""
+    """What each feature adds to the prediction of the newest row of each symbol, largest first."""
     rows = _rows(spark, sf)
     model = ml.fit("random_forest", {"trees": 10, "depth": 3}, rows, features.BASE)
-    means = rows.agg(*(F.avg(c).alias(c) for c in features.BASE)).first().asDict()
     newest = rows.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("d")))).where("n = 1").drop("n")
-    return ml.explain(model, newest, features.BASE, means, 3)
+    return ml.explain(model, newest, features.BASE, None)
 
 
 @query("SELECT feature, mi, importance FROM (SELECT p_type AS feature, min(p_size) / 20000.0::double AS mi, avg(p_retailprice) AS importance, row_number() OVER (ORDER BY avg(p_retailprice), p_type) AS r, count(*) OVER () AS n FROM part GROUP BY p_type) WHERE mi < .001 AND r <= floor(n * .5)", "mi importance")
