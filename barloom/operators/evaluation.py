@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bands
+from .ordered import quantiles
 
 EPS = 2.220446049250313e-16
 
@@ -107,8 +108,9 @@ def fit_temperature(preds: DataFrame, low: float = 0.05, high: float = 20.0, rou
 def psi(train: DataFrame, live: DataFrame, value: str, *keys: str, bins: int = 10, eps: float = 1e-6) -> DataFrame:
     """Population stability index per key: deciles of train (distinct edges), counts inside the edges, shares of at least eps.
     NULL for fewer than 10 train values or no live ones, 0 for fewer than 3 edges."""
-    at = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    edges = train.groupBy(*keys).agg(F.array_distinct(F.percentile(value, at)).alias("edges"), F.count(value).alias("n_train"))
+    cut = quantiles(train, value, [i / bins for i in range(bins + 1)], *keys).select(*keys, F.array_distinct("q").alias("edges"))
+    counts = train.groupBy(*keys).agg(F.count(value).alias("n_train"))
+    edges = counts.join(cut, list(keys), "left") if keys else counts.join(F.broadcast(cut))
 
     def shares(df: DataFrame, name: str) -> DataFrame:
         x = F.col(value)

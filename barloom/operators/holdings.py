@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
 from .store import upsert
 
 
@@ -15,9 +16,9 @@ def valid(shares: Column, avg_cost: Column) -> Column:
 
 
 def _numbered(new: DataFrame, have: DataFrame, *order: str) -> DataFrame:
-    """new with ids after the largest that have has. A batch of changes is small beside the table: its order is one window."""
+    """new with ids after the largest that have has, in order."""
     top = have.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    rows = new.withColumn("_n", F.row_number().over(Window.partitionBy().orderBy(*order)))
+    rows = numbered(new, list(order), "_n")
     return rows.join(F.broadcast(top)).withColumn("id", (F.col("_top") + F.col("_n")).cast("long")).drop("_top", "_n")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import boosting, evaluation as ev, trees
 from .crosssection import label_correlation, top_fraction
+from .ordered import neighbour_information
 
 SEED = 42
 #: Models that the driver fits at a time.
@@ -173,18 +174,9 @@ def permutation_importance(model: Model, rows: DataFrame, names: list[str], repe
     return rows.sparkSession.createDataFrame(out, "feature string, importance double")
 
 
-def mutual_information(rows: DataFrame, names: list[str], label: str = "label", bins: int = 10) -> DataFrame:
-    """feature, mi: over deciles of the feature. An estimate by bins, where the sources use neighbours."""
-    out = None
-    for name in names:
-        edges = rows.agg(F.percentile_approx(name, [i / bins for i in range(1, bins)], 10_000).alias("e"))
-        b = rows.where(F.col(name).isNotNull()).join(F.broadcast(edges)).select(F.size(F.filter("e", lambda e: e <= F.col(name))).alias("b"), F.col(label).alias("y"))
-        c = b.groupBy("b", "y").agg(F.count("*").alias("n"))
-        every = Window.partitionBy()
-        p = c.withColumns({"pxy": F.col("n") / F.sum("n").over(every), "px": F.sum("n").over(Window.partitionBy("b")) / F.sum("n").over(every), "py": F.sum("n").over(Window.partitionBy("y")) / F.sum("n").over(every)})
-        row = p.agg(F.greatest(F.sum(F.col("pxy") * F.ln(F.col("pxy") / (F.col("px") * F.col("py")))), F.lit(0.0)).alias("mi")).select(F.lit(name).alias("feature"), "mi")
-        out = row if out is None else out.unionByName(row)
-    return out
+def mutual_information(rows: DataFrame, names: list[str], label: str = "label", k: int = 3) -> DataFrame:
+    """feature, mi: by nearest neighbours."""
+    return neighbour_information(rows, names, label, k)
 
 
 def weak_features(scores: DataFrame, least_mi: float = 0.001, fraction: float = 0.5) -> DataFrame:

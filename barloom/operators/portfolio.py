@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import quantiles
 from .windows import by, so_far, YEAR, change
 
 ROOT = math.sqrt(YEAR)
@@ -124,7 +125,9 @@ def monte_carlo(returns: DataFrame, initial: float = 100_000.0, horizon: int = 2
 
 
 def path_percentiles(paths: DataFrame) -> DataFrame:
-    return paths.groupBy("step").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p")).select("step", F.col("p")[0].alias("p5"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p95"))
+    """step, p5, p50, p95 of the paths' values."""
+    q = F.col("q")
+    return quantiles(paths, "value", [0.05, 0.5, 0.95], "step").select("step", q[0].alias("p5"), q[1].alias("p50"), q[2].alias("p95"))
 
 
 def recent_swings(bars: DataFrame, n: int = 60) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """new's rows, and old's where new has no row of the key."""
@@ -27,8 +29,8 @@ def insert_bars(old: DataFrame, new: DataFrame, order: list[Column]) -> DataFram
 
 def numbered(new: DataFrame, have: int | Column, *order: str) -> DataFrame:
     """With internal ids FIN-0001 and on, after the `have` that exist."""
-    n = F.row_number().over(Window.partitionBy().orderBy(*order))  # registrations: one row per listed symbol
-    return new.withColumn("internal_id", F.format_string("FIN-%04d", n + F.lit(have)))
+    out = ordered.numbered(new, list(order), "|n")
+    return out.withColumn("internal_id", F.format_string("FIN-%04d", F.col("`|n`") + F.lit(have))).drop("|n")
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
