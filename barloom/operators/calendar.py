@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,21 @@ def is_trading_day(d: Column) -> Column:
     return (F.weekday(d) < 5) & ~F.date_format(d, "yyyy-MM-dd").isin(*HOLIDAYS)
 
 
+def _closed_runs(holidays) -> int:
+    """The longest run of days without trading: weekends and holidays that lie side by side."""
+    days = sorted(dt.date.fromisoformat(h) for h in holidays)
+    shut = {d + dt.timedelta(k) for d in days for k in range(-9, 10) if (d + dt.timedelta(k)).weekday() > 4} | set(days)
+    longest = run = 0
+    before = None
+    for d in sorted(shut):
+        run = run + 1 if before is not None and (d - before).days == 1 else 1
+        longest, before = max(longest, run), d
+    return max(longest, 2)
+
+
 def _step(d: Column, sign: int) -> Column:
-    # the longest run of closed days is well under a fortnight
-    days = F.transform(F.sequence(F.lit(1), F.lit(14)), lambda n: F.date_add(d, (n * sign).cast("int")))
+    # one day more than the longest run of closed days, whatever the holidays are, so there always is an answer
+    days = F.transform(F.sequence(F.lit(1), F.lit(_closed_runs(HOLIDAYS) + 1)), lambda n: F.date_add(d, (n * sign).cast("int")))
     return F.get(F.filter(days, is_trading_day), F.lit(0))
 
 

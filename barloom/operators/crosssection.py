@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import indicators as ind
+from . import indicators as ind, ordered
 from .portfolio import growth
 from .windows import by, so_far, YEAR, change, last, rolling
 
@@ -84,11 +86,56 @@ def sector_relative(bars: DataFrame, least: int = 2) -> DataFrame:
     )
 
 
-def correlation_matrix(bars: DataFrame) -> DataFrame:
-    """a, b, corr of daily returns on shared dates, in both orders. Symbols are a bounded dimension; joined by date, each pair once."""
+#: Symbols of a column block of the return matrix.
+GRAM = 256
+
+
+def correlation_matrix(bars: DataFrame, width: int = GRAM) -> DataFrame:
+    """a, b, corr of daily returns on shared dates, in both orders.
+
+    Returns are a matrix of dates and symbols, cut into blocks of `width` symbols. A date meets a date only as a whole row of
+    two blocks, and a pair of blocks gives one matrix product for each sum (n, x, y, xx, yy, xy, missing returns left out), which
+    tasks add up over their dates before anything is shuffled. So no pair of rows is joined on dates.
+    """
     r = bars.withColumn("ret", change(F.col("close"))).where("ret is not null").select("symbol", "d", "ret")
-    pairs = r.withColumnsRenamed({"symbol": "a", "ret": "x"}).join(r.withColumnsRenamed({"symbol": "b", "ret": "y"}), "d").where("a <= b")
-    half = pairs.groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
+    symbols = ordered.numbered(r.select("symbol").distinct(), ["symbol"], "i").withColumn("i", F.col("i") - 1)
+    # returns about their symbol's mean: sums of squares then lose no digits
+    mean = r.groupBy("symbol").agg(F.avg("ret").alias("m"))
+    r = r.join(symbols.join(mean, "symbol"), "symbol").withColumn("ret", F.col("ret") - F.col("m"))
+    rows = r.groupBy("d", F.floor(F.col("i") / width).cast("int").alias("block")).agg(F.collect_list(F.struct((F.col("i") % width).cast("int").alias("k"), F.col("ret").alias("x"))).alias("row"))
+    left, right = rows.select("d", F.col("block").alias("p"), F.col("row").alias("u")), rows.select("d", F.col("block").alias("q"), F.col("row").alias("v"))
+    pairs = left.join(right, "d").where("p <= q").select("p", "q", "u", "v")  # blocks squared for each date, a row being a block wide
+
+    def run(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+
+        def dense(col, n):
+            out = np.full((n, width), np.nan)
+            flat = col.flatten()
+            out[np.repeat(np.arange(n), np.diff(col.offsets.to_numpy())), flat.field("k").to_numpy()] = flat.field("x").to_numpy()
+            return out
+
+        for b in batches:
+            n = len(b)
+            p, q, u, v = b.column(0).to_numpy(), b.column(1).to_numpy(), dense(b.column(2), n), dense(b.column(3), n)
+            for key in set(zip(p.tolist(), q.tolist())):
+                of = (p == key[0]) & (q == key[1])
+                x, y = u[of], v[of]
+                hx, hy = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+                x, y = np.nan_to_num(x), np.nan_to_num(y)
+                got = np.stack([hx.T @ hy, x.T @ hy, hx.T @ y, (x * x).T @ hy, hx.T @ (y * y), x.T @ y])
+                sums[key] = sums[key] + got if key in sums else got
+        for (p, q), got in sums.items():
+            a, c = np.nonzero(got[0])
+            cols = [pa.array(a + p * width), pa.array(c + q * width), *(pa.array(s[a, c]) for s in got)]
+            yield pa.RecordBatch.from_arrays(cols, names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    made = pairs.mapInArrow(run, "i long, j long, n double, x double, y double, xx double, yy double, xy double").where("i <= j").groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")))
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    cov, vx, vy = F.col("xy") - x * y / n, F.col("xx") - x * x / n, F.col("yy") - y * y / n
+    corr = F.when((n > 1) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+    names = lambda k, c: symbols.select(F.col("symbol").alias(c), F.col("i").alias(k))
+    half = made.join(names("i", "a"), "i").join(names("j", "b"), "j").select("a", "b", F.when(F.col("i") == F.col("j"), F.when(n > 1, F.lit(1.0))).otherwise(corr).alias("corr"))
     # a pair stands in both orders, made from one sum
     return half.select(F.explode(F.array_distinct(F.array(F.struct("a", "b", "corr"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "corr")))).alias("p")).select("p.*")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import math
 import random
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
@@ -18,7 +19,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import boosting, evaluation as ev, trees
+from ..sources import tables
+from . import boosting, evaluation as ev, ordered, tpe, trees
 from .crosssection import label_correlation, top_fraction
 from .ordered import neighbour_information
 
@@ -81,14 +83,17 @@ def fold_summary(scores: DataFrame, metric: str) -> DataFrame:
     return scores.agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"), F.count(metric).alias("n"))
 
 
-def walk_forward(rows: DataFrame, names: list[str], train: int = 252, test: int = 21, family: str = "random_forest", params: dict | None = None, expanding: bool = False) -> DataFrame:
-    """Predictions of all test windows of the rows of one symbol or many, by position of the date among all dates; the window moves by the test length.
+def walk_forward(rows: DataFrame, names: list[str], train: int = 252, test: int = 21, family: str = "random_forest", params: dict | None = None, expanding: bool = False, step: int | None = None) -> DataFrame:
+    """Predictions of all test windows of the rows of one symbol or many, by position of the date among all dates; the window moves by `step` dates (the test length).
 
     A model learns from every symbol's rows of its training dates. The models don't depend on each other, so several are fitted at a time.
     """
+    spark = rows.sparkSession
     w = Window.partitionBy().orderBy("d")  # one row per date
     days = rows.select("d").distinct().withColumn("pos", F.row_number().over(w) - 1)
-    rows = rows.join(F.broadcast(days), "d").select(*rows.columns, "pos").cache()
+    path = tables.shared(spark, "windows")
+    rows.join(F.broadcast(days), "d").select(*rows.columns, "pos").write.parquet(path)
+    rows = spark.read.parquet(path)
     n = rows.agg(F.max("pos")).first()[0]
 
     def window(k: int, start: int) -> DataFrame:
@@ -96,26 +101,30 @@ def walk_forward(rows: DataFrame, names: list[str], train: int = 252, test: int
         model = fit(family, params or {}, rows.where(f"pos >= {lo} and pos < {start + train}"), names)
         return predict(model, rows.where(f"pos >= {start + train} and pos < {start + train + test}")).withColumn("fold", F.lit(k))
 
-    starts = range(0, (n + 1 if n is not None else 0) - train - test + 1, test)
+    starts = range(0, (n + 1 if n is not None else 0) - train - test + 1, step or test)
     with ThreadPool(FITS) as pool:
-        parts = pool.starmap(inheritable_thread_target(rows.sparkSession)(window), enumerate(starts))
+        parts = pool.starmap(inheritable_thread_target(spark)(window), enumerate(starts))
     return functools.reduce(DataFrame.unionByName, parts) if parts else rows.limit(0).withColumns({"probability": F.lit(0.0), "predicted": F.lit(0), "actual": F.lit(0), "fold": F.lit(0)})
 
 
 def rolling_origin(rows: DataFrame, names: list[str], least: int, step: int = 5, family: str = "random_forest", params: dict | None = None) -> DataFrame:
-    """One row ahead, from each origin `step` rows after the last."""
-    return walk_forward(rows, names, least, 1, family, params, expanding=True).where(F.col("fold") % step == 0)
+    """One date ahead, from every `step`-th origin, learning from all dates before it."""
+    return walk_forward(rows, names, least, 1, family, params, expanding=True, step=step)
 
 
-def draw(family: str, rng: random.Random) -> dict:
-    return {"trees": rng.choice([10, 20, 40]), "depth": rng.randint(2, 6), "step": rng.choice([0.05, 0.1, 0.2]), "reg": rng.choice([0.0, 0.01, 0.1])}
+#: What a search varies, by family.
+SPACES: dict[str, tpe.Space] = {
+    "logistic": {"reg": tpe.Span(1e-4, 1.0, log=True)},
+    "random_forest": {"trees": tpe.Span(10, 80, log=True, whole=True), "depth": tpe.Span(2, 8, whole=True)},
+    **{k: {"trees": tpe.Span(5, 60, log=True, whole=True), "depth": tpe.Span(2, 6, whole=True), "step": tpe.Span(0.02, 0.4, log=True)} for k in ("gradient_boosting", *BOOSTED)},
+}
 
 
-def tune(family: str, rows: DataFrame, names: list[str], trials: int = 10, n_folds: int = 5, metric: str = "roc_auc") -> tuple[dict, list[dict]]:
-    """Seeded random search; the best parameters and a log of every trial."""
-    rng, spans, log = random.Random(SEED), folds(rows, n_folds), []
+def tune(family: str, rows: DataFrame, names: list[str], trials: int = 10, n_folds: int = 5, metric: str = "roc_auc", seed: int = SEED) -> tuple[dict, list[dict]]:
+    """Seeded search by Parzen estimators; the best parameters and a log of every trial."""
+    rng, spans, log = random.Random(seed), folds(rows, n_folds), []
     for trial in range(trials):
-        params = draw(family, rng)
+        params = tpe.suggest(SPACES[family], [(t["params"], t[metric]) for t in log], rng)
         scores = fold_scores(family, params, rows, names, spans)
         got = [s[metric] for s in scores if s.get(metric) is not None]
         log.append({"family": family, "trial": trial, "params": params, "fold_metrics": got, metric: sum(got) / len(got) if got else None})
@@ -163,7 +172,9 @@ def importance_stability(rows: DataFrame, names: list[str], n_folds: int = 5, fa
 def permutation_importance(model: Model, rows: DataFrame, names: list[str], repeats: int = 3) -> DataFrame:
     """feature, drop in accuracy when its values are dealt anew by a seeded order."""
     acc = lambda df: predict(model, df).agg(F.avg((F.col("predicted") == F.col("actual")).cast("double"))).first()[0]
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("symbol").orderBy("d"))).cache()
+    path = tables.shared(rows.sparkSession, "permuted")
+    rows.withColumn("_i", F.row_number().over(Window.partitionBy("symbol").orderBy("d"))).write.parquet(path)
+    rows = rows.sparkSession.read.parquet(path)
     base, out = acc(rows), []
     for name in names:
         drops = []
@@ -185,11 +196,42 @@ def weak_features(scores: DataFrame, least_mi: float = 0.001, fraction: float =
     return scores.withColumns({"rank": F.row_number().over(w.orderBy("importance", "feature")), "n": F.count("*").over(w)}).where((F.col("mi") < least_mi) & (F.col("rank") <= F.floor(F.col("n") * fraction))).select("feature", "mi", "importance")
 
 
-def stability(model: Model, row: DataFrame, names: list[str], trials: int = 20, noise: float = 0.05) -> DataFrame:
-    """0 to 100: how little probabilities move when features are shaken by noise times their size; seeded."""
-    shaken = row.select("*", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial")).withColumns({n: F.col(n) * (1 + noise * F.randn(SEED + i)) for i, n in enumerate(names)})
+def normal(seed: int, *keys: Column) -> Column:
+    """A normal draw that follows from its keys alone: two hashes, by Box and Muller. A task that runs again draws the same."""
+    even = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.sqrt(-2 * F.ln(even(0))) * F.cos(2 * math.pi * even(1))
+
+
+def stability(model: Model, rows: DataFrame, names: list[str], trials: int = 20, noise: float = 0.05, keys: tuple[str, ...] = ("symbol", "d")) -> DataFrame:
+    """keys, probability, probability_std, stability (0 to 100): how little a row's probability moves when its features are shaken by noise times their size."""
+    shaken = rows.select(*keys, *names, F.explode(F.sequence(F.lit(0), F.lit(trials))).alias("trial"))
+    at = [F.col(k) for k in (*keys, "trial")]
+    shaken = shaken.withColumns({n: F.when(F.col("trial") == 0, F.col(n)).otherwise(F.col(n) + noise * (F.abs(F.col(n)) + 1e-6) * normal(SEED, F.lit(n), *at)) for n in names})  # trial 0 is the row itself
     p = predict(model, shaken.withColumn("label", F.lit(0.0)))
-    return p.groupBy("symbol").agg(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - F.stddev_pop("probability") / 0.25 * 100)).alias("stability"))
+    spread = F.coalesce(F.stddev_pop(F.when(F.col("trial") > 0, F.col("probability"))), F.lit(0.0))
+    out = p.groupBy(*keys).agg(F.max(F.when(F.col("trial") == 0, F.col("probability"))).alias("probability"), spread.alias("probability_std"))
+    return out.withColumn("stability", F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - F.col("probability_std") / 0.25 * 100)))
+
+
+def bundle(family: str, params: dict, rows: DataFrame, names: list[str], n_folds: int = 3, metric: str = "roc_auc", top: int = 10) -> DataFrame:
+    """section, item, value of one model version: metrics and confusion cells of held-out dates, the metric of each expanding fold (the learning
+    curve), importances, mean absolute attributions over all held-out rows, features that leak, and those of them among the top attributions."""
+    spark = rows.sparkSession
+    parts = ev.chronological_split(rows, 0.7, 0.15)
+    train, test = (parts.where(F.col("part") == p).drop("part") for p in ("train", "test"))
+    model = fit(family, params, train, names)
+    scored = predict(model, test)
+    metrics = ev.classification(scored)
+    out = metrics.unpivot([], metrics.columns, "item", "value").select(F.lit("metric").alias("section"), "item", F.col("value").cast("double").alias("value"))
+    cells = ev.confusion(scored)
+    out = out.unionByName(cells.select(F.lit("confusion").alias("section"), F.concat(F.lit("n_"), F.col("actual").cast("string"), F.col("predicted").cast("string")).alias("item"), F.col("n").cast("double").alias("value")))
+    curve = [("learning_curve", str(s["fold"]), s.get(metric)) for s in fold_scores(family, params, train, names, folds(train, n_folds))]
+    weights = [("importance", k, float(v)) for k, v in importance(model, names).items()]
+    impact = {r["feature"]: r["v"] for r in explain(model, test, names, None).groupBy("feature").agg(F.avg(F.abs("effect")).alias("v")).collect()}  # a row for each feature
+    leaks = {r["feature"] for r in label_correlation(train, names).where("leak").collect()}
+    first = sorted(impact, key=lambda k: (-impact[k], k))[:top]
+    rest = [("attribution", k, float(v)) for k, v in impact.items()] + [("leak", k, 1.0) for k in sorted(leaks)] + [("leak_in_top", k, 1.0) for k in first if k in leaks]
+    return out.unionByName(spark.createDataFrame(curve + weights + rest, "section string, item string, value double"))
 
 
 def explain(model: Model, rows: DataFrame, names: list[str], top: int | None = 5) -> DataFrame:

@@ -299,8 +299,10 @@ def system_health(spark, sf):
 
 
 def _rows(spark, sf):
-    """The v1 dataset of all symbols."""
-    return features.dataset(fx.bars(spark, sf), "v1").cache()
+    """The v1 dataset of all symbols, written down once: fits read it many times."""
+    path = tables.shared(spark, "rows")
+    features.dataset(fx.bars(spark, sf), "v1").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query()
@@ -316,10 +318,7 @@ def model_cv(spark, sf):
 @query()
 def model_walk_forward(spark, sf):
     """Predictions of all walk-forward windows, by date over all symbols."""
-    # dozens of models are fitted on these rows: read from a table, they have a short plan that the driver keeps for each
-    path = tables.shared(spark, "walk")
-    features.dataset(fx.bars(spark, sf), "v1").write.parquet(path)
-    return ml.walk_forward(spark.read.parquet(path), features.BASE, 252, 42, params={"trees": 10, "depth": 3}).select("symbol", "d", "fold", "probability", "predicted", "actual")
+    return ml.walk_forward(_rows(spark, sf), features.BASE, 252, 42, params={"trees": 10, "depth": 3}).select("symbol", "d", "fold", "probability", "predicted", "actual")
 
 
 @query()
@@ -369,11 +368,43 @@ def model_nested_cv(spark, sf):
 
 @query()
 def model_tuning(spark, sf):
-    """Every trial of a seeded search; the best is marked."""
-    best, log = ml.tune("logistic", _rows(spark, sf), features.BASE, 3, 2)
+    """Every trial of a seeded search by Parzen estimators; the best is marked."""
+    best, log = ml.tune("logistic", _rows(spark, sf), features.BASE, 7, 2)
     return spark.createDataFrame([(t["trial"], t["params"]["reg"], t["roc_auc"], t["params"] == best) for t in log], "trial int, reg double, roc_auc double, best boolean")
 
 
+@query()
+def model_rolling_origin(spark, sf):
+    """One date ahead of every 250th origin, learning from all dates before."""
+    return ml.rolling_origin(_rows(spark, sf), features.BASE, 504, 250, "logistic").select("symbol", "d", "fold", "probability", "predicted", "actual")
+
+
+def newest_stability(spark, sf):
+    """How stable a forest's prediction for each symbol's newest row is."""
+    rows = _rows(spark, sf)
+    model = ml.fit("random_forest", {"trees": 10, "depth": 3}, rows, features.BASE)
+    newest = features.build(fx.bars(spark, sf), "v1").withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("d")))).where("n = 1").drop("n")
+    return ml.stability(model, newest, features.BASE)
+
+
+@query()
+def prediction_stability(spark, sf):
+    """Spread of each symbol's newest probability when its features are shaken; the draws follow from symbol, date, trial and feature."""
+    return newest_stability(spark, sf)
+
+
+@query()
+def risk_with_model(spark, sf):
+    """risk_assessment with the stability of a model's predictions: they make up 40 % of the score, and unstable ones raise the level."""
+    r = risk_assessment(spark, sf).join(newest_stability(spark, sf).select("symbol", "stability"), "symbol", "left")
+    s, vs = F.coalesce("stability", F.lit(50.0)), F.col("volatility_score")
+    clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
+    return r.select(
+        "symbol", "volatility", "volatility_score", s.alias("stability"), clip(0.6 * vs + 0.4 * (100 - s)).alias("risk_score"), bands.escalated(F.col("risk_level"), s).alias("risk_level"),
+        clip((100 - s) * 0.3 + vs * 0.1).alias("confidence_penalty"), "market_regime",
+    )
+
+
 @query()
 def model_permutation(spark, sf):
     """Fall in accuracy when a feature's values are dealt anew."""

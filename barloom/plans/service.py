@@ -51,13 +51,8 @@ def next_session(spark, sf):
 
 @query()
 def evaluation_bundle(spark, sf):
-    """Metrics of a held-out part as long rows, with the confusion cells."""
-    rows = ev.chronological_split(_rows(spark, sf), 0.7, 0.15)
-    model = ml.fit("random_forest", {"trees": 10, "depth": 3}, rows.where("part = 'train'").drop("part"), features.BASE)
-    test = ml.predict(model, rows.where("part = 'test'").drop("part"))
-    metrics = ev.classification(test)
-    cells = ev.confusion(test).select(F.concat(F.lit("n_"), F.col("actual").cast("string"), F.col("predicted").cast("string")).alias("metric"), F.col("n").cast("double").alias("value"))
-    return metrics.unpivot([], metrics.columns, "metric", "value").unionByName(cells)
+    """Metrics, confusion cells, learning curve, importances, attributions and leaks of one model version, as long rows."""
+    return ml.bundle("random_forest", {"trees": 10, "depth": 3}, _rows(spark, sf), features.BASE)
 
 
 @query("SELECT p_brand AS key, var_pop(p_retailprice) AS fold_variance, stddev_pop(p_size) AS probability_std, greatest(avg((p_size >= 25)::int), 1 - avg((p_size >= 25)::int)) AS agreement FROM part GROUP BY 1", "fold_variance probability_std agreement")
