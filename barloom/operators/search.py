@@ -83,12 +83,71 @@ def matched(query: Column, symbol: Column, name: Column, tier_: Column) -> Colum
     return F.when(tier_ < 8, F.coalesce(by_symbol, F.regexp_substr(name, words)))
 
 
-def search_many(index: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
-    """The best rows for each of many queries (column q), tiers 1 to 7. A table of queries of any size: see `lookup.matches`."""
+#: Letters, rare ones first; others, digits for one, come before them all.
+RARE = "qzjxkvbywgpfmucdlhrsnioate"
+#: Least share of the letters of two words, taken together, that must be in their common subsequence (twice) for FUZZY_LEAST.
+_SHARE = FUZZY_LEAST / 200
+
+
+def _tokens(word: Column) -> Column:
+    """The letters of a word, each with the number of its occurrence, rare letters first: two words share as many as their common multiset has."""
+    chars = F.split(word, "")
+    numbered_ = F.transform(chars, lambda c, i: F.struct(F.instr(F.lit(RARE), F.lower(c)).alias("o"), c.alias("c"), F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).alias("n")))
+    return F.transform(F.array_sort(numbered_), lambda t: F.concat(t["c"], t["n"].cast("string")))
+
+
+def alike(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(q, n): pairs of words of left (q) and right (n), both distinct, that may reach FUZZY_LEAST; none that does is missing.
+
+    A common subsequence of k letters means k letters in common, as multisets. So among the words' letters in one order (rare ones first),
+    the first |q| - k + 1 of one and the first |n| - k + 1 of the other have one in common. These are joined by both lengths and letter.
+    """
+    longest = F.lit((1 - _SHARE) / _SHARE)  # neither word is more times longer: its common letters are the shorter one's at most
+
+    def keyed(df: DataFrame, c: str, own: str, other: str) -> DataFrame:
+        size = F.length(c)
+        df = df.where(size > 0).select(c, size.alias(own), F.explode(F.sequence(F.ceil(size / longest).cast("int"), F.floor(size * longest).cast("int"))).alias(other))
+        k = F.ceil(F.lit(_SHARE) * (F.col(own) + F.col(other)) - 1e-9)
+        df = df.where((k <= F.col(own)) & (k <= F.col(other)))
+        return df.select(c, own, other, F.explode(F.slice(_tokens(F.col(c)), F.lit(1), (F.col(own) - k + 1).cast("int"))).alias("t"))
+
+    return keyed(left, "q", "lq", "ln").join(keyed(right, "n", "ln", "lq"), ["lq", "ln", "t"]).select("q", "n").distinct()
+
+
+def fuzzy_many(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, q, clean, score) of all names that score FUZZY_LEAST or more for queries (asked, q).
+
+    A score is the mean of each query word's best ratio, so some word reaches FUZZY_LEAST with a word of the name: names with such a word are scored, others can't be hits.
+    """
+    queries = asked.where("q <> ''").select("asked", "q", F.explode(F.split("q", " ")).alias("w"))
+    names = index.select("clean").where("clean <> ''").distinct()
+    words = names.select("clean", F.explode(F.array_distinct(F.split("clean", " "))).alias("n"))
+    pairs = alike(queries.select(F.col("w").alias("q")).distinct(), words.select("n").distinct())
+
+    @F.pandas_udf("double")
+    def ratios(q: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([fuzzy.ratio(a, b) for a, b in zip(q, n)], dtype=float)
+
+    @F.pandas_udf("double")
+    def scores(q: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([fuzzy.token_score(a.split(), b.split()) for a, b in zip(q, n)], dtype=float)
+
+    near = pairs.where(ratios("q", "n") >= FUZZY_LEAST).withColumnRenamed("q", "w")
+    candidates = queries.join(near, "w").join(words, "n").select("asked", "q", "clean").distinct()
+    return candidates.withColumn("score", scores("q", "clean")).where(F.col("score") >= FUZZY_LEAST)
+
+
+def search_many(index: DataFrame, queries: DataFrame, limit: int = 5, fuzzy_too: bool = False) -> DataFrame:
+    """The best rows for each of many queries (column q): tiers 1 to 7, and with fuzzy_too tier 8, by score, for names that no tier fits. A table of queries of any size: see `lookup.matches`."""
     from pyspark.sql import Window
 
     from .lookup import matches
 
-    rows = matches(queries.select(F.col("q").alias("asked"), normalize_query(F.col("q")).alias("q")).distinct().where("q <> ''"), index)
-    w = Window.partitionBy("asked").orderBy("tier", "name", "symbol")
+    asked = queries.select(F.col("q").alias("asked"), normalize_query(F.col("q")).alias("q")).distinct().where("q <> ''")
+    rows = matches(asked, index).withColumn("score", F.lit(0.0))
+    if fuzzy_too:
+        guess = F.col("q").rlike("^[A-Za-z]+$") & (F.length("q") <= GUESS)
+        found = fuzzy_many(index, asked.where(~guess)).join(index, "clean").join(rows.select("asked", "symbol"), ["asked", "symbol"], "left_anti").withColumn("tier", F.lit(8))
+        rows = rows.unionByName(found.select(rows.columns))
+    w = Window.partitionBy("asked").orderBy("tier", F.desc("score"), "name", "symbol")
     return rows.withColumn("rank", F.row_number().over(w)).where(f"rank <= {limit}")

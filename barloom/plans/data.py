@@ -225,6 +225,14 @@ def ranked_search(spark, sf):
     return search.search_many(search.prepare(fx.listing(spark, sf)), asked).select("asked", "symbol", "tier", "rank")
 
 
+@query()
+def fuzzy_search_many(spark, sf):
+    """Best hits, fuzzy ones too, of misspelt names: every listing's name with a letter left out of each word."""
+    listing = fx.listing(spark, sf)
+    misspelt = F.array_join(F.transform(F.split("name", " "), lambda w: F.concat(F.substr(w, F.lit(1), F.lit(2)), F.substr(w, F.lit(4), F.length(w)))), " ")
+    return search.search_many(search.prepare(listing), listing.select(misspelt.alias("q")).distinct(), fuzzy_too=True).select("asked", "symbol", "tier", "score", "rank")
+
+
 @query()
 def fuzzy_search(spark, sf):
     """One search with fuzzy scores for names that no tier fits; scores are tested against plain Python."""

@@ -164,9 +164,13 @@ def portfolio_returns(spark, sf):
     return pf.daily_returns(fx.bars(spark, sf), w.join(w.agg(F.min("portfolio_id").alias("portfolio_id")), "portfolio_id", "left_semi"))
 
 
-@query(_PORT + " SELECT * FROM dr", "ret")
+_ALL = _RETURNS + ", dr AS (SELECT portfolio_id, d, sum(ret * weight) AS ret FROM rr JOIN pos USING (symbol) WHERE ret IS NOT NULL GROUP BY portfolio_id, d)"
+
+
+@query(_ALL + " SELECT * FROM dr", "ret")
 def portfolio_daily_returns(spark, sf):
-    return portfolio_returns(spark, sf)
+    """Of all portfolios."""
+    return pf.daily_returns(fx.bars(spark, sf), weights(spark, sf), "portfolio_id")
 
 
 @query(
@@ -183,15 +187,16 @@ def portfolio_risk(spark, sf):
 
 
 @query(
-    _PORT + """, bm AS (SELECT d, avg(ret) AS b FROM rr WHERE ret IS NOT NULL GROUP BY d), j AS (SELECT d, ret, b FROM dr JOIN bm USING (d))
- SELECT d, sum(CASE WHEN 1 + ret > 0 THEN ln(1 + ret) ELSE '-inf'::double END) OVER w AS portfolio, sum(CASE WHEN 1 + b > 0 THEN ln(1 + b) ELSE '-inf'::double END) OVER w AS benchmark FROM j WINDOW w AS (ORDER BY d)""",
+    _ALL + """, bm AS (SELECT d, avg(ret) AS b FROM rr WHERE ret IS NOT NULL GROUP BY d), j AS (SELECT portfolio_id, d, ret, b FROM dr JOIN bm USING (d))
+ SELECT portfolio_id, d, sum(CASE WHEN 1 + ret > 0 THEN ln(1 + ret) ELSE '-inf'::double END) OVER w AS portfolio, sum(CASE WHEN 1 + b > 0 THEN ln(1 + b) ELSE '-inf'::double END) OVER w AS benchmark FROM j WINDOW w AS (PARTITION BY portfolio_id ORDER BY d)""",
     "portfolio benchmark",
 )
 def portfolio_vs_benchmark(spark, sf):
-    """Logs of both curves on all shared dates."""
+    """Logs of both curves on all shared dates, of all portfolios."""
     bench = fx.bars(spark, sf).withColumn("ret", change(F.col("close"))).where("ret is not null").groupBy("d").agg(F.avg("ret").alias("b"))
-    w = Window.partitionBy().orderBy("d").rowsBetween(Window.unboundedPreceding, 0)  # one row per date
-    return portfolio_returns(spark, sf).join(bench, "d").select("d", F.sum(pf.growth(F.col("ret"))).over(w).alias("portfolio"), F.sum(pf.growth(F.col("b"))).over(w).alias("benchmark"))
+    w = Window.partitionBy("portfolio_id").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    returns = pf.daily_returns(fx.bars(spark, sf), weights(spark, sf), "portfolio_id")
+    return returns.join(bench, "d").select("portfolio_id", "d", F.sum(pf.growth(F.col("ret"))).over(w).alias("portfolio"), F.sum(pf.growth(F.col("b"))).over(w).alias("benchmark"))
 
 
 _PATHS = _PORT + """, h AS (SELECT ret, row_number() OVER (ORDER BY d) - 1 AS k, count(*) OVER () AS n FROM dr), dw AS (SELECT sim, step, ('0x' || substr(md5('42:' || sim || ':' || step), 1, 12))::bigint % (SELECT any_value(n) FROM h) AS k FROM range(500) a(sim), range(1, 253) b(step)),
