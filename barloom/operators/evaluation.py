@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -272,3 +273,19 @@ def promote(challenger: dict, champion: dict | None, alpha: float = 0.05, max_la
         p = wilcoxon_greater(diff)
         better = p is not None and p < alpha and sum(diff) > 0
     return checks | {"promote": better and all(checks.values()), "p_value": p, "statistically_superior": better}
+
+
+def promotions(models: DataFrame, alpha: float = 0.05, max_latency_ms: float = 200.0, max_ece: float = 0.15) -> DataFrame:
+    """models (fold_metrics, champion_metrics, ece, latency_ms) with p_value and promote: many decisions at once, a few folds in each."""
+
+    @F.pandas_udf("double")
+    def p_value(a: pd.Series, b: pd.Series) -> pd.Series:
+        paired = [(list(x), list(y)) if x is not None and y is not None else ([], []) for x, y in zip(a, b)]
+        return pd.Series([wilcoxon_greater([u - v for u, v in zip(x, y)]) if len(x) == len(y) >= 3 else None for x, y in paired], dtype=float)
+
+    folds, champion = F.col("fold_metrics"), F.col("champion_metrics")
+    sound = (F.size(folds) >= 3) & F.forall(folds, lambda x: x.isNotNull() & ~F.isnan(x)) & (F.col("ece") <= max_ece) & (F.col("latency_ms") <= max_latency_ms)
+    total = F.aggregate(F.zip_with(folds, champion, lambda x, y: x - y), F.lit(0.0), lambda s, x: s + x)
+    df = models.withColumn("p_value", p_value("fold_metrics", "champion_metrics"))
+    better = F.coalesce((F.col("p_value") < alpha) & (total > 0), F.lit(False))
+    return df.withColumn("promote", F.coalesce(sound & (champion.isNull() | better), F.lit(False)))

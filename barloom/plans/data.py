@@ -106,10 +106,19 @@ def dataset_summary(spark, sf):
 _DAYS = f"days AS (SELECT unnest(generate_series(TIMESTAMP '2025-12-20', TIMESTAMP '2026-12-31', INTERVAL 1 DAY))::date AS d), t AS (SELECT d, isodow(d) < 6 AND d NOT IN ({', '.join(f'DATE {chr(39)}{x}{chr(39)}' for x in cal.HOLIDAYS)}) AS trading FROM days)"
 
 
-@query(f"WITH {_DAYS} SELECT d, trading, (SELECT min(x.d) FROM t x WHERE x.trading AND x.d > t.d) AS next_d, (SELECT max(x.d) FROM t x WHERE x.trading AND x.d < t.d) AS prev_d FROM t WHERE d BETWEEN DATE '2026-01-01' AND DATE '2026-12-20'")
+#: Dates of shipments, moved into the year of the holidays.
+_SHIPPED = "q AS (SELECT DISTINCT DATE '2026-01-01' + (date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS date)) % 353)::int AS d FROM lineitem)"
+
+
+def shipped(spark, sf):
+    day = F.pmod(F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")), F.lit(353))
+    return fx.table(spark, sf, "lineitem").select(F.date_add(F.lit("2026-01-01").cast("date"), day).alias("d")).distinct()
+
+
+@query(f"WITH {_DAYS}, {_SHIPPED} SELECT d, trading, (SELECT min(x.d) FROM t x WHERE x.trading AND x.d > t.d) AS next_d, (SELECT max(x.d) FROM t x WHERE x.trading AND x.d < t.d) AS prev_d FROM t WHERE d IN (SELECT d FROM q)")
 def trading_days(spark, sf):
     c = F.col("d")
-    return cal.dates(spark, "2026-01-01", "2026-12-20").select("d", cal.is_trading_day(c).alias("trading"), cal.next_trading_day(c).alias("next_d"), cal.previous_trading_day(c).alias("prev_d"))
+    return shipped(spark, sf).select("d", cal.is_trading_day(c).alias("trading"), cal.next_trading_day(c).alias("next_d"), cal.previous_trading_day(c).alias("prev_d"))
 
 
 _LOCAL = "(ts + INTERVAL '5 hours 30 minutes')"
@@ -120,10 +129,10 @@ def market_phase(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", cal.phase(F.col("ts")).alias("phase"))
 
 
-@query(f"WITH {_DAYS} SELECT d, (SELECT count(*) FROM t x WHERE x.trading AND x.d > prev.pd AND x.d <= DATE '2026-06-30')::int AS behind, CASE (SELECT count(*) FROM t x WHERE x.trading AND x.d > prev.pd AND x.d <= DATE '2026-06-30') WHEN 0 THEN 'Fresh' WHEN 1 THEN 'Delayed' ELSE 'Stale' END AS freshness FROM t, LATERAL (SELECT t.d AS pd) prev WHERE d BETWEEN DATE '2026-06-01' AND DATE '2026-07-03' AND trading")
+@query(f"WITH {_DAYS}, {_SHIPPED}, b AS (SELECT d, least(60, (SELECT count(*) FROM t x WHERE x.trading AND x.d > q.d AND x.d <= DATE '2026-06-30'))::int AS behind FROM q) SELECT d, behind, CASE behind WHEN 0 THEN 'Fresh' WHEN 1 THEN 'Delayed' ELSE 'Stale' END AS freshness FROM b")
 def freshness(spark, sf):
-    """Of trading days as the newest bar, against the session of June 30th."""
-    df = cal.dates(spark, "2026-06-01", "2026-07-03").where(cal.is_trading_day(F.col("d"))).withColumn("behind", cal.days_behind(F.col("d"), F.lit("2026-06-30").cast("date")))
+    """Of dates as the newest bar's, against the session of June 30th."""
+    df = shipped(spark, sf).withColumn("behind", cal.days_behind(F.col("d"), F.lit("2026-06-30").cast("date")))
     return df.select("d", "behind", cal.freshness(F.col("behind")).alias("freshness"))
 
 
@@ -163,13 +172,17 @@ def exchanges(spark, sf):
 _FAIL = [("Read TIMEOUT", "OSError"), ("HTTP 429", "HTTPError"), ("Rate limit hit", "HTTPError"), ("401 denied", "HTTPError"), ("Auth token", "ValueError"), ("404", "HTTPError"), ("thing not found", "KeyError"), ("reset by peer", "OSError"), ("404 missing columns", "MalformedResponse"), ("slow", "ReadTimed out")]
 
 
+_FAILED = "SELECT doc_id, " + str([m for m, _ in _FAIL]) + "[doc_id % 10 + 1] || ': ' || coalesce(text, '') AS m, " + str([e for _, e in _FAIL]) + "[doc_id % 10 + 1] AS error FROM documents"
+
+
 @query(
-    "SELECT m, error, CASE WHEN error = 'MalformedResponse' THEN 'malformed_response' WHEN contains(lower(m), 'timeout') OR contains(lower(error), 'timed out') THEN 'timeout' WHEN regexp_matches(lower(m), '429|rate limit|too many requests') THEN 'rate_limit' WHEN regexp_matches(lower(m), '401|403|auth') THEN 'auth' WHEN regexp_matches(lower(m), 'not found|404') THEN 'not_found' ELSE 'connection_error' END AS kind FROM (VALUES "
-    + ", ".join(f"('{m}', '{e}')" for m, e in _FAIL) + ") f(m, error)"
+    "SELECT doc_id, CASE WHEN error = 'MalformedResponse' THEN 'malformed_response' WHEN contains(lower(m), 'timeout') OR contains(lower(error), 'timed out') THEN 'timeout' WHEN regexp_matches(lower(m), '429|rate limit|too many requests') THEN 'rate_limit' WHEN regexp_matches(lower(m), '401|403|auth') THEN 'auth' WHEN regexp_matches(lower(m), 'not found|404') THEN 'not_found' ELSE 'connection_error' END AS kind FROM (" + _FAILED + ")"
 )
 def failure_types(spark, sf):
-    df = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(e).alias("error")) for m, e in _FAIL))).alias("x")).select("x.*")
-    return df.select("m", "error", text.failure_type(F.col("m"), F.col("error")).alias("kind"))
+    """Of messages that quote a response."""
+    k = F.pmod("doc_id", F.lit(10)).cast("int")
+    m = F.concat(F.get(F.array(*(F.lit(m) for m, _ in _FAIL)), k), F.lit(": "), F.coalesce("text", F.lit("")))
+    return fx.table(spark, sf, "documents").select("doc_id", text.failure_type(m, F.get(F.array(*(F.lit(e) for _, e in _FAIL)), k)).alias("kind"))
 
 
 _POS, _NEG = ("the", "and", "to"), ("of", "de", "in")
@@ -196,13 +209,18 @@ def unseen_headlines(spark, sf):
 
 
 _ASKED = ["how is my portfolio", "best pharma pick", "compare these", "what is rsi", "is the market up", "tell me about it", "hello", "best of all", "Top bank stock"]
-_NSYM = [0, 0, 2, 0, 0, 1, 0, 0, 0]
+_SAYS = lambda words: "regexp_matches(q, '\\b(" + "|".join(words) + ")\\b')"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(_ASKED, ["portfolio", "sector_recommendation", "comparison", "indicator", "market", "single_stock", "general", "general", "sector_recommendation"])) + ") t(question, intent)")
+@query(
+    f"SELECT p_partkey, CASE WHEN {_SAYS(text.PORTFOLIO)} THEN 'portfolio' WHEN n = 0 AND {_SAYS(text.RECOMMENDATION)} AND {_SAYS(text.SECTORS)} THEN 'sector_recommendation' WHEN n >= 2 THEN 'comparison' WHEN n = 0 AND {_SAYS(text.INDICATOR)} THEN 'indicator' WHEN n = 0 AND {_SAYS(text.MARKET)} THEN 'market' WHEN n > 0 THEN 'single_stock' ELSE 'general' END AS intent"
+    f" FROM (SELECT p_partkey, (p_partkey % 27) // 9 AS n, lower({_ASKED!r}[p_partkey % 9 + 1] || ' ' || p_name) AS q FROM part)"
+)
 def intents(spark, sf):
-    df = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(q).alias("question"), F.lit(n).alias("n")) for q, n in zip(_ASKED, _NSYM)))).alias("x")).select("x.*")
-    return df.select("question", text.intent(F.col("question"), F.col("n")).alias("intent"))
+    """Of questions about each part."""
+    k = F.col("p_partkey")
+    q = F.concat(F.get(F.array(*map(F.lit, _ASKED)), F.pmod(k, F.lit(9)).cast("int")), F.lit(" "), F.col("p_name"))
+    return fx.table(spark, sf, "part").select("p_partkey", text.intent(q, F.floor(F.pmod(k, F.lit(27)) / 9)).alias("intent"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, (CASE WHEN x < 0 THEN '-' ELSE '' END) || '₹' || CASE WHEN length(w) > 3 THEN reverse(rtrim(regexp_replace(reverse(w[:-4]), '(\\d\\d)', '\\1,', 'g'), ',')) || ',' || right(w, 3) ELSE w END || '.' || right(format('{:.2f}', abs(x)), 2) AS shown FROM (SELECT *, floor(abs(x))::bigint::varchar AS w FROM (SELECT l_orderkey, l_linenumber, l_partkey, (l_extendedprice - 30000) * 10 + .001 AS x FROM lineitem))")
@@ -366,8 +384,16 @@ def json_props(spark, sf):
 _TICKS = fx.using("ticks")
 
 
+def _seen(key: str) -> str:
+    """CTE s: the ticks in order, and whether a key is among the last 500 distinct ones of its symbol."""
+    return fx.using("ticks", recursive=True) + f""", o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY arrival) AS r FROM ticks),
+ w AS (SELECT symbol, r, [{key}] AS seen, false AS dup FROM o WHERE r = 1 UNION ALL
+  SELECT o.symbol, o.r, CASE WHEN list_contains(w.seen, o.{key}) THEN w.seen ELSE list_append(w.seen, o.{key})[-500:] END, list_contains(w.seen, o.{key}) FROM w JOIN o ON o.symbol = w.symbol AND o.r = w.r + 1),
+ s AS MATERIALIZED (SELECT o.*, w.dup FROM o JOIN w USING (symbol, r))"""
+
+
 @query(
-    _TICKS + """, s AS (SELECT *, row_number() OVER (PARTITION BY symbol, sequence_id ORDER BY arrival) > 1 AS dup FROM ticks),
+    _seen("sequence_id") + """,
  h AS (SELECT *, max(sequence_id) FILTER (NOT dup) OVER w AS last_seq, max(exchange_ts) FILTER (NOT dup) OVER w AS last_ts FROM s WINDOW w AS (PARTITION BY symbol ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
  SELECT symbol, sequence_id, arrival, CASE WHEN dup THEN 'DUPLICATE' WHEN last_seq IS NULL OR sequence_id = last_seq + 1 THEN 'ACCEPT' WHEN sequence_id > last_seq THEN 'GAP' WHEN exchange_ts >= last_ts THEN 'ACCEPT' ELSE 'OUT_OF_ORDER' END AS outcome,
   CASE WHEN NOT dup AND sequence_id > last_seq THEN sequence_id - last_seq - 1 ELSE 0 END AS gap FROM h"""
@@ -376,7 +402,7 @@ def tick_outcomes(spark, sf):
     return tk.classify(fx.ticks(spark, sf)).select("symbol", "sequence_id", "arrival", "outcome", "gap")
 
 
-_BYTIME = _TICKS + ", t AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY symbol, exchange_ts ORDER BY arrival) > 1 THEN 'DUPLICATE' WHEN exchange_ts > coalesce(max(exchange_ts) OVER (PARTITION BY symbol ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TIMESTAMP '1900-01-01') THEN 'ACCEPT' ELSE 'OUT_OF_ORDER' END AS outcome FROM ticks)"
+_BYTIME = _seen("exchange_ts") + ", t AS (SELECT *, CASE WHEN dup THEN 'DUPLICATE' WHEN exchange_ts > coalesce(max(exchange_ts) OVER (PARTITION BY symbol ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TIMESTAMP '1900-01-01') THEN 'ACCEPT' ELSE 'OUT_OF_ORDER' END AS outcome FROM s)"
 
 
 @query(_BYTIME + " SELECT symbol, sequence_id, arrival, outcome FROM t")

@@ -236,14 +236,22 @@ def keep_decision(spark, sf):
     return ev.keep_decision(m).select("p_partkey", "relative_improvement_pct", "keep")
 
 
-@query("SELECT 'better' AS challenger, true AS promote, 0.03125::double AS p_value UNION ALL SELECT 'mixed', false, 0.3125 UNION ALL SELECT 'first', true, NULL")
+@query(
+    """WITH m AS (SELECT p_brand AS challenger, p_size % 5 AS fold, avg(p_retailprice) AS v FROM part GROUP BY 1, 2), c AS (SELECT p_size % 5 AS fold, avg(p_retailprice) AS v FROM part GROUP BY 1),
+ r AS (SELECT challenger, m.v - c.v AS x, row_number() OVER (PARTITION BY challenger ORDER BY abs(m.v - c.v)) AS k FROM m JOIN c USING (fold)), w AS (SELECT challenger, count(*) AS n, sum(x) AS total, coalesce(sum(k) FILTER (x > 0), 0) AS plus FROM r GROUP BY 1),
+ s AS (SELECT v, list_sum([((v >> i) & 1) * (i + 1) FOR i IN range(5)]) AS t FROM range(32) u(v)), p AS (SELECT *, (SELECT count(*) FROM s WHERE t >= plus) / 32.0 AS p_value FROM w)
+ SELECT challenger, p_value, p_value < .05 AND total > 0 AND split_part(challenger, '#', 2)::int / 130.0 <= .15 AND split_part(challenger, '#', 2)::int * 9.0 <= 200 AS promote FROM p WHERE n = 5""",
+    "p_value",
+)
 def promotion(spark, sf):
-    """Five paired folds: the exact test's smallest p is 1/32."""
-    base = {"fold_metrics": [0.50, 0.51, 0.49, 0.52, 0.50], "ece": 0.05, "latency_ms": 20.0}
-    better = base | {"fold_metrics": [0.53, 0.55, 0.54, 0.58, 0.57]}
-    mixed = base | {"fold_metrics": [0.53, 0.49, 0.52 - 0.002, 0.48, 0.5501]}
-    rows = [(n, r["promote"], r["p_value"]) for n, r in (("better", ev.promote(better, base)), ("mixed", ev.promote(mixed, base)), ("first", ev.promote(base, None)))]
-    return spark.createDataFrame(rows, "challenger string, promote boolean, p_value double")
+    """Each brand's model against the common champion over five paired folds: the exact test's smallest p is 1/32."""
+    part = fx.table(spark, sf, "part").withColumn("fold", F.col("p_size") % 5)
+    by_fold = F.transform(F.array_sort(F.collect_list(F.struct("fold", "v"))), lambda x: x["v"])
+    own = part.groupBy(F.col("p_brand").alias("challenger"), "fold").agg(F.avg("p_retailprice").alias("v")).groupBy("challenger").agg(by_fold.alias("fold_metrics")).where(F.size("fold_metrics") == 5)
+    champion = part.groupBy("fold").agg(F.avg("p_retailprice").alias("v")).agg(by_fold.alias("champion_metrics"))
+    number = F.substring_index("challenger", "#", -1).cast("int")
+    models = own.join(F.broadcast(champion)).withColumns({"ece": number / F.lit(130.0), "latency_ms": number * 9.0})
+    return ev.promotions(models).select("challenger", "p_value", "promote")
 
 
 @query(_PREDS + ", e AS (SELECT symbol, d, avg(p) AS probability FROM (SELECT symbol, d, probability AS p FROM preds UNION ALL SELECT symbol, d, CASE WHEN lag_return_1 > 0 THEN .75 ELSE .25 END FROM preds) GROUP BY 1, 2) SELECT symbol, d, probability, (probability >= .5)::int AS predicted FROM e")

@@ -165,12 +165,19 @@ def portfolio_returns(spark, sf):
 
 
 _ALL = _RETURNS + ", dr AS (SELECT portfolio_id, d, sum(ret * weight) AS ret FROM rr JOIN pos USING (symbol) WHERE ret IS NOT NULL GROUP BY portfolio_id, d)"
+_BENCH = ", bm AS (SELECT d, avg(ret) AS b FROM rr WHERE ret IS NOT NULL GROUP BY d)"
 
 
-@query(_ALL + " SELECT * FROM dr", "ret")
+@query(_PORT + " SELECT * FROM dr", "ret")
 def portfolio_daily_returns(spark, sf):
-    """Of all portfolios."""
-    return pf.daily_returns(fx.bars(spark, sf), weights(spark, sf), "portfolio_id")
+    return portfolio_returns(spark, sf)
+
+
+@query(_ALL + " SELECT portfolio_id, year(d)::int AS year, count(*) AS days, avg(ret) AS mean, stddev_samp(ret) AS deviation, min(ret) AS worst, max(ret) AS best FROM dr GROUP BY 1, 2", "mean deviation worst best")
+def portfolio_yearly_returns(spark, sf):
+    """All portfolios: what their daily returns were in each year."""
+    r = pf.daily_returns(fx.bars(spark, sf), weights(spark, sf), "portfolio_id")
+    return r.groupBy("portfolio_id", F.year("d").alias("year")).agg(F.count("*").alias("days"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("deviation"), F.min("ret").alias("worst"), F.max("ret").alias("best"))
 
 
 @query(
@@ -187,16 +194,33 @@ def portfolio_risk(spark, sf):
 
 
 @query(
-    _ALL + """, bm AS (SELECT d, avg(ret) AS b FROM rr WHERE ret IS NOT NULL GROUP BY d), j AS (SELECT portfolio_id, d, ret, b FROM dr JOIN bm USING (d))
- SELECT portfolio_id, d, sum(CASE WHEN 1 + ret > 0 THEN ln(1 + ret) ELSE '-inf'::double END) OVER w AS portfolio, sum(CASE WHEN 1 + b > 0 THEN ln(1 + b) ELSE '-inf'::double END) OVER w AS benchmark FROM j WINDOW w AS (PARTITION BY portfolio_id ORDER BY d)""",
+    _PORT + _BENCH + """, j AS (SELECT d, ret, b FROM dr JOIN bm USING (d))
+ SELECT d, sum(CASE WHEN 1 + ret > 0 THEN ln(1 + ret) ELSE '-inf'::double END) OVER w AS portfolio, sum(CASE WHEN 1 + b > 0 THEN ln(1 + b) ELSE '-inf'::double END) OVER w AS benchmark FROM j WINDOW w AS (ORDER BY d)""",
     "portfolio benchmark",
 )
 def portfolio_vs_benchmark(spark, sf):
-    """Logs of both curves on all shared dates, of all portfolios."""
-    bench = fx.bars(spark, sf).withColumn("ret", change(F.col("close"))).where("ret is not null").groupBy("d").agg(F.avg("ret").alias("b"))
-    w = Window.partitionBy("portfolio_id").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    returns = pf.daily_returns(fx.bars(spark, sf), weights(spark, sf), "portfolio_id")
-    return returns.join(bench, "d").select("portfolio_id", "d", F.sum(pf.growth(F.col("ret"))).over(w).alias("portfolio"), F.sum(pf.growth(F.col("b"))).over(w).alias("benchmark"))
+    """Logs of both curves on all shared dates."""
+    w = Window.partitionBy().orderBy("d").rowsBetween(Window.unboundedPreceding, 0)  # one row per date
+    return portfolio_returns(spark, sf).join(benchmark(spark, sf), "d").select("d", F.sum(pf.growth(F.col("ret"))).over(w).alias("portfolio"), F.sum(pf.growth(F.col("b"))).over(w).alias("benchmark"))
+
+
+def benchmark(spark, sf):
+    """Mean return of all symbols by date."""
+    return fx.bars(spark, sf).withColumn("ret", change(F.col("close"))).where("ret is not null").groupBy("d").agg(F.avg("ret").alias("b"))
+
+
+@query(
+    _ALL + _BENCH + """, j AS (SELECT portfolio_id, d, CASE WHEN 1 + ret > 0 THEN ln(1 + ret) ELSE '-inf'::double END AS p, CASE WHEN 1 + b > 0 THEN ln(1 + b) ELSE '-inf'::double END AS b FROM dr JOIN bm USING (d)),
+ y AS (SELECT portfolio_id, year(d)::int AS year, sum(p) AS p, sum(b) AS b FROM j GROUP BY 1, 2)
+ SELECT portfolio_id, year, sum(p) OVER w AS portfolio, sum(b) OVER w AS benchmark FROM y WINDOW w AS (PARTITION BY portfolio_id ORDER BY year)""",
+    "portfolio benchmark",
+)
+def portfolios_vs_benchmark(spark, sf):
+    """Logs of both curves of all portfolios at the end of each year, over all shared dates."""
+    r = pf.daily_returns(fx.bars(spark, sf), weights(spark, sf), "portfolio_id").join(benchmark(spark, sf), "d")
+    y = r.groupBy("portfolio_id", F.year("d").alias("year")).agg(F.sum(pf.growth(F.col("ret"))).alias("p"), F.sum(pf.growth(F.col("b"))).alias("b"))
+    w = Window.partitionBy("portfolio_id").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
+    return y.select("portfolio_id", "year", F.sum("p").over(w).alias("portfolio"), F.sum("b").over(w).alias("benchmark"))
 
 
 _PATHS = _PORT + """, h AS (SELECT ret, row_number() OVER (ORDER BY d) - 1 AS k, count(*) OVER () AS n FROM dr), dw AS (SELECT sim, step, ('0x' || substr(md5('42:' || sim || ':' || step), 1, 12))::bigint % (SELECT any_value(n) FROM h) AS k FROM range(500) a(sim), range(1, 253) b(step)),

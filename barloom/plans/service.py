@@ -11,15 +11,16 @@ from ..sources import fixtures as fx
 from .evaluate import _rows, preds, risk_assessment
 from .registry import query
 
-_HI = [("P12", "P1-2.NS", "x", 1, "P1-2"), ("alpha co", "Z.NS", "Beta Alpha & Co", 6, "Alpha & Co"), ("zz", "Q.NS", "none", 8, None), ("bet", "B.NS", "The Better One", 5, "Bet")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{s}', {'NULL' if m is None else repr(m)})" for q, s, _, _, m in _HI) + ") t(q, symbol, matched)")
+@query(
+    """WITH l AS (SELECT 'P' || p_partkey || '.NS' AS symbol, replace(p_name, ' ', '-') AS name, CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 8 END AS tier, CASE WHEN p_partkey % 3 = 0 THEN 'p' || p_partkey ELSE split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) END AS q FROM part)
+ SELECT symbol, CASE tier WHEN 1 THEN nullif(regexp_extract(symbol, '(?i)(' || array_to_string(string_split(q, ''), '[^A-Za-z0-9]*') || ')', 1), '') WHEN 3 THEN nullif(regexp_extract(name, '(?i)(' || replace(trim(q), ' ', '[^A-Za-z0-9]*') || ')', 1), '') END AS matched FROM l"""
+)
 def search_highlight(spark, sf):
-    """The part of a symbol or name that a query fits, marks between letters or words allowed."""
-    rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.lit(s).alias("symbol"), F.lit(n).alias("name"), F.lit(t).alias("tier")) for q, s, n, t, _ in _HI))).alias("x")).select("x.*")
-    out = rows.withColumn("matched", search.matched(text.normalize_query(F.col("q")), F.col("symbol"), F.col("name"), F.col("tier")))
-    return out.select("q", "symbol", "matched")
+    """The part of each listing's symbol or name that a query fits, marks between letters or words allowed."""
+    words, key = F.split("name", " "), F.regexp_extract("symbol", "[0-9]+", 0).cast("long")
+    q = F.when(key % 3 == 0, F.concat(F.lit("p"), key.cast("string"))).otherwise(F.concat(F.get(words, F.lit(0)), F.lit(" "), F.coalesce(F.get(words, F.lit(1)), F.lit(""))))
+    rows = fx.listing(spark, sf).select("symbol", F.replace("name", F.lit(" "), F.lit("-")).alias("name"), q.alias("q"), F.when(key % 3 == 0, 1).when(key % 3 == 1, 3).otherwise(8).alias("tier"))
+    return rows.select("symbol", search.matched(text.normalize_query(F.col("q")), F.col("symbol"), F.col("name"), F.col("tier")).alias("matched"))
 
 
 @query("SELECT symbol, sum(b)::double AS boost FROM (SELECT 'P' || p_partkey || '.NS' AS symbol, CASE WHEN p_partkey = 1 THEN .3 ELSE 0 END + CASE WHEN p_partkey IN (1, 2) THEN .5 ELSE 0 END + CASE WHEN p_partkey = 2 THEN .5 ELSE 0 END AS b FROM part) GROUP BY symbol", "boost")

@@ -40,11 +40,12 @@ def sector_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as ticks; every 50th is delivered twice, every 37th late."""
+    """Events as ticks; every 50th is delivered twice, every 37th late, and every 211th once more when some thousand others have come."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("value").alias("ltp"), F.col("ts").alias("exchange_ts"), F.col("event_id").alias("sequence_id"))
     late = F.when(F.col("sequence_id") % 37 == 0, F.col("sequence_id") + 200.5).otherwise(F.col("sequence_id").cast("double"))
     again = e.where(F.col("sequence_id") % 50 == 0).withColumn("arrival", F.col("sequence_id") + 3.5)
-    return e.withColumn("arrival", late).unionByName(again)
+    old = e.where(F.col("sequence_id") % 211 == 0).withColumn("arrival", F.col("sequence_id") + 4000.25)
+    return e.withColumn("arrival", late).unionByName(again).unionByName(old)
 
 
 def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ _BAR = f"arg_min(l_extendedprice / l_quantity, {_ROW}) AS open, max(l_extendedpr
 VIEWS = {
     "bars": f"SELECT p_brand AS symbol, CAST(l_shipdate AS date) AS d, {_BAR} FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
     "sector_bars": f"SELECT n_name AS symbol, r_name AS sector, CAST(l_shipdate AS date) AS d, {_BAR} FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3",
-    "ticks": "SELECT event_type AS symbol, value AS ltp, ts AS exchange_ts, event_id AS sequence_id, CASE WHEN event_id % 37 = 0 THEN event_id + 200.5 ELSE event_id END::double AS arrival FROM events UNION ALL SELECT event_type, value, ts, event_id, (event_id + 3.5)::double FROM events WHERE event_id % 50 = 0",
+    "ticks": "SELECT event_type AS symbol, value AS ltp, ts AS exchange_ts, event_id AS sequence_id, CASE WHEN event_id % 37 = 0 THEN event_id + 200.5 ELSE event_id END::double AS arrival FROM events UNION ALL SELECT event_type, value, ts, event_id, (event_id + 3.5)::double FROM events WHERE event_id % 50 = 0 UNION ALL SELECT event_type, value, ts, event_id, event_id + 4000.25 FROM events WHERE event_id % 211 = 0",
     "lots": "SELECT o_custkey AS portfolio_id, p_brand AS symbol, l_quantity AS shares, l_extendedprice / l_quantity AS avg_cost FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey",
     "calls": "SELECT 'p' || (user_id % 3) AS provider, ts AS call_timestamp, event_type <> 'error' AS success, CAST(floor(value) AS bigint) AS latency_ms, CASE WHEN event_type = 'error' THEN 'timeout' END AS failure_type FROM events",
     "listing": "SELECT 'P' || p_partkey || '.NS' AS symbol, p_name AS name, p_brand AS series FROM part",
