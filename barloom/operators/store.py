@@ -77,3 +77,45 @@ def resolve(registry: DataFrame, symbols: DataFrame) -> DataFrame:
 def activate(registry: DataFrame) -> DataFrame:
     """One active version of each model: the newest."""
     return registry.withColumn("is_active", F.col("version") == F.max_by("version", "id").over(Window.partitionBy("model_name")))
+
+
+# ---- progress of resumable work: rows (stage, internal_id, status, reason, at)
+
+
+def enter_stage(progress: DataFrame, stage: str) -> DataFrame:
+    """progress of a stage that is entered: what was there of it stays, that of other stages goes."""
+    return progress.where(F.col("stage") == stage)
+
+
+def mark_completed(progress: DataFrame, units: DataFrame, stage: str) -> DataFrame:
+    """progress with units (internal_id, at) as completed: each once, however often it is marked; a later date replaces an earlier one."""
+    new = units.groupBy("internal_id").agg(F.max("at").alias("at")).select(F.lit(stage).alias("stage"), "internal_id", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("reason"), "at")
+    return upsert(progress, new, "stage", "internal_id", "status")
+
+
+def mark_failed(progress: DataFrame, units: DataFrame, stage: str) -> DataFrame:
+    """progress with units (internal_id, reason, at) as failed: each failure is a row of its own."""
+    return progress.unionByName(units.select(F.lit(stage).alias("stage"), "internal_id", F.lit("failed").alias("status"), "reason", "at"))
+
+
+# ---- registries of features and models
+
+FEATURE_STATUSES, MODEL_STATUSES = ("active", "deprecated"), ("active", "testing", "archived")
+
+
+def set_features(registry: DataFrame, changes: DataFrame) -> DataFrame:
+    """registry (feature_name, status, reason, evidence) after changes of the same columns, one of a name: features it lacks are
+    added. A deprecation brings its reason and evidence; a confirmation as active keeps the reason, and the evidence unless it brings some."""
+    new = changes.where(F.col("status").isin(*FEATURE_STATUSES)).select("feature_name", *(F.col(c).alias(f"_{c}") for c in ("status", "reason", "evidence")))
+    gone = F.col("_status") == "deprecated"
+    return registry.join(new, "feature_name", "full").select(
+        "feature_name", F.coalesce("_status", "status").alias("status"), F.when(gone, F.col("_reason")).otherwise(F.col("reason")).alias("reason"), F.when(gone, F.col("_evidence")).otherwise(F.coalesce("_evidence", "evidence")).alias("evidence")
+    )
+
+
+def set_model_status(registry: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(registry with the status of versions changed, changes refused: unknown versions and statuses). Which version is served doesn't change."""
+    known = F.col("status").isin(*MODEL_STATUSES)
+    good = changes.where(known).join(registry.select("version"), "version", "left_semi").select("version", F.col("status").alias("_status"))
+    refused = changes.where(~F.coalesce(known, F.lit(False))).unionByName(changes.where(known).join(registry.select("version"), "version", "left_anti"))
+    return registry.join(good, "version", "left").withColumn("status", F.coalesce("_status", "status")).select(registry.columns), refused

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import features, lookup, search
+from ..operators import features, lookup, search, store
 from ..sources import fixtures as fx, tables
 from .market import B, _FEATURES, _SMOOTH
 from .registry import query
@@ -95,3 +95,46 @@ def holdings_import(spark, sf):
     tables.write_csv(p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("Symbol"), F.when(F.col("p_size") == 9, "nine").otherwise((F.col("p_size") - 3).cast("string")).alias("SHARES"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("avg_cost")), path)
     known = p.where("p_partkey % 7 <> 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"))
     return tables.read_holdings(spark, path, known)[0]
+
+
+_PROGRESS = "p AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'validate' ELSE 'ingest' END AS stage, c_custkey AS internal_id, 'completed' AS status, c_nationkey AS at FROM customer WHERE c_custkey % 4 = 0)"
+
+
+@query(
+    f"WITH {_PROGRESS}, u AS (SELECT c_custkey AS internal_id, c_nationkey + 1 AS at FROM customer WHERE c_custkey % 2 = 0), f AS (SELECT c_custkey AS internal_id, 'status ' || (c_custkey % 5) AS reason, c_nationkey AS at FROM customer WHERE c_custkey % 7 = 0)"
+    " SELECT internal_id, status, NULL::varchar AS reason, at FROM p WHERE stage = 'ingest' AND internal_id NOT IN (SELECT internal_id FROM u) UNION ALL SELECT internal_id, 'completed', NULL, at FROM u UNION ALL SELECT internal_id, 'failed', reason, at FROM f UNION ALL SELECT internal_id, 'failed', reason, at FROM f"
+)
+def checkpoint_progress(spark, sf):
+    """A stage resumed: units marked as completed twice count once, each failure counts."""
+    c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("internal_id"), F.col("c_nationkey").alias("at"))
+    k = F.col("internal_id")
+    had = c.where(k % 4 == 0).select(F.when(k % 3 == 0, "validate").otherwise("ingest").alias("stage"), "internal_id", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("reason"), "at")
+    done = c.where(k % 2 == 0).withColumn("at", F.col("at") + 1)
+    failed = c.where(k % 7 == 0).withColumn("reason", F.concat(F.lit("status "), (k % 5).cast("string")))
+    out = store.mark_completed(store.enter_stage(had, "ingest"), done.unionByName(c.where(k % 2 == 0)), "ingest")
+    out = store.mark_failed(store.mark_failed(out, failed, "ingest"), failed, "ingest")
+    return out.select("internal_id", "status", "reason", "at")
+
+
+@query(
+    """WITH r AS (SELECT p_partkey AS feature_name, 'active' AS status, NULL::varchar AS reason, 'e' || p_size AS evidence FROM part WHERE p_partkey % 3 <> 0),
+ c AS (SELECT p_partkey AS feature_name, CASE WHEN p_size < 20 THEN 'deprecated' ELSE 'active' END AS status, CASE WHEN p_size < 20 THEN 'weak' END AS reason, CASE WHEN p_size % 2 = 0 THEN 'mi ' || p_size END AS evidence FROM part WHERE p_partkey % 2 = 0)
+ SELECT feature_name, coalesce(c.status, r.status) AS status, CASE WHEN c.status = 'deprecated' THEN c.reason ELSE r.reason END AS reason, CASE WHEN c.status = 'deprecated' THEN c.evidence ELSE coalesce(c.evidence, r.evidence) END AS evidence FROM r FULL JOIN c USING (feature_name)"""
+)
+def feature_registry(spark, sf):
+    """Features deprecated with reason and evidence, or confirmed; those without a row get one."""
+    p, size = fx.table(spark, sf, "part"), F.col("p_size")
+    name, text_of = F.col("p_partkey").alias("feature_name"), lambda t: F.concat(F.lit(t), size.cast("string"))
+    had = p.where("p_partkey % 3 <> 0").select(name, F.lit("active").alias("status"), F.lit(None).cast("string").alias("reason"), text_of("e").alias("evidence"))
+    new = p.where("p_partkey % 2 = 0").select(name, F.when(size < 20, "deprecated").otherwise("active").alias("status"), F.when(size < 20, "weak").alias("reason"), F.when(size % 2 == 0, text_of("mi ")).alias("evidence"))
+    return store.set_features(had, new)
+
+
+@query("SELECT p_partkey AS version, p_brand AS model_name, CASE WHEN p_partkey % 4 = 0 THEN ['active', 'testing', 'archived'][p_size % 3 + 1] ELSE 'active' END AS status FROM part")
+def model_statuses(spark, sf):
+    """Models after changes of status; unknown versions and statuses change nothing."""
+    p = fx.table(spark, sf, "part")
+    models = p.select(F.col("p_partkey").alias("version"), F.col("p_brand").alias("model_name"), F.lit("active").alias("status"))
+    asked = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("version"), F.get(F.array(*map(F.lit, store.MODEL_STATUSES)), (F.col("p_size") % 3).cast("int")).alias("status"))
+    wrong = p.where("p_partkey % 4 = 1").select(F.col("p_partkey").alias("version"), F.lit("gone").alias("status")).unionByName(p.select((-F.col("p_partkey")).alias("version"), F.lit("testing").alias("status")))
+    return store.set_model_status(models, asked.unionByName(wrong))[0]
