@@ -97,12 +97,12 @@ def holdings_import(spark, sf):
     return tables.read_holdings(spark, path, known)[0]
 
 
-_PROGRESS = "p AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'validate' ELSE 'ingest' END AS stage, c_custkey AS internal_id, 'completed' AS status, c_nationkey AS at FROM customer WHERE c_custkey % 4 = 0)"
+_PROGRESS = "p AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'validate' ELSE 'ingest' END AS stage, c_custkey AS internal_id, 'completed' AS status, c_nationkey AS processed FROM customer WHERE c_custkey % 4 = 0)"
 
 
 @query(
-    f"WITH {_PROGRESS}, u AS (SELECT c_custkey AS internal_id, c_nationkey + 1 AS at FROM customer WHERE c_custkey % 2 = 0), f AS (SELECT c_custkey AS internal_id, 'status ' || (c_custkey % 5) AS reason, c_nationkey AS at FROM customer WHERE c_custkey % 7 = 0)"
-    " SELECT internal_id, status, NULL::varchar AS reason, at FROM p WHERE stage = 'ingest' AND internal_id NOT IN (SELECT internal_id FROM u) UNION ALL SELECT internal_id, 'completed', NULL, at FROM u UNION ALL SELECT internal_id, 'failed', reason, at FROM f UNION ALL SELECT internal_id, 'failed', reason, at FROM f"
+    f"WITH {_PROGRESS}, u AS (SELECT c_custkey AS internal_id, c_nationkey + 1 AS processed FROM customer WHERE c_custkey % 2 = 0), f AS (SELECT c_custkey AS internal_id, 'status ' || (c_custkey % 5) AS reason, c_nationkey AS processed FROM customer WHERE c_custkey % 7 = 0)"
+    " SELECT internal_id, status, NULL::varchar AS reason, processed FROM p WHERE stage = 'ingest' AND internal_id NOT IN (SELECT internal_id FROM u) UNION ALL SELECT internal_id, 'completed', NULL, processed FROM u UNION ALL SELECT internal_id, 'failed', reason, processed FROM f UNION ALL SELECT internal_id, 'failed', reason, processed FROM f"
 )
 def checkpoint_progress(spark, sf):
     """A stage resumed: units marked as completed twice count once, each failure counts."""
@@ -113,7 +113,7 @@ def checkpoint_progress(spark, sf):
     failed = c.where(k % 7 == 0).withColumn("reason", F.concat(F.lit("status "), (k % 5).cast("string")))
     out = store.mark_completed(store.enter_stage(had, "ingest"), done.unionByName(c.where(k % 2 == 0)), "ingest")
     out = store.mark_failed(store.mark_failed(out, failed, "ingest"), failed, "ingest")
-    return out.select("internal_id", "status", "reason", "at")
+    return out.select("internal_id", "status", "reason", F.col("at").alias("processed"))
 
 
 @query(
@@ -136,5 +136,5 @@ def model_statuses(spark, sf):
     p = fx.table(spark, sf, "part")
     models = p.select(F.col("p_partkey").alias("version"), F.col("p_brand").alias("model_name"), F.lit("active").alias("status"))
     asked = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("version"), F.get(F.array(*map(F.lit, store.MODEL_STATUSES)), (F.col("p_size") % 3).cast("int")).alias("status"))
-    wrong = p.where("p_partkey % 4 = 1").select(F.col("p_partkey").alias("version"), F.lit("gone").alias("status")).unionByName(p.select((-F.col("p_partkey")).alias("version"), F.lit("testing").alias("status")))
+    wrong = p.where("p_partkey % 4 = 1").select(F.col("p_partkey").alias("version"), F.lit("gone").alias("status")).unionByName(p.select((-F.col("p_partkey") - 1).alias("version"), F.lit("testing").alias("status")))
     return store.set_model_status(models, asked.unionByName(wrong))[0]
