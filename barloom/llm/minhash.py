@@ -141,9 +141,22 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) with 100 * intersection >= percent * union of their full sets; texts has (id, text)."""
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def spread(rows: DataFrame, copies: DataFrame, key: str) -> DataFrame:
+    """rows, of one row a key, with a column salt from 0 to below copies: those of the few keys that copies (key, copies) has stand so often."""
+    many = rows.join(F.broadcast(copies.withColumnRenamed("key", key)), key, "left")
+    return many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+
+
+def salted(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+    """pairs (a, b) with the copy of b that a's hash picks, so that no b that many share meets them all in one task."""
+    many = pairs.join(F.broadcast(copies.withColumnRenamed("key", "b")), "b", "left")
+    return many.select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int").alias("salt"))
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, copies: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b, salt) with 100 * intersection >= percent * union of their full sets; texts has (id, text)."""
+    other = spread(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), copies, "b")
+    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(other, ["b", "salt"]).select("a", "b", "text_a", "text_b")
 
     def run(batches):
         for batch in batches:
@@ -249,19 +262,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     placed = classes.select("rep", F.explode("bands").alias("bucket"))
     most = max(SMALL, classes.count() * BANDS // HOT)
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1")
-    firsts = core.written(shared.select("bucket", "first", (F.col("n") > most).alias("hot")), "buckets")
+    firsts = core.written(shared.select("bucket", "first", "n", (F.col("n") > most).alias("hot")), "buckets")
+    # fewer than HOT of these, and all their copies are fewer than 2 * HOT: no copy meets more pairs than a bucket that isn't hot has members
+    copies = core.written(firsts.where("hot").groupBy(F.col("first").alias("key")).agg(F.ceil(F.sum("n") / most).cast("int").alias("copies")), "copies")
     hot = F.broadcast(firsts.where("hot").select("bucket", F.lit(True).alias("hot")))
     marked = placed.join(hot, "bucket", "left").select("bucket", "rep", F.coalesce("hot", F.lit(False)).alias("hot"))
-    members = core.written(of_bucket(marked, firsts), "members")
+    members = core.written(of_bucket(marked, firsts.drop("n")), "members")
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = core.written(docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "candidates")
     sigs = classes.select("rep", "sig", "bands")
     p = percent / 100 + (1 - percent / 100) / 2**BITS
     floor = percent / 100 - 6 * (p * (1 - p) / HASHES) ** 0.5 / (1 - 1 / 2**BITS)
     pairs = core.written(members.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
-    guess = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b").where(estimate("x", "y") >= floor)
-    links = core.written(confirm(guess.select("a", "b"), texts, k, percent), "links")
-    core.dropped(firsts, pairs)
+    known = spread(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), copies, "b")
+    guess = salted(pairs, copies).join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(known, ["b", "salt"]).where(estimate("x", "y") >= floor)
+    links = core.written(confirm(guess.select("a", "b", "salt"), texts, copies, k, percent), "links")
+    core.dropped(firsts, pairs, copies)
     near = components(links)
     label = near.withColumnRenamed("node", "rep")
     rows = core.written(members.join(label, "rep", "left").select("bucket", "hot", "rep", "first", F.coalesce("root", "rep").alias("root")), "rooted")
