@@ -259,8 +259,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """docs without the documents that hold an item; all columns, no shuffle."""
+    """docs without the documents that hold an item; all columns, no shuffle. With several groups each pass writes what is left, and the table before it goes."""
     core.bound_batches(docs.sparkSession)
+    before = None
     at = docs.columns.index(text)
     every = groups(benchmark, max_bytes=max_bytes)
     n = next(every)
@@ -278,4 +279,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, t
         if n > 1:
             docs = core.written(docs, "clean")
             shared.destroy()
+            if before is not None:
+                core.dropped(before)
+            before = docs
     return docs
