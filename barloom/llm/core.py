@@ -234,3 +234,68 @@ def ids(col) -> np.ndarray:
     """An id column for ordering; null comes first."""
     a = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     return a.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+#: With more blocks than this, messages between blocks and buckets go by way of groups of both.
+RELAY = 256
+
+
+def _stored(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _parcels(t: pa.Table, key: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """The rows of t by key, each key's as one value."""
+    order = np.argsort(key, kind="stable")
+    values, first = np.unique(key[order], return_index=True)
+    ends = np.append(first[1:], len(order))
+    return values.tolist(), [_stored(t.take(pa.array(order[a:z]))) for a, z in zip(first, ends)]
+
+
+class Relay:
+    """The way of rows from n_from senders to n_to receivers, columns `sender` and `receiver` of a schema (DDL).
+
+    Directly, that is a row for each pair that has something to say: the square of their number, when both grow with the corpus.
+    By way of groups, a sender writes a row for each group of about sqrt(n_to) receivers; rows of a group of senders and a group of
+    receivers meet in a hop, which writes a row for each receiver. That makes n_from * sqrt(n_to) + sqrt(n_from) * n_to rows. The same
+    bytes are shuffled once more, so a few senders do without.
+    """
+
+    def __init__(self, sender: str, receiver: str, n_from: int, n_to: int, schema: str, on: bool | None = None):
+        self.sender, self.receiver, self.schema = sender, receiver, schema
+        self.on = n_from > RELAY if on is None else on
+        self.senders, self.receivers = math.isqrt(max(0, n_from - 1)) + 1, math.isqrt(max(0, n_to - 1)) + 1
+
+    def send(self, grouped, f, other=None) -> DataFrame:
+        """Rows for `groupBy` of receivers: f's of each group (a table, or two of a cogroup) as they are, or as parcels."""
+        if not self.on:
+            return grouped.applyInArrow(f, self.schema)
+        names = (self.sender, self.receiver)
+
+        def parcelled(t: pa.Table) -> pa.Table:
+            a, b = (t[c].to_numpy().astype(np.int64) for c in names)
+            hop, data = _parcels(t, (a // self.senders) << 32 | b // self.receivers)
+            return pa.table({"hop": pa.array(hop, pa.int64()), "data": pa.array(data, pa.binary())})
+
+        def met(t: pa.Table) -> pa.Table:
+            rows = self.opened(t)
+            to, data = _parcels(rows, rows[self.receiver].to_numpy().astype(np.int64))
+            return pa.table({self.receiver: pa.array(to, pa.int32()), "data": pa.array(data, pa.binary())})
+
+        made = grouped.applyInArrow((lambda x, y: parcelled(f(x, y))) if other else (lambda x: parcelled(f(x))), "hop long, data binary")
+        return made.groupBy("hop").applyInArrow(met, f"{self.receiver} int, data binary")
+
+    def opened(self, t: pa.Table) -> pa.Table:
+        """The rows of the senders, from those that `send` made."""
+        if not self.on:
+            return t
+        parts = [pa.ipc.open_stream(x).read_all() for x in t["data"].to_pylist()]
+        if parts:
+            return pa.concat_tables(parts)
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
+
+        return to_arrow_schema(StructType.fromDDL(self.schema)).empty_table()

@@ -474,23 +474,31 @@ def evaluate(order: int, buckets: int, share: int):
 
 
 def _plan(docs: DataFrame, training, order: int, n: int | None, id_col: str, text: str, share: int | None):
-    """(blocks, buckets, share, grouped blocks, grouped questions of each order, answers of each order)."""
+    """(buckets, share, grouped blocks, grouped questions of each order, answers of each order, and the ways of both)."""
     n = n or core.block_count(docs, text)
     buckets = n
     share = share or max(SHARE, n * core.BLOCK_BYTES // SPREAD)
     core.bound_batches(docs.sparkSession)
     b = core.blocks(docs, n, id_col, text).withColumn("training", training(F.col("doc_id")))
     b = b.mapInArrow(squeezed, "block int, doc_id long, text binary, training boolean")
+    there, back = core.Relay("block", "bucket", n, buckets, ASK), core.Relay("bucket", "block", buckets, n, TOLD)
     groups, asked, told = b.groupBy("block"), [], []
     for k in range(1, order + 1):
         if k == 1:
-            q = groups.applyInArrow(ask(1, buckets, share), ASK)
+            q = there.send(groups, ask(1, buckets, share))
         else:
-            q = groups.cogroup(functools.reduce(DataFrame.unionByName, told).groupBy("block")).applyInArrow(ask(k, buckets, share), ASK)
+            q = there.send(groups.cogroup(functools.reduce(DataFrame.unionByName, told).groupBy("block")), _opening(back, ask(k, buckets, share), True), other=True)
         asked.append(q.groupBy("bucket"))
         # dealt by block here, so that answers are made and shuffled once for all the steps that read them
-        told.append(asked[-1].applyInArrow(count(k, buckets), TOLD).repartition("block"))
-    return buckets, share, groups, asked, told
+        told.append(back.send(asked[-1], _opening(there, count(k, buckets))).repartition("block"))
+    return buckets, share, groups, asked, told, there, back
+
+
+def _opening(way: core.Relay, f, second: bool = False):
+    """f, whose only or second table comes by a way."""
+    if not way.on:
+        return f
+    return (lambda left, right: f(left, way.opened(right))) if second else (lambda t: f(way.opened(t)))
 
 
 TABLE = "order int, bucket int, hash long, ids array<long>, count long"
@@ -533,10 +541,10 @@ def _histories(k: int, buckets: int):
 
 def model_tables(docs: DataFrame, path: str, training=None, order: int = ORDER, blocks: int | None = None, id_col: str = "doc_id", text: str = "text", share: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Write the model under path, as Parquet by order and bucket, and read it: rows of TABLE, and of SUMS (histories, to be added up)."""
-    buckets, *_, asked, _ = _plan(docs, training or (lambda c: F.lit(True)), order, blocks, id_col, text, share)
+    buckets, *_, asked, _, there, _ = _plan(docs, training or (lambda c: F.lit(True)), order, blocks, id_col, text, share)
     spark, union = docs.sparkSession, lambda parts: functools.reduce(DataFrame.unionByName, parts)
-    union([q.applyInArrow(_grams(k, buckets), TABLE) for k, q in enumerate(asked, 1)]).write.partitionBy("order", "bucket").parquet(f"{path}/grams")
-    sums = [q.applyInArrow(_histories(k, buckets), SUMS) for k, q in enumerate(asked, 1) if k > 1]
+    union([q.applyInArrow(_opening(there, _grams(k, buckets)), TABLE) for k, q in enumerate(asked, 1)]).write.partitionBy("order", "bucket").parquet(f"{path}/grams")
+    sums = [q.applyInArrow(_opening(there, _histories(k, buckets)), SUMS) for k, q in enumerate(asked, 1) if k > 1]
     if sums:
         union(sums).write.partitionBy("order", "bucket").parquet(f"{path}/histories")
     return spark.read.schema(TABLE).parquet(f"{path}/grams"), spark.read.schema(SUMS).parquet(f"{path}/histories") if sums else spark.createDataFrame([], SUMS)
@@ -547,6 +555,6 @@ def score(docs: DataFrame, training=None, order: int = ORDER, blocks: int | None
 
     training(id column) marks the rows to learn from; all of them by default.
     """
-    buckets, share, groups, _, told = _plan(docs, training or (lambda c: F.lit(True)), order, blocks, id_col, text, share)
+    buckets, share, groups, _, told, _, way = _plan(docs, training or (lambda c: F.lit(True)), order, blocks, id_col, text, share)
     back = functools.reduce(DataFrame.unionByName, told)
-    return groups.cogroup(back.groupBy("block")).applyInArrow(evaluate(order, buckets, share), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return groups.cogroup(back.groupBy("block")).applyInArrow(_opening(way, evaluate(order, buckets, share), True), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

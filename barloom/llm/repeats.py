@@ -326,9 +326,10 @@ def edit(docs: DataFrame, kind: Kind, item_type, finish, schema: T.StructType, c
     if carry:
         b = docs.select(F.pmod(F.xxhash64(id_col, text), F.lit(n)).cast("int").alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*carry).alias("rest"))
     groups, buckets, shards = b.groupBy("block"), -(-n // 4), 2 * n
-    asked = groups.applyInArrow(ask(kind, buckets), "bucket int, block int, data binary")
-    told = asked.groupBy("bucket").applyInArrow(answer(shards), "block int, bucket int, data binary")
-    known = groups.cogroup(told.groupBy("block")).applyInArrow(cut(kind, buckets), "dest long, block int, data binary")
+    there, back = core.Relay("block", "bucket", n, buckets, "bucket int, block int, data binary"), core.Relay("bucket", "block", buckets, n, "block int, bucket int, data binary", on=n > core.RELAY)
+    asked, answers, cuts = there.send(groups, ask(kind, buckets)), answer(shards), cut(kind, buckets)
+    told = back.send(asked.groupBy("bucket"), lambda t: answers(there.opened(t)))
+    known = groups.cogroup(told.groupBy("block")).applyInArrow(lambda left, right: cuts(left, back.opened(right)), "dest long, block int, data binary")
     for _ in range(1 + (n > GROUP)):
         known = known.groupBy("dest").applyInArrow(settle(kind, item_type, shards), "dest long, block int, data binary")
     return groups.cogroup(known.groupBy("block")).applyInArrow(lambda left, right: finish(core.ordered(left), right), schema)

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from barloom.llm import katz, langid, queries
+from barloom.llm import core, katz, langid, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 K = katz.TOP
@@ -88,6 +88,16 @@ def test_scores_equal_plain_model(spark, sf, order, share):
     assert sum(g.score for g in out) > sum(g.base_score for g in out)
 
 
+def test_messages_by_relays_give_the_same(spark, sf, monkeypatch, tmp_path):
+    docs = queries.table(spark, sf, "documents").select("doc_id", "text").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    at = lambda: sorted(tuple(r) for r in katz.score(docs, lambda c: ~langid.held_out("doc_id", 7), 3, blocks=7, share=5).collect())
+    tables = lambda path: [sorted(map(str, t.collect())) for t in katz.model_tables(docs, f"file://{tmp_path}/{path}", blocks=7, share=50)]
+    want, model = at(), tables("direct")
+    monkeypatch.setattr(core, "RELAY", 1)
+    assert at() == want and tables("relayed") == model
+
+
 def test_no_training_rows_and_empty(spark):
     from pyspark.sql import functions as F
 

@@ -79,6 +79,30 @@ def test_passages_of_many_blocks_meet_by_groups(spark, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.h) for r in rows} == brute_bytes(docs, 50)
 
 
+def test_messages_by_relays_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(core, "RELAY", 1)
+    monkeypatch.setattr(repeats, "GROUP", 3)
+    docs = noisy(4, 120) + [(900, None), (901, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for blocks in (2, 11):
+        rows = substring.remove_repeats(df, 20, blocks=blocks).withColumn("h", F.sha2("text", 256)).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.h) for r in rows} == brute_words(docs, 20)
+    rows = suffix.remove_repeats(df, 50, blocks=11).withColumn("h", F.sha2("kept", 256)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.h) for r in rows} == brute_bytes(docs, 50)
+
+
+@pytest.mark.parametrize("n", [16, 49])
+def test_messages_grow_less_than_their_square(spark, n):
+    """Every sender has something for every receiver: a receiver opens a parcel for each group of senders, and misses nothing."""
+    way = core.Relay("a", "b", n, n, "a int, b int, data binary", on=True)
+    senders = spark.createDataFrame([(i,) for i in range(n)], "a int").groupBy("a")
+    say = lambda t: pa.table({"a": pa.array([t["a"][0].as_py()] * n, pa.int32()), "b": pa.array(range(n), pa.int32()), "data": pa.array([bytes([x]) for x in range(n)], pa.binary())})
+    made = way.send(senders, say)
+    assert made.count() == n * (int((n - 1) ** 0.5) + 1)  # not n * n
+    opened = made.groupBy("b").applyInArrow(lambda t: way.opened(t), "a int, b int, data binary").collect()
+    assert {(r.a, r.b, bytes(r.data)) for r in opened} == {(i, j, bytes([j])) for i in range(n) for j in range(n)} and len(opened) == n * n
+
+
 @pytest.mark.parametrize("blocks", [1, 6])
 def test_substring_equals_brute_force(spark, blocks):
     docs = noisy(blocks, 120)
