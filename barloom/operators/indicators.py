@@ -76,6 +76,16 @@ def percentile_rank(df: DataFrame, column: str, name: str, lookback: int = YEAR)
     return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
 
+def newest_rank(df: DataFrame, column: str, name: str, lookback: int = YEAR) -> DataFrame:
+    """symbol, d, the column and its percentile_rank, of each symbol's newest row alone: an aggregate over the last `lookback` rows."""
+    late = df.select("symbol", "d", column, F.row_number().over(by(newest=True)).alias("|n")).where(F.col("`|n`") <= lookback)
+    got = late.groupBy("symbol").agg(F.max("d").alias("d"), F.max_by(column, "d").alias(column), F.collect_list(column).alias("|frame"))
+    frame, x = F.col("`|frame`"), F.col(column)
+    under, same = F.size(F.filter(frame, lambda v: v < x)), F.size(F.filter(frame, lambda v: v == x))
+    rank = F.when(x.isNotNull() & (F.size(frame) >= min(lookback, max(5, lookback // 5))), (under + (same + 1) / 2) / F.size(frame))
+    return got.select("symbol", "d", column, rank.alias(name))
+
+
 def regime(pct: Column, low: float = 0.33, high: float = 0.67) -> Column:
     return F.when(pct <= low, "low").when(pct <= high, "medium").when(pct.isNotNull(), "high")
 

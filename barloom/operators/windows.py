@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 YEAR = 252
 
 
-def by():
-    """Each symbol's rows in order of date. Made when called: a window needs a session."""
-    return Window.partitionBy("symbol").orderBy("d")
+def by(newest: bool = False):
+    """Each symbol's rows in order of date, or the newest first. Made when called: a window needs a session."""
+    return Window.partitionBy("symbol").orderBy(F.desc("d") if newest else "d")
 
 
 def so_far():

@@ -190,8 +190,10 @@ _RISK = _SMOOTH + ", v AS (" + _VOLPCT.replace(", x AS", "WITH x AS", 1).lstrip(
 )
 def risk_assessment(spark, sf):
     """Newest row of each symbol; without a model, stability counts 50."""
-    df = ind.percentile_rank(ind.volatility(fx.bars(spark, sf)), "volatility_20", "vol_pct").withColumn("regime", ind.regime(F.col("vol_pct")))
-    df = ind.smoothed(df.withColumn("newest", F.lead("d").over(by()).isNull()), "adx_14").where("newest")
+    bars = fx.bars(spark, sf)
+    df = ind.newest_rank(ind.volatility(bars), "volatility_20", "vol_pct").withColumn("regime", ind.regime(F.col("vol_pct")))
+    adx = ind.smoothed(bars.withColumn("newest", F.lead("d").over(by()).isNull()), "adx_14").where("newest").select("symbol", "adx_14")
+    df = df.join(adx, "symbol")
     v = F.coalesce("volatility_20", F.lit(0.0))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), v / 0.6 * 100))
     return df.select("symbol", v.alias("volatility"), score.alias("volatility_score"), (0.6 * score + 0.4 * 50).alias("risk_score"), bands.risk(v).alias("risk_level"), F.concat(F.when(F.col("adx_14") >= 25, "trending").otherwise("ranging"), F.lit(", "), F.col("regime"), F.lit(" volatility")).alias("market_regime"))
