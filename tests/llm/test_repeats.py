@@ -223,10 +223,28 @@ def test_order_of_fetched_rows_does_not_matter(module, item_type, group, monkeyp
 
 
 CLUSTER = """
-import sys
+import os, sys, threading, time
 from pyspark.sql import SparkSession, functions as F
 from barloom.llm import queries
 spark = SparkSession.builder.master("local-cluster[3,1,1024]").config("spark.ui.enabled", "false").config("spark.executor.memory", "1g").config("spark.sql.shuffle.partitions", "6").config("spark.checkpoint.dir", sys.argv[2]).config("spark.executorEnv.PYTHONPATH", sys.path[0]).getOrCreate()
+def lose_one():
+    # an executor of this application goes when the second query has run for some stages
+    tracker, app = spark.sparkContext.statusTracker(), spark.sparkContext.applicationId
+    while not any(i > 3 for i in tracker.getActiveStageIds()):
+        time.sleep(0.05)
+    for pid in filter(str.isdigit, os.listdir("/proc")):
+        try:
+            command = open(f"/proc/{pid}/cmdline").read()
+        except OSError:
+            continue
+        if "CoarseGrainedExecutorBackend" in command and app in command:
+            os.kill(int(pid), 9)
+            print("lost", pid, flush=True)
+            return
+
+
+if sys.argv[3:] == ["lose"]:
+    threading.Thread(target=lose_one, daemon=True).start()
 for name in ("op3_substring_dedup", "op8_suffix_dedup"):
     queries.QUERIES[name](spark, sys.argv[1]).write.parquet(sys.argv[2] + "/" + name)
 spark.stop()
@@ -240,14 +258,16 @@ def first_error(log: str) -> str:
     return "\n".join(lines[hits[0] : hits[0] + 40]) if hits else log[-3000:]
 
 
-def test_several_executors(spark, tmp_path):
-    """Both queries on executors that fetch each other's blocks give the rows that one process gives."""
+@pytest.mark.parametrize("lose", [False, True])
+def test_several_executors(spark, tmp_path, lose):
+    """Both queries on executors that fetch each other's blocks, and when one of these is lost, give the rows that one process gives."""
     (tmp_path / "run.py").write_text(CLUSTER)
     env = os.environ | {"SPARK_HOME": os.path.dirname(pyspark.__file__), "SPARK_LOCAL_IP": "127.0.0.1"}
     home, root = "/root/testdata/sf0.01", env["PYTHONPATH"].split(os.pathsep)[0]
     run = "import sys; sys.path[0] = sys.argv[1]; del sys.argv[1]; exec(open(sys.argv.pop(1)).read())"
-    done = subprocess.run([sys.executable, "-c", run, root, str(tmp_path / "run.py"), home, f"file://{tmp_path}/out"], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    done = subprocess.run([sys.executable, "-c", run, root, str(tmp_path / "run.py"), home, f"file://{tmp_path}/out", *["lose"] * lose], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=900)
     assert done.returncode == 0, first_error(done.stderr)
+    assert ("lost" in done.stdout) == lose
     for name in ("op3_substring_dedup", "op8_suffix_dedup"):
         got = sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/out/{name}").collect()))
         assert got == sorted(map(tuple, queries.QUERIES[name](spark, home).collect()))
