@@ -173,6 +173,12 @@ def portfolio_daily_returns(spark, sf):
     return portfolio_returns(spark, sf)
 
 
+def yearly(spark, sf):
+    """What all portfolios' daily returns were in each year."""
+    n = fx.table(spark, sf, "orders").agg(F.approx_count_distinct("o_custkey")).first()[0]  # for the number of blocks alone
+    return pf.yearly(fx.bars(spark, sf), weights(spark, sf), "portfolio_id", n)
+
+
 @query(_ALL + " SELECT portfolio_id, year(d)::int AS year, count(*) AS days, avg(ret) AS mean, stddev_samp(ret) AS deviation, min(ret) AS worst, max(ret) AS best FROM dr GROUP BY 1, 2", "mean deviation worst best")
 def portfolio_yearly_returns(spark, sf):
     """All portfolios: what their daily returns were in each year."""
@@ -187,9 +193,10 @@ def portfolio_yearly_returns(spark, sf):
     "sharpe sortino volatility",
 )
 def portfolio_risk(spark, sf):
-    """All portfolios. Their weights are made once and joined to the symbols' returns; no portfolio meets in one task before it is summed."""
-    returns = pf.daily_returns(fx.bars(spark, sf), weights(spark, sf), "portfolio_id")
-    out = returns.groupBy("portfolio_id").agg(pf.sharpe().alias("sharpe"), pf.sortino().alias("sortino"), pf.yearly_volatility().alias("volatility"))
+    """All portfolios, from what their daily returns were in each year."""
+    h = pf.whole_history(yearly(spark, sf), "portfolio_id")
+    n, mean, dev = F.col("n"), F.when(F.col("n") > 0, F.col("mean")), pf.deviation(F.col("n"), F.col("squares"))
+    out = h.select("portfolio_id", pf.sharpe_of(n, mean, dev).alias("sharpe"), pf.sortino_of(mean, pf.deviation(F.col("low_n"), F.col("low_squares"))).alias("sortino"), (dev * pf.ROOT).alias("volatility"))
     return out.withColumn("risk_level", pf.risk_level(F.col("volatility")))
 
 
