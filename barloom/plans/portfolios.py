@@ -182,8 +182,7 @@ def yearly(spark, sf):
 @query(_ALL + " SELECT portfolio_id, year(d)::int AS year, count(*) AS days, avg(ret) AS mean, stddev_samp(ret) AS deviation, min(ret) AS worst, max(ret) AS best FROM dr GROUP BY 1, 2", "mean deviation worst best")
 def portfolio_yearly_returns(spark, sf):
     """All portfolios: what their daily returns were in each year."""
-    r = pf.daily_returns(fx.bars(spark, sf), weights(spark, sf), "portfolio_id")
-    return r.groupBy("portfolio_id", F.year("d").alias("year")).agg(F.count("*").alias("days"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("deviation"), F.min("ret").alias("worst"), F.max("ret").alias("best"))
+    return yearly(spark, sf).select("portfolio_id", "year", "days", "mean", pf.deviation(F.col("n"), F.col("squares")).alias("deviation"), "worst", "best")
 
 
 @query(
