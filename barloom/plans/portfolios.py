@@ -223,10 +223,8 @@ def benchmark(spark, sf):
 )
 def portfolios_vs_benchmark(spark, sf):
     """Logs of both curves of all portfolios at the end of each year, over all shared dates."""
-    r = pf.daily_returns(fx.bars(spark, sf), weights(spark, sf), "portfolio_id").join(benchmark(spark, sf), "d")
-    y = r.groupBy("portfolio_id", F.year("d").alias("year")).agg(F.sum(pf.growth(F.col("ret"))).alias("p"), F.sum(pf.growth(F.col("b"))).alias("b"))
     w = Window.partitionBy("portfolio_id").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
-    return y.select("portfolio_id", "year", F.sum("p").over(w).alias("portfolio"), F.sum("b").over(w).alias("benchmark"))
+    return yearly(spark, sf).select("portfolio_id", "year", F.sum("portfolio").over(w).alias("portfolio"), F.sum("benchmark").over(w).alias("benchmark"))
 
 
 _PATHS = _PORT + """, h AS (SELECT ret, row_number() OVER (ORDER BY d) - 1 AS k, count(*) OVER () AS n FROM dr), dw AS (SELECT sim, step, ('0x' || substr(md5('42:' || sim || ':' || step), 1, 12))::bigint % (SELECT any_value(n) FROM h) AS k FROM range(500) a(sim), range(1, 253) b(step)),

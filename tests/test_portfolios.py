@@ -61,7 +61,7 @@ def test_years_of_blocks_equal_daily_rows(spark, market, monkeypatch, block, at_
         assert all(same(m[p][c], r[c]) for c in ("n", "low_n", "deviation", "low_deviation")) and (r.n == 0 or same(m[p]["mean"], r["mean"])), (p, m[p], r)
 
 
-@pytest.mark.parametrize("name", ["portfolio_risk", "portfolio_yearly_returns"])
+@pytest.mark.parametrize("name", ["portfolio_risk", "portfolio_yearly_returns", "portfolios_vs_benchmark"])
 def test_portfolios_times_dates_are_never_rows(spark, sf, name):
     plan = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [portfolio_id" in plan
