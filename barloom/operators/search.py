@@ -52,24 +52,25 @@ def search(index: DataFrame, text: str, limit: int = 10, exchange: str | None =
     rows = index.where(matches_exchange(F.col("symbol"), exchange)).withColumn("tier", tier(F.lit(plain)))
     if not plain:
         rows = rows.where("false")
-    hits = rows.where("tier is not null").withColumn("score", F.lit(0.0))
-    guess = plain.isalpha() and " " not in plain and len(plain) <= GUESS
-    if not guess:
-        # distinct names are scored once, and only those without a tier
-        rest = rows.where("tier is null").drop("tier")
-        scored = rest.select("clean").distinct().withColumn("score", fuzzy_score(F.col("clean"), plain)).where(F.col("score") >= FUZZY_LEAST)
-        hits = hits.unionByName(rest.join(scored, "clean").withColumn("tier", F.lit(8)), allowMissingColumns=True)
+    # rows without a tier go after the limit: a filter before it would be pushed below the derived columns, which would be made anew for each rule
+    none = F.col("tier").isNull()
+    if plain.isalpha() and " " not in plain and len(plain) <= GUESS:
+        rows = rows.withColumn("score", F.lit(0.0))
+    else:
+        rows = rows.withColumn("score", F.coalesce(fuzzy_score(F.when(none, F.col("clean")), plain), F.lit(0.0))).withColumn("tier", F.when(none & (F.col("score") >= FUZZY_LEAST), 8).otherwise(F.col("tier")))
     context = context or {}
-    hits = hits.withColumn("boost", boost(context.get("recent", ()), context.get("watchlist", ()), context.get("held", ())))
-    return hits.orderBy("tier", F.desc("boost"), F.desc("score"), F.desc("is_default"), "name", "symbol").limit(limit).select("symbol", "name", "tier", "score")
+    rows = rows.withColumn("boost", boost(context.get("recent", ()), context.get("watchlist", ()), context.get("held", ())))
+    best = rows.orderBy(F.asc_nulls_last("tier"), F.desc("boost"), F.desc("score"), F.desc("is_default"), "name", "symbol").limit(limit)
+    return best.where("tier is not null").select("symbol", "name", "tier", "score")
 
 
 def fuzzy_score(name: Column, query: str) -> Column:
+    """NULL for no name. A name that many rows of a batch have is scored once."""
     words = query.split()
 
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda n: fuzzy.token_score(words, (n or "").split()))
+        return s.map({n: fuzzy.token_score(words, n.split()) for n in s.dropna().unique()}).astype(float)
 
     return run(name)
 
