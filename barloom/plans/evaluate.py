@@ -308,13 +308,18 @@ def system_health(spark, sf):
 # ---- model training: tested for invariants; there is no SQL for it
 
 
-def _rows(spark, sf):
-    """The v1 dataset of all symbols, written down once: fits read it many times."""
-    path = tables.shared(spark, "rows")
-    features.dataset(fx.bars(spark, sf), "v1").write.parquet(path)
+def _written(spark, df, name):
+    """df, written down once: fits read it many times."""
+    path = tables.shared(spark, name)
+    df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def _rows(spark, sf):
+    """The v1 dataset of all symbols."""
+    return _written(spark, features.dataset(fx.bars(spark, sf), "v1"), "rows")
+
+
 @query()
 def model_cv(spark, sf):
     """Metrics of each expanding fold of small models of each tree family."""
@@ -334,7 +339,7 @@ def model_walk_forward(spark, sf):
 @query()
 def model_calibration(spark, sf):
     """Brier score and calibration errors of four methods, fitted on one part of the predictions and measured on the other."""
-    p = preds(spark, sf)
+    p = _written(spark, preds(spark, sf), "predictions")
     return ml.calibrate(p.where("d < date '1998-01-01'"), p.where("d >= date '1998-01-01'"))
 
 
@@ -439,5 +444,6 @@ def model_windows(spark, sf):
 def label_candidates(spark, sf):
     """Held-out metrics of a small forest for each kind of label."""
     df = features.build(fx.bars(spark, sf).withColumns({"next": labels.direction(), "up_5": labels.direction(5)}), "v1")
+    df = _written(spark, df.select("symbol", "d", *features.BASE, "next", "up_5"), "candidates")
     got = ml.compare_labels({k: df.select("symbol", "d", *features.BASE, F.col(k).alias("label")) for k in ("next", "up_5")}, features.BASE)
     return spark.createDataFrame([(g["label"], g.get("accuracy"), g.get("roc_auc")) for g in got], "label string, accuracy double, roc_auc double")

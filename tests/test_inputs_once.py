@@ -1,6 +1,9 @@
 """What is derived from the tables is derived once, not for each rule or pass that reads it."""
 
-from barloom.operators import search
+import pytest
+
+import __spark_entry__ as entry
+from barloom.operators import models as ml, search
 from barloom.plans import data
 from barloom.sources import fixtures as fx
 
@@ -20,3 +23,21 @@ def test_search_has_hits_alone(spark):
     assert got == [("A6.NS", 3), ("A1.NS", 8), ("A2.NS", 8)]
     assert search.search(made, " ").collect() == [] and search.search(made, "qqqqqqqqq").collect() == []
     assert [r.symbol for r in search.search(made, "smal gizmos", limit=2).collect()] == ["A6.NS", "A1.NS"]
+
+
+@pytest.mark.parametrize("query, step", [("label_candidates", "compare_labels"), ("model_calibration", "calibrate")])
+def test_fits_read_what_is_written_down(spark, sf, monkeypatch, query, step):
+    read = []
+
+    class Seen(Exception):
+        pass
+
+    def stop(first, *rest):
+        for df in first.values() if isinstance(first, dict) else [first, *rest]:
+            read.extend(df.inputFiles())
+        raise Seen
+
+    monkeypatch.setattr(ml, step, stop)
+    with pytest.raises(Seen):
+        entry.queries()[query](spark, sf)
+    assert read and not [f for f in read if "/root/testdata" in f]
