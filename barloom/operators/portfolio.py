@@ -74,7 +74,7 @@ def _growth(x: np.ndarray) -> np.ndarray:
 _YEARLY = "days long, n long, mean double, squares double, worst double, best double, low_n long, low_mean double, low_squares double, portfolio double, benchmark double"
 
 
-def _year_of_block(key: str, type_: pa.DataType, year: int, held: pa.Table, returns: pa.Table) -> pa.Table:
+def _year_of_block(key: str, type_: pa.DataType, year: int, held: pa.Table, returns: pa.Table, at_once: int) -> pa.Table:
     """Rows of `yearly` of one block's portfolios (key, ats, weights) in one year of returns (at, d, ret, benchmark)."""
     schema = pa.schema([(key, type_), ("year", pa.int32())] + [(c, pa.int64() if t == "long" else pa.float64()) for c, t in (x.split() for x in _YEARLY.split(", "))])
     if not held.num_rows or not returns.num_rows:
@@ -86,8 +86,8 @@ def _year_of_block(key: str, type_: pa.DataType, year: int, held: pa.Table, retu
     market = _growth(market)
     sound, whole = np.isfinite(ret).all(1), there.all()
     out = []
-    for lo in range(0, held.num_rows, AT_ONCE):
-        part = held.slice(lo, AT_ONCE).combine_chunks()
+    for lo in range(0, held.num_rows, at_once):
+        part = held.slice(lo, at_once).combine_chunks()
         lists, values = part["ats"].combine_chunks(), part["weights"].combine_chunks().flatten()
         row, code = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
         place = np.searchsorted(ats, code).clip(max=len(ats) - 1)
@@ -141,7 +141,8 @@ def yearly(bars: DataFrame, weights: DataFrame, key: str, portfolios: int) -> Da
     dealt = r.join(F.broadcast(symbols), "symbol").select("at", "d", "ret", "benchmark", "year", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     type_ = weights.schema[key].dataType
     arrow = spark.createDataFrame([], weights.select(key).schema).toArrow().schema.field(0).type
-    run = lambda k, a, b: _year_of_block(key, arrow, k[1].as_py(), a, b)
+    at_once = AT_ONCE
+    run = lambda k, a, b: _year_of_block(key, arrow, k[1].as_py(), a, b, at_once)
     return held.groupBy("block", "year").cogroup(dealt.groupBy("block", "year")).applyInArrow(run, f"`{key}` {type_.simpleString()}, year int, {_YEARLY}")
 
 
